@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing
+from . import langid, mixing, neardup, packing, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,19 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_documents(spark, sf_dir))
 
 
+def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(_documents(spark, sf_dir))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_language": op2_language, "op6_pack": op6_pack}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_language": op2_language, "op3_near": op3_near, "op5_secrets": op5_secrets, "op6_pack": op6_pack}
 
 #: The targets by the same rule; then every document's rank and the running size of its source by rank.
 OP1_SQL = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attest.llm import langid, mixing, packing
+from attest.llm import langid, mixing, neardup, packing, secret_scan
 from attest.llm._shared import written
 
 
@@ -16,6 +16,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.known(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return neardup.kept(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts; examples that many owners copy stay."""
+    return secret_scan.masked(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight wants it."""
     return mixing.repeated(docs)
@@ -28,6 +38,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", language),
+    ("near", near),
+    ("secrets", secrets),
     ("mix", mix),
     ("pack", pack),
 ]
