@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def make_folder(uri: str) -> str:
 def steps(frame: pd.DataFrame, column: str, most: int = STEP_CHARS) -> Iterator[pd.DataFrame]:
     """The rows in order, in parts of about so many characters of a text column."""
     if len(frame):
-        part = frame[column].str.len().fillna(0).to_numpy("int64").cumsum() // most
+        part = np.cumsum([len(x) if isinstance(x, str) else 0 for x in frame[column]]) // most
         for _, rows in frame.groupby(part, sort=True):
             yield rows
 
@@ -82,8 +83,6 @@ def tree_sum(parts: DataFrame, keys: list[str], numbers: str, fan_in: int = 32)
     Partial sums of at most fan_in vectors form a level, so no task holds more than that many,
     however many partitions the input has.
     """
-    import numpy as np
-
     schema = ", ".join([*(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys), "part long", f"{numbers} binary"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:

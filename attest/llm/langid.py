@@ -45,13 +45,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Runs of other characters are one space; a space is put before and after each text.
     """
-    flat, starts = codes([x.lower() for x in texts])
-    flat = np.concatenate([np.array([10], "uint32"), flat])  # so that each text has a space on both sides
+    flat, starts = codes(["\n" + x.lower() for x in texts])
     letter = _letters()[flat]
     keep = letter.copy()
-    keep[0] = True
     keep[1:] |= letter[:-1]  # of a run of others the first stands for all
-    owner = np.searchsorted(starts[1:], np.arange(len(flat)) - 1, "right")
+    keep[starts[:-1]] = True
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     sign = np.where(letter, flat, np.uint32(32))[keep].astype("uint64") + np.uint64(1)
     owner = owner[keep]
     out, whose = [], []
@@ -90,7 +89,8 @@ def train(docs: DataFrame, least: float = SMOOTHING) -> tuple[list[str], np.ndar
                     if len(sums) > MOST_LABELS:
                         raise ValueError(f"more than {MOST_LABELS} languages")
         part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"lang": list(sums), "part": part, "counts": [v.astype("<i8").tobytes() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "part": part, "counts": [v.astype("<i8").tobytes() for v in sums.values()]})
 
     labelled = small_batches(docs.select("text", "lang").filter("text is not null and lang is not null"), "text")
     parts = written(labelled.mapInPandas(count, "lang string, part long, counts binary"), "lang-counts")

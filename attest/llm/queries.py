@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, packing, secret_scan
+from . import fingerprints, langid, licences, media, mixing, neardup, packing, secret_scan, tokens, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_documents(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(_documents(spark, sf_dir))
 
@@ -31,7 +35,36 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_language": op2_language, "op3_near": op3_near, "op5_secrets": op5_secrets, "op6_pack": op6_pack}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.read_back(spark, tokens.write(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(_documents(spark, sf_dir))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
+    "op2_language": op2_language,
+    "op3_near": op3_near,
+    "op4_media": op4_media,
+    "op5_secrets": op5_secrets,
+    "op6_pack": op6_pack,
+    "op7_warc": op7_warc,
+    "op8_tokens": op8_tokens,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_licences": op10_licences,
+}
 
 #: The targets by the same rule; then every document's rank and the running size of its source by rank.
 OP1_SQL = """
