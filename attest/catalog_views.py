@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attest.catalog import _RULES, _SETTLED, _TOP, C, E, G, K, P, S, T, W, X, _chunks, _found, _key, _settled, _table, _verdicts, query, verify_claims
+from attest.catalog import _RULES, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _found, _key, _settled, _table, _verdicts, query, verify_claims
 from attest.fixtures import frame
 
 _CORPUS = "select cast(1 as bigint) as corpus_id, subject_id, predicate, object_id from edges"
@@ -412,6 +412,33 @@ def provenance_walk(spark, sf_dir):
     return d.join(t, "doc_id", "left").join(b, "contradiction_id", "left").join(a, "debate_id", "left").select("doc_id", "triple_id", "debate_id", "argument_id")
 
 
+# --- chat context and gold files ---
+
+
+def _questions(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select(F.lit(1).cast("long").alias("corpus_id"), F.col("n_nationkey").alias("question_id"), F.col("n_name").alias("question"))
+
+
+@query("select corpus_id, question_id, triple_id, place from (select corpus_id, question_id, triple_id, row_number() over (partition by question_id order by triple_id desc) as place from (select distinct t.corpus_id, n_nationkey as question_id, t.triple_id from nation join triples t on contains(lower(t.subject_text), lower(trim(n_name))) or contains(lower(t.object_text), lower(trim(n_name))) where t.status = 'APPROVED' and length(trim(n_name)) >= 3) x) y where place <= 20", "triples")
+def chat_context(spark, sf_dir):
+    return R.chat_triples(_questions(spark, sf_dir), frame(spark, sf_dir, "triples"))
+
+
+@query()
+def chat_context_verdicts(spark, sf_dir):
+    asked = _table(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("corpus_id"), F.col("c_custkey").alias("question_id"), F.concat("c_name", F.lit(" reports to whom?")).alias("question"))
+    return R.chat_verdicts(asked, _settled(spark, sf_dir))
+
+
+@query("select item_id as gold_chunk_id, trim(text) as query, case when trim(text) = '' or length(trim(text)) > 500 then 'BAD_QUERY' end as error from (select item_id, text from benchmark where not contains(text, chr(10))) b")
+def src_gold_retrieval(spark, sf_dir):
+    from attest.sources.readers import parsed_gold
+
+    b = _table(spark, sf_dir, "benchmark").filter(~F.contains("text", F.lit("\n")))
+    files = b.select(F.concat(F.lit("# gold\n"), "text", F.lit(" = "), F.col("item_id").cast("string")).alias("text"))
+    return parsed_gold(files).select("gold_chunk_id", "query", "error")
+
+
 # --- replies ---
 
 

@@ -65,3 +65,38 @@ def evidence_status(queries: DataFrame, found: DataFrame) -> DataFrame:
     has = found.select("corpus_id", "query_id", F.lit(True).alias("has")).distinct()
     out = queries.join(has, ["corpus_id", "query_id"], "left")
     return out.select("corpus_id", "query_id", F.when(F.col("has"), "EVIDENCE_FOUND").otherwise("NO_EVIDENCE").alias("evidence"))
+
+
+def chat_triples(questions: DataFrame, triples: DataFrame, most: int = 20) -> DataFrame:
+    """Per question: approved triples of its corpus whose subject or object has the whole question in it, the newest first.
+
+    Names are indexed by their runs of three characters; a question is looked up by its first run and then
+    compared as a whole. Questions of fewer characters find nothing.
+    """
+    low = F.lower(F.col("name"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substr(low, i, F.lit(3))))
+    names = triples.filter("status = 'APPROVED'").select("corpus_id", F.explode(F.array("subject_text", "object_text")).alias("name")).distinct()
+    index = names.filter(F.length("name") >= 3).select("corpus_id", "name", F.explode(runs).alias("run"))
+    asked = questions.select("corpus_id", "question_id", F.lower(F.trim("question")).alias("q")).filter(F.length("q") >= 3).withColumn("run", F.substring("q", 1, 3))
+    hits = asked.join(index, ["corpus_id", "run"]).filter(F.contains(F.lower("name"), F.col("q"))).select("corpus_id", "question_id", "name")
+    facts = triples.filter("status = 'APPROVED'").select("corpus_id", "triple_id", F.explode(F.array_distinct(F.array("subject_text", "object_text"))).alias("name"))
+    found = hits.join(facts, ["corpus_id", "name"]).select("corpus_id", "question_id", "triple_id").distinct()
+    order = Window.partitionBy("corpus_id", "question_id").orderBy(F.desc("triple_id"))
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def chat_verdicts(questions: DataFrame, verdicts: DataFrame, newest: int = 25, most: int = 8) -> DataFrame:
+    """Per question: of the corpus's newest verdicts those whose subject, or a word of four letters or more, occurs in it."""
+    nth = F.row_number().over(Window.partitionBy("corpus_id").orderBy(F.desc("claim_id")))
+    recent = verdicts.withColumn("nth", nth).filter(F.col("nth") <= newest).select("corpus_id", "claim_id", "subject", "claim_text")
+    both = questions.join(recent, "corpus_id").withColumn("q", F.lower("question"))
+    words = F.filter(F.split(T.norm_label(F.col("claim_text")), " "), lambda w: F.length(w) >= 4)
+    hit = both.filter(F.contains("q", F.lower("subject")) | F.exists(words, lambda w: F.contains(F.col("q"), w)))
+    order = Window.partitionBy("corpus_id", "question_id").orderBy(F.desc("claim_id"))
+    return hit.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("corpus_id", "question_id", "claim_id", "place")
+
+
+def chat_refused(questions: DataFrame, passages: DataFrame, triples: DataFrame) -> DataFrame:
+    """Questions with neither passages nor triples."""
+    keys = ["corpus_id", "question_id"]
+    return questions.join(passages.select(*keys), keys, "left_anti").join(triples.select(*keys), keys, "left_anti").select(*keys)
