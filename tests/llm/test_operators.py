@@ -252,6 +252,7 @@ def test_media_are_read_back_whole(spark, docs, plain, empty):
         inside = media.members(f.read())
     for r in shards[shards["shard"] == uri].itertuples():
         assert hashlib.sha256(media.from_tiff(inside[f"{r.digest}.tif"])).hexdigest() == r.digest
+    assert all(hashlib.sha256(media.from_tiff(x)).hexdigest() + ".tif" == name for name, x in inside.items())
     meta = media.metadata(index).toPandas()
     assert (meta["width"] == 64).all() and (meta["bits"] == 8).all() and len(meta) == len(shards)
 
