@@ -4,9 +4,10 @@ A payload of 8-bit samples is stored losslessly as a grey TIFF image, 64 samples
 compressed by deflate, its directory in front of the strip. So metadata columns need the first
 HEADER bytes of a payload only, by a range read inside its shard.
 
-Writing: a task sends each of its distinct payloads on once; they are dealt by digest, and a task
-there writes each digest once, into tar shards of about SHARD bytes. A shard's name is new for every
-attempt, and the index holds what successful attempts wrote, so a lost executor leaves no wrong row.
+Writing: a task stores each of its distinct payloads once, where it reads them, in tar shards of about
+SHARD bytes; payloads are not shuffled. Of a payload that several tasks stored the index names one
+place, the first by shard and offset, and all rows point there. A shard's name is new for every attempt,
+and the index holds what successful attempts wrote, so a lost executor leaves no wrong row.
 
 Defined results: null text is empty; an empty payload is 64 zeros; equal texts share one stored
 payload and all values; repeated rows give repeated rows; an empty table gives an empty index.
@@ -109,29 +110,19 @@ def stored(docs: DataFrame) -> DataFrame:
     folder = new_folder(docs.sparkSession, "media")
     make_folder(folder)
 
-    def encode(batches):
-        seen = set()
-        for batch in batches:
-            digests, images = [], []
-            for text in batch["text"].fillna(""):
-                samples = padded(text.encode("utf-8", "surrogatepass"))
-                digest = hashlib.sha256(samples).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest)
-                    images.append(to_tiff(samples))
-            yield pd.DataFrame({"digest": digests, "image": images})
-
     def write(batches):
-        shard, last = None, None
+        seen, shard = set(), None
         for batch in batches:
             rows = []
-            for digest, image in zip(batch["digest"], batch["image"], strict=True):
-                if digest == last:
+            for text in batch["text"].fillna(""):
+                samples = padded(text.encode("utf-8", "surrogatepass"))
+                digest = hashlib.sha256(samples).hexdigest()
+                if digest in seen:
                     continue
-                last = digest
+                seen.add(digest)
+                image = to_tiff(samples)
                 shard = shard or _Shard(folder)
-                rows.append((digest.hex(), shard.uri, shard.add(f"{digest.hex()}.tif", image), len(image)))
+                rows.append((digest, shard.uri, shard.add(f"{digest}.tif", image), len(image)))
                 if shard.at >= SHARD:
                     shard.close()
                     shard = None
@@ -139,9 +130,10 @@ def stored(docs: DataFrame) -> DataFrame:
         if shard:
             shard.close()
 
-    encoded = small_batches(docs.select("text"), "text").mapInPandas(encode, "digest binary, image binary")
-    dealt = encoded.repartition("digest").sortWithinPartitions("digest")
-    return written(dealt.mapInPandas(write, "digest string, shard string, offset long, length long"), "media-index")
+    places = written(small_batches(docs.select("text"), "text").mapInPandas(write, "digest string, shard string, offset long, length long"), "media-places")
+    first = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    # Readers take neighbouring payloads of a shard together.
+    return written(written(first, "media-first").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "media-index")
 
 
 def _ranges(batches, columns, of):
