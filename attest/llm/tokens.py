@@ -30,7 +30,13 @@ STRIPE = 16 << 20
 #: Pieces that a worker keeps.
 CACHE = 1_000_000
 
-_UNSAFE = re.compile(r"\s \s|  |<\|")
+_BEFORE_WHITE = re.compile(r" \s")
+_AMID_WHITE = re.compile(r"\s \s")
+
+
+def _as_whole(text: str) -> bool:
+    """Whether a space has white space on both sides, or a special token may be named."""
+    return "<|" in text or (_BEFORE_WHITE.search(text) is not None and ("  " in text or _AMID_WHITE.search(text) is not None))
 
 
 class Encoder:
@@ -81,8 +87,7 @@ class Encoder:
         return [np.array(e.ids, "int32") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p[:1] == " " and len(p.split()) == 1 and not p[1:2].isspace() and not p[-1].isspace() and len(p) > 1]
-        plain = [p for p in plain if len(p.split(None, 1)) == 1 and p[1:] == p.split()[0]]
+        plain = [p for p in pieces if p[0] == " " and p.split() == [p[1:]]]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
             ids = self.whole(["".join(part)])[0]
@@ -99,7 +104,7 @@ class Encoder:
             self._clear()
         pieces, counts, odd = [], [], {}
         for k, text in enumerate(texts):
-            if _UNSAFE.search(text):
+            if _as_whole(text):
                 odd[k] = None
                 counts.append(0)
                 continue
@@ -109,7 +114,7 @@ class Encoder:
                 own.insert(0, head)
             pieces += own
             counts.append(len(own))
-        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
+        new = [p for p in set(pieces) if p not in self.number]
         if new:
             self._learn(new)
         odd = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True)) if odd else {}
