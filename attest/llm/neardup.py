@@ -14,9 +14,9 @@ Candidates. Texts that agree in all ROWS samples of a band share a bucket. Equal
 before that, so only different texts are compared.
  - The member of a bucket that has most companions over all bands is its leader; every member is
    paired with it. A group of copies of one original has the original as its leader.
- - In buckets of up to SMALL members all members are compared with one another by their samples.
- - Larger buckets are dealt anew by two bands together (COMBINED), and treated in the same way;
-   what is still larger is compared with its leader and in blocks of about SMALL.
+ - Then all members of a bucket that don't hang together yet are compared with one another by their
+   samples. In a bucket of more than SMALL members, those outside its largest root are dealt into blocks
+   and compared with all blocks of the bucket, so no pair is left out and no row grows with a bucket.
 Pairs whose samples agree in at least AGREE places are verified on the whole texts by weighted Jaccard
 similarity of at least THRESHOLD: pairs with a leader first; then the others, without those whose texts
 hang together by then, which no further link can change. Verified links are joined to classes by
@@ -46,12 +46,11 @@ SAMPLES = 96
 AGREE = 65
 #: The same for a pair with a leader: also measured is what is less near, as the distance bounds that of other pairs.
 AGREE_LEADER = 32
-#: Two bands together, by which members of large buckets are dealt anew: each band with the next four in a ring.
-COMBINED = sorted({tuple(sorted((i, (i + d) % BANDS))) for i in range(BANDS) for d in range(1, 5)})
 SKETCH_BITS = 20
 BLOCK = 1 << 15
 IDF_SHARE = 0.1
-SMALL = 64
+#: Members of a bucket that are compared in one group, and about those of a block of a larger one.
+SMALL = 256
 #: Ids that are sent to all executors at most to pick their rows; with more of them the rows are shuffled.
 SENT = 1_000_000
 
@@ -181,66 +180,45 @@ def _agreement(a: str, b: str):
 
 
 def _compared(groups: DataFrame) -> DataFrame:
-    """Buckets with their members (arrays) -> pairs (a, b) that agree enough, each from one bucket only.
+    """Groups with their members (arrays), some of them asking -> pairs (a, b) of one that asks and another, that agree enough.
 
-    Left out are pairs that need no look: members of one root hang together already; two members that
-    both agree with the leader in nearly all places do through it; and two whose distances (1 -
-    similarity, a metric) from one leader of both differ by more than 1 - THRESHOLD are further apart
-    than that. A pair counts in the first small bucket that it shares, else in the first of all.
+    Left out are pairs that need no look: members of one root hang together already; pairs with a leader
+    are measured; and two whose distances (1 - similarity, a metric) from one leader of both differ by
+    more than 1 - THRESHOLD are further apart than that.
     """
-    combined = {x: BANDS + k for k, x in enumerate(COMBINED)}
-
-    def place(keys_a, keys_b, larges) -> int:
-        shared = [t for t, (p, q) in enumerate(zip(keys_a, keys_b, strict=True)) if p == q]
-        two = [combined[p, q] for k, p in enumerate(shared) for q in shared[k + 1 :] if (p, q) in combined]
-        return next((t for t in [*shared, *two] if t not in larges), two[0] if two else shared[0])
-
     def one(batches):
         for batch in batches:
             a, b = [], []
             for group in batch.itertuples(index=False):
                 root = np.unique(group.roots, return_inverse=True)[1]
                 x = np.frombuffer(b"".join(group.sigs), "uint8").reshape(len(group.sigs), SAMPLES)
-                sure = (x == np.frombuffer(group.lead, "uint8")).sum(1) >= SAMPLES - 4
-                near = (x[:, None, :] == x[None, :, :]).sum(2) >= AGREE
-                near &= (root[:, None] != root[None, :]) & ~(sure[:, None] & sure[None, :])
-                fars, larges = [dict(zip(*p, strict=True)) for p in zip(group.pivots, group.fars, strict=True)], list(map(set, group.larges))
-                for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-                    far_i, far_j = fars[i], fars[j]
-                    if any(abs(far_i[p] - far_j[p]) > 1 - THRESHOLD + 1e-6 for p in far_i.keys() & far_j.keys()):
-                        continue
-                    if group.nodes[j] in far_i or group.nodes[i] in far_j:  # measured as a pair with a leader
-                        continue
-                    here = group.band == place(group.keys[i], group.keys[j], larges[i])
-                    if here:
-                        p, q = group.nodes[i], group.nodes[j]
-                        a.append(min(p, q))
-                        b.append(max(p, q))
+                seen, far = set(), {}
+                for i in np.flatnonzero(group.asks).tolist():
+                    near = np.flatnonzero((root != root[i]) & ((x == x[i]).sum(1) >= AGREE)).tolist()
+                    for k in [i, *near] if near else []:
+                        if k not in far:
+                            far[k] = dict(zip(group.pivots[k], group.fars[k], strict=True))
+                    for j in near:
+                        p, q = sorted((group.nodes[i], group.nodes[j]))
+                        if (p, q) in seen or group.nodes[j] in far[i] or group.nodes[i] in far[j]:
+                            continue
+                        seen.add((p, q))
+                        if all(abs(far[i][z] - far[j][z]) <= 1 - THRESHOLD + 1e-6 for z in far[i].keys() & far[j].keys()):
+                            a.append(p)
+                            b.append(q)
             yield pd.DataFrame({"a": a, "b": b})
 
     return groups.mapInPandas(one, "a binary, b binary")
 
 
-def _led(entries: DataFrame, central: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(key, band, node, sig) -> members of shared buckets (with n, leader and lead, its sig), and how central each node is."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(node, sig, keys) -> members of shared buckets, with n, leader and lead, its sig."""
+    entries = nodes.select(F.explode("keys").alias("key"), "node", "sig")
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     entries = written(entries.join(sizes, "key"), "near-entries")
-    if central is None:
-        central = written(entries.groupBy("node").agg(F.sum("n").alias("c")), "near-central")
+    central = entries.groupBy("node").agg(F.sum("n").alias("c"))
     lead = entries.select("key", "node", "sig").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "sig")).alias("lead"))
-    return written(entries.join(lead, "key").select("key", "band", "n", "node", "sig", F.col("lead.node").alias("leader"), F.col("lead.sig").alias("lead")), "near-led"), central
-
-
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(node, sig, keys) -> members of all shared buckets; large ones also dealt anew by two bands together."""
-    led, central = _led(nodes.select(F.posexplode("keys").alias("band", "key"), "node", "sig"), None)
-    large = written(led.filter(F.col("n") > SMALL).select("node").distinct(), "near-large")
-    if large.isEmpty():
-        return led
-    two = F.array(*(F.xxhash64(F.col("keys")[p], F.col("keys")[q]) for p, q in COMBINED))
-    again = nodes.join(large, "node").select(F.posexplode(two).alias("band", "key"), "node", "sig")
-    again, _ = _led(written(again.withColumn("band", F.col("band") + BANDS), "near-again"), central)
-    return led.unionByName(again)
+    return written(entries.join(lead, "key").select("key", "n", "node", "sig", F.col("lead.node").alias("leader"), F.col("lead.sig").alias("lead")), "near-led")
 
 
 def leader_pairs(led: DataFrame) -> DataFrame:
@@ -250,20 +228,29 @@ def leader_pairs(led: DataFrame) -> DataFrame:
     return written(pairs.distinct().filter(_agreement("x", "y") >= AGREE_LEADER).select("a", "b"), "near-lead")
 
 
-def close_pairs(led: DataFrame, nodes: DataFrame, root: DataFrame, measured: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that may be similar and don't hang together yet; in a large bucket, those of a block."""
-    larges = led.filter(F.col("n") > SMALL).groupBy("node").agg(F.collect_list("band").alias("larges"))
+def close_pairs(led: DataFrame, root: DataFrame, measured: DataFrame) -> DataFrame:
+    """All pairs of members of a bucket that may be similar and don't hang together yet, once each."""
     # How far a node is from its leaders: at most one for each of its buckets.
     apart = led.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node", "leader").distinct().join(measured, ["a", "b"])
     apart = apart.groupBy("node").agg(F.collect_list("leader").alias("pivots"), F.collect_list(1 - F.col("sim")).alias("fars"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    known = nodes.select("node", "keys").join(larges, "node", "left").join(root, "node", "left").join(apart, "node", "left")
-    known = known.select("node", "keys", F.coalesce("larges", none("int")).alias("larges"), F.coalesce("root", "node").alias("root"), F.coalesce("pivots", none("binary")).alias("pivots"), F.coalesce("fars", none("double")).alias("fars"))
-    rows = led.filter("n > 2").join(known, "node")
-    block = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SMALL))).otherwise(F.lit(0))
-    listed = [F.collect_list(c).alias(f"{c}s") for c in ("node", "sig", "root")] + [F.collect_list(c).alias(c) for c in ("keys", "larges", "pivots", "fars")]
-    groups = rows.groupBy("key", "band", block.alias("block")).agg(F.first("lead").alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"), *listed)
-    return written(_compared(groups.filter("low <> high")).distinct(), "near-close")
+    rows = led.filter("n > 2").select("key", "node", "sig").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Every pair of two roots has a member outside the largest root: these ask, and are compared with all.
+    roots = written(rows.groupBy("key", "root").count(), "near-bucket-roots").groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("roots"))
+    sizes = roots.filter("roots > 1").select("key", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.count")).alias("asking"))
+    rows = rows.join(sizes, "key").join(apart, "node", "left").withColumns({"pivots": F.coalesce("pivots", none("binary")), "fars": F.coalesce("fars", none("double")), "asks": F.col("root") != F.col("top")})
+    blocks = lambda n: F.ceil(F.col(n) / SMALL).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    all_ = lambda n: F.sequence(F.lit(0), n - 1)
+    listed = [F.collect_list(c).alias(f"{c}s") for c in ("node", "sig", "root")] + [F.collect_list(c).alias(c) for c in ("asks", "pivots", "fars")]
+    keep = ("key", "node", "sig", "root", "pivots", "fars")
+    # In a bucket of one block the members that ask are among the others; else a group holds a block that asks and one that answers.
+    alone = rows.filter(blocks("n") == 1).select(*keep, "asks", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    rows = rows.filter(blocks("n") > 1)
+    asking = rows.filter("asks").select(*keep, "asks", block("asking").alias("p"), all_(blocks("n")).alias("q")).withColumn("q", F.explode("q"))
+    answering = rows.select(*keep, F.lit(False).alias("asks"), all_(blocks("asking")).alias("p"), block("n").alias("q")).withColumn("p", F.explode("p"))
+    groups = alone.unionByName(asking).unionByName(answering).groupBy("key", "p", "q").agg(*listed)
+    return written(_compared(groups).distinct(), "near-close")
 
 
 def _picked(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -343,7 +330,7 @@ def classes(docs: DataFrame) -> DataFrame:
     links = first.filter(F.col("sim") >= THRESHOLD).select("a", "b")
     root = components(links)
     # Of the other pairs only those count whose texts don't hang together yet.
-    close = close_pairs(led, nodes, root, first)
+    close = close_pairs(led, root, first)
     second = written(measured(close, texts_of(close, source, keyed), idf), "near-measured").filter(F.col("sim") >= THRESHOLD).select("a", "b")
     if not second.isEmpty():
         root = components(links.unionByName(second))

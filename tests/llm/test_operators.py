@@ -211,6 +211,19 @@ def test_large_groups_hang_together(spark):
     assert got[got["doc_id"] >= 1000]["class_id"].nunique() == 50
 
 
+def test_pairs_of_a_large_bucket_without_an_original(spark):
+    core, many = _prose(5, 200), []
+    for k in range(300):
+        tail = _prose(1000 + k, 30)
+        many += [(2 * k, f"{core} {tail}"), (2 * k + 1, f"{core} {tail.rsplit(' ', 6)[0]} {_prose(5000 + k, 6)}")]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    w = neardup.weighted([t for _, t in many], neardup.idf_table(df))
+    near = [k for k in range(0, 600, 2) if neardup.similarity(w[k], w[k + 1]) > 0.85]
+    assert len(near) > 250 and max(neardup.similarity(w[0], x) for x in w[2:]) < neardup.THRESHOLD
+    got = neardup.classes(df).toPandas().set_index("doc_id")["class_id"]
+    assert [k for k in near if got[k] != got[k + 1]] == []
+
+
 def test_one_of_each_class_stays(docs, plain, empty):
     got = neardup.kept(docs)
     assert got.columns == docs.columns
