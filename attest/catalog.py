@@ -6,7 +6,7 @@ DuckDB runs on the tables. Inputs are the derived tables of ``fixtures``, by the
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attest import vocabulary as V
@@ -158,9 +158,17 @@ def chunk_content(spark, sf_dir):
     return D.chunk_content(D.chunk_overlap(docs), docs)
 
 
+def _dealt(spark, sf_dir, most=8):
+    """Facts with chunk_id: chunks of at most eight facts of one subject, so their number grows with the facts."""
+    f = frame(spark, sf_dir, "facts")
+    place = F.row_number().over(Window.partitionBy("s").orderBy("triple_id", "p", "o"))
+    f = f.withColumn("part", F.floor((place - 1) / most))
+    return f.withColumn("chunk_id", F.min("triple_id").over(Window.partitionBy("s", "part")))
+
+
 @query()
 def extract_spo(spark, sf_dir):
-    facts = frame(spark, sf_dir, "facts").select((F.col("triple_id") % 500).alias("chunk_id"), F.concat_ws(" ", "s", "p", F.concat("o", F.lit("."))).alias("content"))
+    facts = _dealt(spark, sf_dir).select("chunk_id", F.concat_ws(" ", "s", "p", F.concat("o", F.lit("."))).alias("content"))
     return D.extract_spo(facts.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("content")), " ").alias("content")))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attest.catalog import _RULES, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _found, _key, _settled, _table, _verdicts, query, verify_claims
+from attest.catalog import _RULES, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query, verify_claims
 from attest.fixtures import frame
 
 _CORPUS = "select cast(1 as bigint) as corpus_id, subject_id, predicate, object_id from edges"
@@ -442,9 +442,9 @@ def src_gold_retrieval(spark, sf_dir):
 # --- replies ---
 
 
-def _replies(spark, sf_dir):
+def _replies(spark, sf_dir, facts=None):
     """One reply for each group of facts, some of them broken in a known way."""
-    f = frame(spark, sf_dir, "facts").withColumn("chunk_id", F.col("triple_id") % 2000)
+    f = frame(spark, sf_dir, "facts").withColumn("chunk_id", F.col("triple_id") % 2000) if facts is None else facts
     item = F.struct(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.concat_ws(" ", "s", "p", "o").alias("sentence"))
     r = f.groupBy("corpus_id", "chunk_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("triples"), F.array().cast("array<string>").alias("claims"))).alias("j"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "s", "p", "o"))), ". ").alias("content"))
     k = F.col("chunk_id") % 7
@@ -454,12 +454,12 @@ def _replies(spark, sf_dir):
 
 @query()
 def json_envelope(spark, sf_dir):
-    return _replies(spark, sf_dir).select("reply_id", P.json_envelope(F.col("raw_text")).alias("json"))
+    return _replies(spark, sf_dir, _dealt(spark, sf_dir)).select("reply_id", P.json_envelope(F.col("raw_text")).alias("json"))
 
 
 @query()
 def reply_schema_check(spark, sf_dir):
-    return P.reply_schema_check(_replies(spark, sf_dir)).select("corpus_id", "reply_id", "reason")
+    return P.reply_schema_check(_replies(spark, sf_dir, _dealt(spark, sf_dir))).select("corpus_id", "reply_id", "reason")
 
 
 @query("select corpus_id, case cast(chunk_id % 7 as int) when 3 then 'SCHEMA_VALIDATION_FAILED' else 'MALFORMED_JSON' end as reason, count(*) as n from (select distinct corpus_id, triple_id % 2000 as chunk_id from facts) x where chunk_id % 7 in (1, 2, 3) group by 1, 2", "facts")

@@ -213,6 +213,25 @@ def test_extract_spo(spark):
     assert [r["subject"] for r in got if r["kind"] == "CLAIM"] == ["Meridian", "Nothing", "Aster"]
 
 
+def test_all_facts_pass_through_chunks(spark, tmp_path):
+    from attest import catalog
+    from attest.fixtures import frame
+
+    tables = {
+        "region": ["0 as r_regionkey, 'ASIA' as r_name", 1], "nation": ["0 as n_nationkey, 0 as n_regionkey, 'CHINA' as n_name", 1],
+        "customer": ["id as c_custkey, concat('Customer#', id) as c_name", 2], "supplier": ["id as s_suppkey, 0 as s_nationkey, concat('Supplier#', id) as s_name", 3],
+        "part": ["id as p_partkey, concat('part number ', id) as p_name", 2100], "lineitem": ["id as l_partkey, id % 3 as l_suppkey", 2100],
+        "orders": ["id as o_orderkey, id % 2 as o_custkey, '1-URGENT' as o_orderpriority, 'F' as o_orderstatus, date'1995-01-01' as o_orderdate", 2],
+    }
+    for name, (columns, n) in tables.items():
+        spark.sql(f"select {columns} from range({n})").write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {(r["s"], r["p"], r["o"]) for r in frame(spark, str(tmp_path), "facts").collect()}
+    got = {(r["subject"], r["predicate"], r["object_or_claim"]) for r in catalog.QUERIES["extract_spo"](spark, str(tmp_path)).filter("kind = 'TRIPLE'").collect()}
+    assert len(want) > 4000 and got == want
+    replies = catalog.QUERIES["json_envelope"](spark, str(tmp_path))
+    assert replies.count() >= len(want) / 8 and replies.select("reply_id").distinct().count() == replies.count()
+
+
 @pytest.mark.parametrize(("raw", "want"), [('x {"a": "}"} y', '{"a": "}"}'), ('```json\n{"a":{"b":1}}\n```', '{"a":{"b":1}}'), ("none", None), ('{"a":1', None), ('{"a":"\\"}"}', '{"a":"\\"}"}'), (None, None), ("", None)])
 def test_json_envelope(spark, raw, want):
     assert one(spark, raw, P.json_envelope) == want
