@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one numpy step works on at once; a longer text is a step of its own.
@@ -63,6 +63,11 @@ def make_folder(uri: str) -> str:
     return uri
 
 
+def parts_of(lengths: list[int], most: int = STEP_CHARS) -> list[int]:
+    """How many rows, in order, make parts of about so many characters each."""
+    return np.unique(np.cumsum(lengths) // most, return_counts=True)[1].tolist()
+
+
 def steps(frame: pd.DataFrame, column: str, most: int = STEP_CHARS) -> Iterator[pd.DataFrame]:
     """The rows in order, in parts of about so many characters of a text column."""
     if len(frame):
@@ -77,6 +82,26 @@ def small_batches(df: DataFrame, *text: str, rows: int = 256) -> DataFrame:
     return df
 
 
+def range_bounds(rows: DataFrame, key: str, n: int) -> list:
+    """Values of a number column that cut its rows into n ranges of about equal size; numbers, so every plan that uses them cuts alike."""
+    if n < 2:
+        return []
+    found = rows.agg(F.percentile_approx(key, [(k + 1) / n for k in range(n - 1)], 20 * n)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(key: Column, bounds: list) -> Column:
+    """How many bounds lie below a value (null: 0), by a search in two steps."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    below = lambda x: x < key
+    every = F.lit(bounds[step - 1 :: step]) if len(bounds) >= step else F.array()
+    coarse = F.size(F.filter(every, below)) * step
+    fine = F.size(F.filter(F.slice(F.lit(bounds), coarse + 1, step), below))
+    return F.coalesce(F.when(key.isNotNull(), coarse + fine), F.lit(0)).cast("int")
+
+
 def tree_sum(parts: DataFrame, keys: list[str], numbers: str, fan_in: int = 32) -> DataFrame:
     """Adds up packed int64 vectors by key. parts: keys, part long, and the vectors as binary.
 

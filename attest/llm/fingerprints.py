@@ -1,16 +1,17 @@
 """Homomorphic multiset hashes of documents.
 
-A text is a multiset of paragraphs: its lines, a long line cut into pieces of PIECE words. Each
-piece is hashed to a vector of LANES entries of +1 or -1, and the vectors are summed modulo 2**16 in
-every lane. So the order of paragraphs doesn't matter, equal multisets have equal sums, and a
-paragraph is inserted or deleted by adding or subtracting its vector (``combine``). Different
-multisets differ in their sums but for one chance in about 2**64.
+A text is a multiset of paragraphs: its lines, a line cut after each word whose hash says so (one in
+PIECE), so words put in or taken out change the pieces around them only. Each piece is hashed to a
+vector of LANES entries of +1 or -1, and the vectors are summed modulo 2**16 in every lane. So the order
+of paragraphs doesn't matter, equal multisets have equal sums, and a paragraph is inserted or deleted by
+adding or subtracting its vector (``combine``). Different multisets differ in their sums but for one
+chance in about 2**64.
 
 Likeness of two fingerprints: their cosine, cut to 0..1. As signs are random, the product of two sums
 has the mean of what the multisets share; its error is about 1 / sqrt(LANES).
 
-The next document is found without a global order in one task: documents are dealt by ranges of id, a
-task pairs neighbours, and the first and last of every partition, a row each, are paired afterwards.
+The next document is found without a global order in one task: documents are dealt by ranges of id whose
+bounds are fixed numbers, and the first document of a range is also sent to the range before it.
 
 Defined results: null text is empty; a text without words has the fingerprint of zeros, like itself
 only; white space between words doesn't count; documents of equal id are ordered by text; null ids
@@ -22,13 +23,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, steps
+from ._shared import range_bounds, range_of, small_batches, steps
 from ._text import _powers, codes, mixed, words
 
-LANES = 128
+LANES = 512
+#: Words of a piece of a line, in the mean.
 PIECE = 16
 
 
@@ -41,10 +43,11 @@ def vectors(texts: list[str]) -> np.ndarray:
     flat, _ = codes(texts)
     line = np.searchsorted(np.flatnonzero(flat == 10), begin)
     new = np.ones(len(number), bool)
-    new[1:] = line[1:] != line[:-1]
-    place = np.arange(len(number)) - np.maximum.accumulate(np.where(new, np.arange(len(number)), 0))
-    start = np.flatnonzero(place % PIECE == 0)
-    piece = mixed(np.add.reduceat(number * _powers(256)[place % PIECE], start))
+    new[1:] = (line[1:] != line[:-1]) | (mixed(number[:-1]) % np.uint64(PIECE) == 0)
+    start = np.flatnonzero(new)
+    place = np.arange(len(number)) - np.repeat(start, np.diff(start, append=len(number)))
+    longest = 1 << max(8, int(place.max()).bit_length())
+    piece = mixed(np.add.reduceat(number * _powers(longest)[place], start))
     bits = np.stack([mixed(piece + np.uint64(k)) for k in range(1, LANES // 64 + 1)], 1)
     signs = np.unpackbits(bits.view("uint8"), axis=1).view("int8") * np.int8(2) - np.int8(1)
     at = np.searchsorted(start, first)
@@ -76,48 +79,54 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _RESULT = "id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FINAL = _RESULT.replace("id long, no_id boolean", "doc_id long")
 
 
-def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows with text and following, the next document's text."""
+def _compared(rows: pd.DataFrame, after: str) -> pd.DataFrame:
+    """Rows in order, each compared with the next; the last with the text after it."""
+    texts = [*rows["text"].tolist(), after]
     edited = []
-    for text, following in zip(rows["text"], rows["following"], strict=True):
+    for text, following in zip(texts[:-1], texts[1:], strict=True):
         half = len(text) // 2
         edited.append(text[: len(text) - half] + following[:half])
-    own, changed, after = vectors(rows["text"].tolist()), vectors(edited), vectors(rows["following"].tolist())
+    all_, changed = vectors(texts), vectors(edited)
+    own = all_[:-1]
     return pd.DataFrame({
-        "id": rows["id"].to_numpy(), "no_id": rows["no_id"].to_numpy(), "n_chars": [len(x) for x in rows["text"]], "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited],
-        "fingerprint": list(map(text_of, own)), "edited_fingerprint": list(map(text_of, changed)), "near_edited": likeness(own, changed), "near_next": likeness(own, after),
+        "id": rows["id"].to_numpy(), "no_id": rows["no_id"].to_numpy(), "n_chars": [len(x) for x in texts[:-1]], "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited],
+        "fingerprint": list(map(text_of, own)), "edited_fingerprint": list(map(text_of, changed)), "near_edited": likeness(own, changed), "near_next": likeness(own, all_[1:]),
     })
 
 
+def _neighbours(batches):
+    """Rows of one range in order, the last of them the first of the next range: each but that one with what follows it."""
+    held = None
+    for batch in batches:
+        for part in steps(batch, "text"):
+            if held is not None:
+                part = pd.concat([held, part], ignore_index=True)
+            held = part.iloc[-1:]
+            if len(part) > 1:
+                yield _compared(part.iloc[:-1], held["text"].iloc[0])
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Documents with doc_id and text -> fingerprints of each, of its edited text, and their likeness to it and the next."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = small_batches(rows, "text").repartitionByRange(n, "doc_id")
-
-    def neighbours(batches):
-        last = None
-        for batch in batches:
-            batch = batch if last is None else pd.concat([last, batch], ignore_index=True)
-            last = batch.iloc[-1:]
-            pairs = batch.iloc[:-1].assign(following=batch["text"].to_numpy()[1:])
-            for part in steps(pairs, "text"):
-                yield _compared(part)
-
-    def pairs(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                yield _compared(part)
-
-    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
-    inner = dealt.sortWithinPartitions("doc_id", "text").select(*key, "text").mapInPandas(neighbours, _RESULT)
-    # One row for each partition that has rows: its first and last document.
-    whole = F.struct("doc_id", "text")
-    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(whole).alias("head"), F.max(whole).alias("tail"))
-    order = Window.orderBy("part")
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.withColumn("next", F.coalesce(F.lead("head").over(order), F.first("head").over(everything)))
-    outer = ends.select(F.col("tail.doc_id").alias("doc_id"), F.col("tail.text").alias("text"), F.col("next.text").alias("following")).select(*key, "text", "following").mapInPandas(pairs, _RESULT)
-    return inner.unionByName(outer).select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id")
+    bounds = range_bounds(ids, "doc_id", n)
+    part = range_of(F.col("doc_id"), bounds)
+    # Per range, a row: the least id, null before others.
+    least = ids.groupBy(part.alias("part")).agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"))
+    least = sorted((r["part"], None if r["none"] else r["least"]) for r in least.collect())
+    if not least:
+        return spark.createDataFrame([], _FINAL)
+    before = [least[k - 1][0] for k in range(len(least))]
+    first = spark.createDataFrame([(p, i, to) for (p, i), to in zip(least, before, strict=True)], "part int, doc_id long, goes_to int")
+    docs = docs.withColumn("part", part)
+    heads = docs.alias("d").join(F.broadcast(first.alias("f")), F.expr("d.part = f.part and d.doc_id <=> f.doc_id")).groupBy("goes_to").agg(F.min("text").alias("text"))
+    rows = docs.select("part", F.lit(False).alias("is_head"), "doc_id", "text").unionByName(heads.select(F.col("goes_to").alias("part"), F.lit(True).alias("is_head"), F.lit(None).cast("long").alias("doc_id"), "text"))
+    dealt = small_batches(rows, "text").repartitionById(n, F.col("part")).sortWithinPartitions("part", "is_head", "doc_id", "text")
+    out = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text").mapInPandas(_neighbours, _RESULT)
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

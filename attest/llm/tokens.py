@@ -1,131 +1,215 @@
 """Token ids of whole texts as ORC files.
 
-Documents are put in order of doc_id over all partitions, encoded there, and written by Spark's ORC
-writer: integers are run-length encoded in stripes, every ROW_INDEX rows have an index entry, and
+Documents are dealt by ranges of doc_id, a file each, ordered and encoded there, and written by Spark's
+ORC writer: integers are run-length encoded in stripes, every ROW_INDEX rows have an index entry, and
 doc_id has a Bloom filter. Readers take stripes in parallel; a filter on doc_id skips stripes and rows
 by their statistics and filters (``lookup``).
 
 Encoding with a cache: the pre-tokenizer of a byte-level vocabulary always cuts before a space that
-has no white space on both sides, so pieces of a text that begin at such spaces are encoded each for
-itself, and a piece that came before is looked up. A text with a space between white space, or with
-the name of a special token, is encoded as a whole. The ids are those of the whole text either way.
+has no white space on both sides, so a text is split at spaces, and a piece that came before is looked
+up. A new piece is cut into words by the pre-tokenizer's own pattern, and only words that are new are
+encoded. A text with a space between white space is cut by the pattern at once; pieces with characters
+whose classes differ between versions of Unicode, and texts that name a special token, are encoded as
+they are. The ids are those of the whole text in every case. What a worker keeps is bounded in
+characters and ids (KEPT): beyond, the older half is let go.
 
 Defined results: a null or empty text has the end id only; rows of equal doc_id lie next to one
 another, by text; null ids come first; an empty table gives an empty file.
 """
 
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_folder, small_batches, written
+from ._shared import new_folder, parts_of, range_bounds, range_of, small_batches, written
 
 END = 2
 ROW_INDEX = 1000
 STRIPE = 16 << 20
-#: Pieces that a worker keeps.
-CACHE = 1_000_000
+#: Run-length encoded ids hardly shrink further; this is for what little does.
+COMPRESS = "LZ4"
+#: Characters of pieces, and ids, of each of the two halves that a worker keeps.
+KEPT = 6_000_000
 
 _BEFORE_WHITE = re.compile(r" \s")
 _AMID_WHITE = re.compile(r"\s \s")
+#: The pattern of byte-level vocabularies (a fixed value).
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters that not all engines put in the same class.
+_UNSURE = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
 
 
-def _as_whole(text: str) -> bool:
-    """Whether a space has white space on both sides, or a special token may be named."""
-    return "<|" in text or (_BEFORE_WHITE.search(text) is not None and ("  " in text or _AMID_WHITE.search(text) is not None))
+def _amid_white(text: str) -> bool:
+    """Whether a space has white space on both sides."""
+    return _BEFORE_WHITE.search(text) is not None and ("  " in text or _AMID_WHITE.search(text) is not None)
+
+
+def _key(word: str) -> str:
+    """Under which name a word is kept: without its leading space, or with one if it has none; white space with a zero in front."""
+    if word[0] != " ":
+        return " " + word
+    return "\0" + word if word[1:2].isspace() else word[1:]
+
+
+def _word(key: str) -> str:
+    return key[1:] if key[:1] == " " or key[:2] == "\0 " else " " + key
+
+
+class _Kept:
+    """Ids by key, in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, "int32")
+        self.start, self.size = np.zeros(1 << 14, "int64"), np.zeros(1 << 14, "int64")
+        self.used = self.chars = 0
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """keys: new and distinct; ids: those of all keys; sizes: how many each key has."""
+        at, need = len(self.number), self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(need, "int32")])
+        if at + len(keys) > len(self.start):
+            more = np.zeros(at + len(keys), "int64")
+            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+        self.flat[self.used : need] = ids
+        self.size[at : at + len(keys)] = sizes
+        self.start[at : at + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.number.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self.used, self.chars = need, self.chars + sum(map(len, keys))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of entries, in order, and how many each has."""
+        size = self.size[at]
+        begin = np.cumsum(size) - size
+        return self.flat[np.repeat(self.start[at] - begin, size) + np.arange(int(size.sum()))], size
+
+    def full(self) -> bool:
+        return max(self.used, self.chars) > KEPT
 
 
 class Encoder:
     """Ids of texts by one tokenizer file."""
 
-    _kept: dict[str, "Encoder"] = {}
+    _open: dict[str, "Encoder"] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        # A token of this vocabulary that begins with a space begins with this letter.
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, "int32")
-        self.start, self.size = np.zeros(1 << 14, "int64"), np.zeros(1 << 14, "int64")
-        self.used = 0
-
-    def _keep(self, pieces: list[str], ids: list[np.ndarray]) -> None:
-        need = self.used + sum(map(len, ids))
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(need, "int32")])
-        at = len(self.number)
-        if at + len(ids) > len(self.start):
-            more = np.zeros(at + len(ids), "int64")
-            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
-        for piece, x in zip(pieces, ids, strict=True):
-            self.flat[self.used : self.used + len(x)] = x
-            self.start[at], self.size[at] = self.used, len(x)
-            self.number[piece] = at
-            self.used += len(x)
-            at += 1
+        # The same vocabulary for words that are cut already, one a line; ASCII letters stand for their bytes.
+        self.lines, self.ascii = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.ascii.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([self.ascii.pre_tokenizer, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # A token has a letter for each of its bytes.
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        self.kept, self.old = _Kept(), _Kept()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "int32") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p[0] == " " and p.split() == [p[1:]]]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = self.whole(["".join(part)])[0]
-            cut = np.flatnonzero(self.spaced[ids])
-            if len(cut) == len(part) and cut[0] == 0:
-                self._keep(part, np.split(ids, cut[1:]))
-        rest = [p for p in pieces if p not in self.number]
-        if rest:
-            self._keep(rest, self.whole(rest))
+    def _add_whole(self, keys: list[str]) -> None:
+        if keys:
+            ids = self.whole([_word(k) for k in keys])
+            self.kept.add(keys, np.concatenate(ids), np.array(list(map(len, ids))))
+
+    def _learn_words(self, keys: list[str]) -> None:
+        """Keys of single words: those with and those without a leading space, many in one call."""
+        self._add_whole([k for k in keys if k[:2] == "\0 " or "\n" in k])
+        keys = [k for k in keys if k[:2] != "\0 " and "\n" not in k]
+        plain = [k for k in keys if k.isascii() and k.isalpha()]
+        self._learn_lines(plain, plain, "Ġ", self.ascii)
+        rest = [k for k in keys if not (k.isascii() and k.isalpha())]
+        self._learn_lines(*[[k for k in rest if k[:1] != " "]] * 2, " ", self.lines)
+        rest = [k for k in rest if k[:1] == " "]
+        self._learn_lines(rest, [k[1:] for k in rest], "", self.lines)
+
+    def _learn_lines(self, keys: list[str], texts: list[str], lead: str, tokenizer) -> None:
+        """Words that are texts with the same lead."""
+        for i in range(0, len(keys), 4096):
+            text = lead + ("\n" + lead).join(texts[i : i + 4096])
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "int32")
+            # A word ends where its bytes do; the breaks between words have no token, and Ġ stands for one byte.
+            raw = np.frombuffer(text.replace("Ġ", " ").encode("utf-8"), "uint8")
+            stop = np.append(np.flatnonzero(raw == 10), len(raw))
+            stop -= np.arange(len(stop))
+            self.kept.add(keys[i : i + 4096], ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), stop) + 1, prepend=0))
+
+    def _learn(self, keys: list[str]) -> None:
+        """Keys of pieces that are not kept."""
+        old = self.old.number
+        if old:
+            known = [k for k in keys if k in old]
+            keys = [k for k in keys if k not in old]
+            if known:
+                self.kept.add(known, *self.old.take(np.array([old[k] for k in known])))
+        words, longer, cut, odd = [], [], [], []
+        for k in keys:
+            if not (k.isalpha() and k.isascii()) and _UNSURE.search(k):
+                odd.append(k)
+            elif k.isalpha():
+                words.append(k)
+            elif k[:-1].isalpha() and k[-1] in ",.;:!?":
+                longer.append(k)
+                cut.append([k[:-1], " " + k[-1]])
+            elif len(found := _WORD.findall(_word(k))) == 1:
+                words.append(k)
+            else:
+                longer.append(k)
+                cut.append(list(map(_key, found)))
+        self._add_whole(odd)
+        self._learn_words(words)
+        number = self.kept.number
+        if longer:
+            parts = list(itertools.chain.from_iterable(cut))
+            self._learn([w for w in set(parts) if w not in number])
+            ids, sizes = self.kept.take(np.array([number[w] for w in parts]))
+            first = np.cumsum([0, *map(len, cut[:-1])])
+            self.kept.add(longer, ids, np.add.reduceat(sizes, first))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by END, and where each text's begin (with the end)."""
-        if len(self.number) > CACHE:
-            self._clear()
-        pieces, counts, odd = [], [], {}
+        if self.kept.full():
+            self.old, self.kept = self.kept, _Kept()
+        keys, counts, odd = [], [], []
         for k, text in enumerate(texts):
-            if _as_whole(text):
-                odd[k] = None
-                counts.append(0)
-                continue
-            head, *tail = text.split(" ")
-            own = [" " + x for x in tail]
-            if head:
-                own.insert(0, head)
-            pieces += own
-            counts.append(len(own))
-        new = [p for p in set(pieces) if p not in self.number]
-        if new:
-            self._learn(new)
-        odd = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True)) if odd else {}
-        at = np.fromiter(map(self.number.__getitem__, pieces), "int64", len(pieces))
-        size = self.size[at]
-        begin = np.cumsum(size) - size
-        found = self.flat[np.repeat(self.start[at] - begin, size) + np.arange(int(size.sum()))]
+            before = len(keys)
+            if "<|" in text or (amid := _amid_white(text)) and _UNSURE.search(text):
+                odd.append(k)
+            elif amid:
+                keys += map(_key, _WORD.findall(text))
+            elif text:
+                head, *tail = text.split(" ")
+                if head:
+                    keys.append(" " + head)
+                keys += tail
+            counts.append(len(keys) - before)
+        at = np.fromiter(map(self.kept.number.get, keys, itertools.repeat(-1)), "int64", len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list({keys[i] for i in missing}))
+            at[missing] = [self.kept.number[keys[i]] for i in missing]
+        found, size = self.kept.take(at)
         bound = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype("int64")]
+        whole = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True)) if odd else {}
         parts = []
         for k in range(len(texts)):
-            parts += [odd[k] if k in odd else found[bound[k] : bound[k + 1]], np.array([END], "int32")]
+            parts += [whole[k] if k in whole else found[bound[k] : bound[k + 1]], np.array([END], "int32")]
         out = np.concatenate(parts) if parts else np.zeros(0, "int32")
         starts = np.zeros(len(texts) + 1, "int64")
         np.cumsum([len(parts[2 * k]) + 1 for k in range(len(texts))], out=starts[1:])
@@ -137,19 +221,21 @@ def write(docs: DataFrame, tokenizer: str) -> str:
     folder = new_folder(docs.sparkSession, "tokens")
 
     def encode(batches):
-        from pyspark import TaskContext
-
-        part, pos, encoder = TaskContext.get().partitionId(), 0, Encoder.of(tokenizer)
+        pos, encoder = 0, Encoder.of(tokenizer)
         for batch in batches:
-            ids, starts = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
-            n = batch.num_rows
-            ids = pa.ListArray.from_arrays(pa.array(starts.astype("int32")), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, "int32")), pa.array(np.arange(pos, pos + n)), ids], names=["doc_id", "part", "pos", "ids"])
-            pos += n
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+            texts, done = [x or "" for x in batch.column("text").to_pylist()], 0
+            for n in parts_of(list(map(len, texts))):
+                ids, starts = encoder.encode(texts[done : done + n])
+                ids = pa.ListArray.from_arrays(pa.array(starts.astype("int32")), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, n), batch.column("part").slice(done, n), pa.array(np.arange(pos, pos + n)), ids], names=["doc_id", "part", "pos", "ids"])
+                pos, done = pos + n, done + n
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = range_of(F.col("doc_id"), range_bounds(docs.select("doc_id"), "doc_id", n))
+    ordered = docs.withColumn("part", part).repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
     encoded = small_batches(ordered, "text").mapInArrow(encode, "doc_id long, part int, pos long, ids array<int>")
-    encoded.write.options(**{"orc.compress": "ZSTD", "orc.bloom.filter.columns": "doc_id", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}).orc(folder)
+    encoded.write.options(**{"orc.compress": COMPRESS, "orc.bloom.filter.columns": "doc_id", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}).orc(folder)
     return folder
 
 
