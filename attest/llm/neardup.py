@@ -13,18 +13,25 @@ level) whose agreement in two texts has the probability of their weighted Jaccar
 Candidates. Texts that agree in all ROWS samples of a band share a bucket. Equal texts are one node
 before that, so only different texts are compared.
  - The member of a bucket that has most companions over all bands is its leader; every member is
-   paired with it. A group of copies of one original has the original as its leader.
- - Then all members of a bucket that don't hang together yet are compared with one another by their
-   samples. In a bucket of more than SMALL members, those outside its largest root are dealt into blocks
-   and compared with all blocks of the bucket, so no pair is left out and no row grows with a bucket.
-Pairs whose samples agree in at least AGREE places are verified on the whole texts by weighted Jaccard
-similarity of at least THRESHOLD: pairs with a leader first; then the others, without those whose texts
-hang together by then, which no further link can change. Verified links are joined to classes by
-alternating star steps.
+   paired with it and measured. A group of copies of one original has the original as its leader.
+ - Then all members of a bucket that don't hang together yet are compared with one another, in buckets
+   of any size: those outside the largest root of the bucket ask, all answer. Members are dealt into
+   blocks of about SMALL texts and BLOCK_CHARS characters, and every block that asks meets every block
+   that answers in a group of its own, so no pair is left out and no task grows with a bucket. A pair
+   that shares several buckets is compared in the one of least key.
+ - A pair counts if its samples agree in at least AGREE places. Groups keep the members that have such a
+   partner; these get their texts, and pairs are verified where they are, the likeliest first, without
+   pairs that hang together by then. So what comes out of a group is a forest, not its pairs.
+Verified is the weighted Jaccard similarity of whole texts, at least THRESHOLD. Verified links are joined
+to classes by alternating star steps. Nothing else changes with the size of the input or of a bucket, and
+classes are those of comparing all pairs that share a bucket. Joins on keys that a large group makes hot
+have written tables on both sides, which Spark splits when they are skewed.
 
 Defined results: equal texts always share a class; a text of fewer than five words has one shingle; a
 text without words equals only itself; a null text is a class of its own; class_id is the least doc_id
-of the class (null if all are null). Repeated rows are copies. Other columns pass through in ``kept``.
+of the class (null if all are null). Repeated rows are copies; an empty table has no classes. Ties for
+leader go to the greater hash of the text, which changes no class. Texts of any length are compared whole.
+Other columns pass through in ``kept``, whatever their names.
 """
 
 import functools
@@ -49,10 +56,10 @@ AGREE_LEADER = 32
 SKETCH_BITS = 20
 BLOCK = 1 << 15
 IDF_SHARE = 0.1
-#: Members of a bucket that are compared in one group, and about those of a block of a larger one.
-SMALL = 256
-#: Ids that are sent to all executors at most to pick their rows; with more of them the rows are shuffled.
-SENT = 1_000_000
+#: Members of a block of a bucket, in the mean, and characters of their texts.
+SMALL, BLOCK_CHARS = 512, 8_000_000
+#: Ids that are sent to all executors at most to pick their rows (24 bytes each); with more of them the rows are shuffled.
+SENT = 250_000
 
 
 # --- weights ---
@@ -160,11 +167,11 @@ def sampled(docs: DataFrame, idf) -> DataFrame:
                     sample = samples([found[i] for i in some])
                     for i, s, k in zip(some, (sample & 255).astype("uint8"), bands(sample), strict=True):
                         sig[i], keys[i] = s.tobytes(), k
-                yield pd.DataFrame({"id": rows["id"], "no_id": rows["no_id"], "node": rows["node"], "sig": sig, "keys": keys})
+                yield pd.DataFrame({"id": rows["id"], "no_id": rows["no_id"], "node": rows["node"], "chars": rows["text"].str.len().fillna(0).astype("int64"), "sig": sig, "keys": keys})
 
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "node", "text")
-    out = small_batches(rows, "text").mapInPandas(one, "id long, no_id boolean, node binary, sig binary, keys array<bigint>")
-    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "node", "sig", "keys")
+    out = small_batches(rows, "text").mapInPandas(one, "id long, no_id boolean, node binary, chars long, sig binary, keys array<bigint>")
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "node", "chars", "sig", "keys")
 
 
 # --- candidates ---
@@ -179,45 +186,66 @@ def _agreement(a: str, b: str):
     return F.pandas_udf(count, "int")(a, b)
 
 
-def _compared(groups: DataFrame) -> DataFrame:
-    """Groups with their members (arrays), some of them asking -> pairs (a, b) of one that asks and another, that agree enough.
-
-    Left out are pairs that need no look: members of one root hang together already; pairs with a leader
-    are measured; and two whose distances (1 - similarity, a metric) from one leader of both differ by
-    more than 1 - THRESHOLD are further apart than that.
+def _grouped(batches, by: list[str]):
+    """The groups of rows that come in order of their keys, one at a time."""
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = (batch[by] != batch[by].shift()).any(axis=1).to_numpy()
+        if held:
+            new[0] = any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in by)
+        cut = np.flatnonzero(new)
+        if held and len(cut) and cut[0] == 0 or not held:
+            cut = cut[cut > 0]
+            if held and new[0]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        for a, z in zip([0, *cut], [*cut, len(batch)], strict=True):
+            if a:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(batch.iloc[a:z])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _candidates(group: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """(agreement, i, j) of the rows of a group that may be similar: i asks, j is any other.
+
+    Left out are pairs that need no look here: members of one root hang together already; pairs with a
+    leader are measured; pairs with a common bucket of a lesser key are compared there; two that both ask
+    meet twice, once counts; and two whose distances (1 - similarity, a metric) from one leader of both
+    differ by more than 1 - THRESHOLD are further apart than that.
     """
-    def one(batches):
-        for batch in batches:
-            a, b = [], []
-            for group in batch.itertuples(index=False):
-                root = np.unique(group.roots, return_inverse=True)[1]
-                x = np.frombuffer(b"".join(group.sigs), "uint8").reshape(len(group.sigs), SAMPLES)
-                seen, far = set(), {}
-                for i in np.flatnonzero(group.asks).tolist():
-                    near = np.flatnonzero((root != root[i]) & ((x == x[i]).sum(1) >= AGREE)).tolist()
-                    for k in [i, *near] if near else []:
-                        if k not in far:
-                            far[k] = dict(zip(group.pivots[k], group.fars[k], strict=True))
-                    for j in near:
-                        p, q = sorted((group.nodes[i], group.nodes[j]))
-                        if (p, q) in seen or group.nodes[j] in far[i] or group.nodes[i] in far[j]:
-                            continue
-                        seen.add((p, q))
-                        if all(abs(far[i][z] - far[j][z]) <= 1 - THRESHOLD + 1e-6 for z in far[i].keys() & far[j].keys()):
-                            a.append(p)
-                            b.append(q)
-            yield pd.DataFrame({"a": a, "b": b})
-
-    return groups.mapInPandas(one, "a binary, b binary")
+    key, nodes, roots = group["key"].iloc[0], group["node"].tolist(), np.unique(group["root"].tolist(), return_inverse=True)[1]
+    sig = np.frombuffer(b"".join(group["sig"]), "uint8").reshape(len(group), SAMPLES)
+    keys = np.array(group["keys"].tolist())
+    member = {"asks": group["asks"].to_numpy(bool), "answers": group["answers"].to_numpy(bool)}
+    wants = group["wants"].to_numpy(bool)
+    out, far = [], {}
+    for i in np.flatnonzero(member["asks"]).tolist():
+        agree = (sig == sig[i]).sum(1)
+        for j in np.flatnonzero(member["answers"] & (roots != roots[i]) & (agree >= AGREE)).tolist():
+            if wants[j] and nodes[j] < nodes[i] or keys[i][keys[i] == keys[j]].min() < key:
+                continue
+            for k in (i, j):
+                if k not in far:
+                    far[k] = dict(zip(group["pivots"].iloc[k], group["fars"].iloc[k], strict=True))
+            x, y = far[i], far[j]
+            if nodes[j] in x or nodes[i] in y or any(abs(x[z] - y[z]) > 1 - THRESHOLD + 1e-6 for z in x.keys() & y.keys()):
+                continue
+            out.append((int(agree[j]), i, j))
+    return out
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(node, sig, keys) -> members of shared buckets, with n, leader and lead, its sig."""
     entries = nodes.select(F.explode("keys").alias("key"), "node", "sig")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
     entries = written(entries.join(sizes, "key"), "near-entries")
     central = entries.groupBy("node").agg(F.sum("n").alias("c"))
-    lead = entries.select("key", "node", "sig").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "sig")).alias("lead"))
+    lead = written(entries.select("key", "node", "sig").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "sig")).alias("lead")), "near-leaders")
     return written(entries.join(lead, "key").select("key", "n", "node", "sig", F.col("lead.node").alias("leader"), F.col("lead.sig").alias("lead")), "near-led")
 
 
@@ -228,29 +256,72 @@ def leader_pairs(led: DataFrame) -> DataFrame:
     return written(pairs.distinct().filter(_agreement("x", "y") >= AGREE_LEADER).select("a", "b"), "near-lead")
 
 
-def close_pairs(led: DataFrame, root: DataFrame, measured: DataFrame) -> DataFrame:
-    """All pairs of members of a bucket that may be similar and don't hang together yet, once each."""
+_MEMBER = "key long, p int, q int, node binary, sig binary, keys array<bigint>, root binary, wants boolean, asks boolean, answers boolean, pivots array<binary>, fars array<double>"
+
+
+def close_members(led: DataFrame, nodes: DataFrame, root: DataFrame, measured: DataFrame) -> DataFrame:
+    """Groups of members of buckets that may be similar and don't hang together yet: rows of _MEMBER."""
     # How far a node is from its leaders: at most one for each of its buckets.
     apart = led.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node", "leader").distinct().join(measured, ["a", "b"])
     apart = apart.groupBy("node").agg(F.collect_list("leader").alias("pivots"), F.collect_list(1 - F.col("sim")).alias("fars"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    rows = led.filter("n > 2").select("key", "node", "sig").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = led.filter("n > 2").select("key", "node").join(nodes.select("node", "chars"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(rows, "near-rooted")
     # Every pair of two roots has a member outside the largest root: these ask, and are compared with all.
-    roots = written(rows.groupBy("key", "root").count(), "near-bucket-roots").groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("roots"))
-    sizes = roots.filter("roots > 1").select("key", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.count")).alias("asking"))
-    rows = rows.join(sizes, "key").join(apart, "node", "left").withColumns({"pivots": F.coalesce("pivots", none("binary")), "fars": F.coalesce("fars", none("double")), "asks": F.col("root") != F.col("top")})
-    blocks = lambda n: F.ceil(F.col(n) / SMALL).cast("int")
-    block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    all_ = lambda n: F.sequence(F.lit(0), n - 1)
-    listed = [F.collect_list(c).alias(f"{c}s") for c in ("node", "sig", "root")] + [F.collect_list(c).alias(c) for c in ("asks", "pivots", "fars")]
-    keep = ("key", "node", "sig", "root", "pivots", "fars")
-    # In a bucket of one block the members that ask are among the others; else a group holds a block that asks and one that answers.
-    alone = rows.filter(blocks("n") == 1).select(*keep, "asks", F.lit(0).alias("p"), F.lit(0).alias("q"))
-    rows = rows.filter(blocks("n") > 1)
-    asking = rows.filter("asks").select(*keep, "asks", block("asking").alias("p"), all_(blocks("n")).alias("q")).withColumn("q", F.explode("q"))
-    answering = rows.select(*keep, F.lit(False).alias("asks"), all_(blocks("asking")).alias("p"), block("n").alias("q")).withColumn("p", F.explode("p"))
-    groups = alone.unionByName(asking).unionByName(answering).groupBy("key", "p", "q").agg(*listed)
-    return written(_compared(groups).distinct(), "near-close")
+    roots = rows.groupBy("key", "root").agg(F.count("*").alias("count"), F.sum("chars").alias("chars"))
+    roots = roots.groupBy("key").agg(F.max(F.struct("count", "root", "chars")).alias("top"), F.sum("count").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("roots"))
+    blocks = lambda n, chars: F.ceil(F.greatest(n / SMALL, chars / BLOCK_CHARS)).cast("int")
+    sizes = roots.filter("roots > 1").select("key", F.col("top.root").alias("top"), blocks(F.col("n"), F.col("chars")).alias("all"), blocks(F.col("n") - F.col("top.count"), F.col("chars") - F.col("top.chars")).alias("some"))
+    rows = rows.join(written(sizes, "near-bucket-sizes"), "key").withColumn("wants", F.col("root") != F.col("top"))
+    rows = rows.withColumns({"p": F.pmod(F.xxhash64("node"), F.col("some")).cast("int"), "q": F.pmod(F.xxhash64("node", F.lit(1)), F.col("all")).cast("int")})
+    # A member that asks goes to all groups of its block that asks; every member answers in all groups of its other block.
+    to = F.array_union(F.when(F.col("wants"), F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda q: F.struct(F.col("p").alias("p"), q.alias("q")))).otherwise(none("struct<p:int,q:int>")), F.transform(F.sequence(F.lit(0), F.col("some") - 1), lambda p: F.struct(p.alias("p"), F.col("q").alias("q"))))
+    rows = rows.withColumn("to", F.explode(to)).withColumns({"asks": F.col("wants") & (F.col("to.p") == F.col("p")), "answers": F.col("to.q") == F.col("q")})
+    rows = rows.select("key", "to.p", "to.q", "node", "root", "wants", "asks", "answers").join(nodes.select("node", "sig", "keys"), "node").join(apart, "node", "left")
+    rows = rows.withColumns({"pivots": F.coalesce("pivots", none("binary")), "fars": F.coalesce("fars", none("double"))})
+    names = [c.split()[0] for c in _MEMBER.split(", ")]
+    by = ["key", "p", "q"]
+
+    def some(batches):
+        for group in _grouped(batches, by):
+            found = _candidates(group)
+            if found:
+                yield group.iloc[sorted({k for _, i, j in found for k in (i, j)})][names]
+
+    dealt = small_batches(rows.select(*names), "sig", rows=2048).repartition(*by).sortWithinPartitions(*by, "node")
+    return written(dealt.mapInPandas(some, _MEMBER), "near-close")
+
+
+def close_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Verified links of the groups: enough of them that what is similar hangs together."""
+    by = ["key", "p", "q"]
+
+    def hold(batches):
+        for group in _grouped(batches, by):
+            nodes, texts, found, above = group["node"].tolist(), group["text"].tolist(), {}, {r: r for r in group["root"]}
+
+            def top(r):
+                while above[r] != r:
+                    above[r] = r = above[above[r]]
+                return r
+
+            a, b = [], []
+            for _, i, j in sorted(_candidates(group), key=lambda x: (-x[0], x[1:])):
+                x, y = top(group["root"].iloc[i]), top(group["root"].iloc[j])
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if k not in found:
+                        found[k] = weighted([texts[k]], idf.value)[0]
+                if similarity(found[i], found[j]) >= THRESHOLD:
+                    above[x] = y
+                    a.append(min(nodes[i], nodes[j]))
+                    b.append(max(nodes[i], nodes[j]))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    rows = members.join(texts, "node")
+    dealt = small_batches(rows, "text").repartition(*by).sortWithinPartitions(*by, "node")
+    return written(dealt.mapInPandas(hold, "a binary, b binary"), "near-links")
 
 
 def _picked(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -258,10 +329,9 @@ def _picked(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return docs.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One text for each node of the pairs. docs: key, node, text; rows: key, node of every text."""
-    taking_part = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one_of_each = written(rows.join(taking_part, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "near-texts-of")
+def texts_of(taking_part: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One text for each node. docs: key, node, text; rows: key, node of every text."""
+    one_of_each = written(rows.join(taking_part.distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "near-texts-of")
     texts = _picked(docs, one_of_each, ["key", "node"], "left_semi").dropDuplicates(["node"])
     return written(texts.select("node", "text"), "near-texts")
 
@@ -299,9 +369,10 @@ def components(links: DataFrame, most_steps: int = 100) -> DataFrame:
     before = None
     for _ in range(most_steps):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "links-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -311,32 +382,37 @@ def components(links: DataFrame, most_steps: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _key():
+    """A text for each id, null too."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("node", F.unhex(F.md5("text"))).withColumn("key", F.coalesce("doc_id", F.lit(-1)).cast("long"))
+    return docs.withColumn("node", F.unhex(F.md5("text"))).withColumn("key", _key())
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Documents with doc_id and text -> (doc_id, node, class_id) for every row."""
+    """Documents with doc_id and text -> (doc_id, node, root, class_id) for every row."""
     docs = _with_key(docs.select("doc_id", "text"))
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs))  # 4 MB
     rows = written(sampled(docs, idf), "near-samples")
-    nodes = written(rows.filter("keys is not null").dropDuplicates(["node"]).select("node", "sig", "keys"), "near-nodes")
-    keyed = rows.select("node", F.coalesce("doc_id", F.lit(-1)).alias("key"))
+    nodes = written(rows.filter("keys is not null").dropDuplicates(["node"]).select("node", "chars", "sig", "keys"), "near-nodes")
+    keyed = rows.select("node", _key().alias("key"))
     led = buckets(nodes)
     lead = leader_pairs(led)
     source = docs.select("key", "node", "text")
-    first = written(measured(lead, texts_of(lead, source, keyed), idf), "near-measured")
+    ends = lead.select(F.explode(F.array("a", "b")).alias("node"))
+    first = written(measured(lead, texts_of(ends, source, keyed), idf), "near-measured")
     links = first.filter(F.col("sim") >= THRESHOLD).select("a", "b")
     root = components(links)
-    # Of the other pairs only those count whose texts don't hang together yet.
-    close = close_pairs(led, root, first)
-    second = written(measured(close, texts_of(close, source, keyed), idf), "near-measured").filter(F.col("sim") >= THRESHOLD).select("a", "b")
+    members = close_members(led, nodes, root, first)
+    second = close_links(members, texts_of(members.select("node"), source, keyed), idf)
     if not second.isEmpty():
         root = components(links.unionByName(second))
-    rooted = written(rows.select("doc_id", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
-    named = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.filter("root is not null").join(named, "root").select("doc_id", "node", "class_id").unionByName(rooted.filter("root is null").select("doc_id", "node", F.col("doc_id").alias("class_id")))
+    rooted = written(rows.select("doc_id", "node").join(written(root, "near-root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    named = written(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-named")
+    return rooted.filter("root is not null").join(named, "root").select("doc_id", "node", "root", "class_id").unionByName(rooted.filter("root is null").select("doc_id", "node", "root", F.col("doc_id").alias("class_id")))
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -344,11 +420,14 @@ def kept(docs: DataFrame) -> DataFrame:
     found = written(classes(docs), "near-classes")
     names = docs.columns
     packed = _with_key(docs.select("doc_id", "text", F.struct(*names).alias("row")))
-    first = found.filter("node is not null").groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("key"), "node")).alias("first"), F.count("*").alias("n"))
-    gone = found.filter("node is not null").withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(first.filter("n > 1").select("class_id", "first"), "class_id")
+    with_text = found.filter("node is not null").withColumn("key", _key())
+    # A null id comes after all others; classes without any id are told apart by their root.
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"), F.col("key").alias("key"))
+    first = written(with_text.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"), "near-first")
+    gone = with_text.join(first, "root")
     gone = written(gone.filter((F.col("key") != F.col("first.key")) | (F.col("node") != F.col("first.node"))).select("key", "node").distinct(), "near-gone")
     left = _picked(packed, gone, ["key", "node"], "left_anti")
-    again = written(found.filter("node is not null").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("key"), "node").count().filter("count > 1").select("key", "node"), "near-again")
+    again = written(with_text.groupBy("key", "node").count().filter("count > 1").select("key", "node"), "near-again")
     if not again.isEmpty():  # rows of equal id and text: one of them stays
         left = _picked(left, again, ["key", "node"], "left_anti").unionByName(_picked(left, again, ["key", "node"], "left_semi").dropDuplicates(["key", "node"]))
     return left.select("row.*")
