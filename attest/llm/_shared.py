@@ -17,9 +17,11 @@ STEP_CHARS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset (a local test session) a temporary one is set, removed at exit."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local test session gets a temporary one, removed at exit; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-attest-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)

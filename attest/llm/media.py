@@ -10,7 +10,9 @@ place, the first by shard and offset, and all rows point there. A shard's name i
 and the index holds what successful attempts wrote, so a lost executor leaves no wrong row.
 
 Defined results: null text is empty; an empty payload is 64 zeros; equal texts share one stored
-payload and all values; repeated rows give repeated rows; an empty table gives an empty index.
+payload and all values; repeated rows give repeated rows; an empty table gives an empty index; a text of any length is one
+payload; of other columns none is read, whatever their names. Rows meet the index in one join of two
+shuffled tables, which Spark splits where a digest is frequent.
 """
 
 import hashlib
@@ -165,16 +167,16 @@ def metadata(index: DataFrame) -> DataFrame:
 
 
 def features(index: DataFrame) -> DataFrame:
-    """Columns from the whole stored bytes, read back: metadata, digests and a feature."""
-    columns = ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Metadata columns from a range read of the header, then columns from the whole stored bytes, read back: digests and a feature. With their place."""
+    columns = ["digest", "shard", "offset", "length", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def of(source, row):
         tags = header_of(source.read_at(HEADER, row.offset))
         data = source.read_at(row.length, row.offset)
         samples = from_tiff(data)
-        return tags[256], tags[257], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(samples)
+        return row.shard, row.offset, row.length, tags[256], tags[257], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(samples)
 
-    kinds = "digest string, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds = "digest string, shard string, offset long, length long, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return index.mapInPandas(lambda batches: _ranges(batches, columns, of), kinds)
 
 
@@ -183,7 +185,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     index = stored(docs)
     n, _, digest = payload_digest(F.col("text"))
     rows = docs.select("doc_id", n.alias("n_bytes"), digest.alias("digest"))
-    return rows.join(features(index), "digest").join(index, "digest").drop("digest").withColumn("shard", F.element_at(F.split("shard", "/"), -1))
+    return rows.join(features(index), "digest").drop("digest").withColumn("shard", F.element_at(F.split("shard", "/"), -1))
 
 
 def members(data: bytes) -> dict[str, bytes]:

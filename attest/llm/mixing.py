@@ -90,7 +90,7 @@ def inclusion(classes: DataFrame) -> DataFrame:
     longer, others = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = F.col("rest") - F.coalesce(F.sum("class_size").over(longer), F.lit(0))
     within = Window.partitionBy("source")
-    ranked = classes.withColumn("left", left).withColumn("c", F.col("left") / F.sum(F.col("bits") * F.col("class_size")).over(others))
+    ranked = classes.withColumn("left", left).withColumn("c", F.try_divide(F.col("left"), F.sum(F.col("bits") * F.col("class_size")).over(others)))
     ranked = ranked.withColumn("at", F.max(F.when(F.col("c") * F.col("bits") <= 1, F.struct("bits", "c", "left"))).over(within))
     p = F.when(F.col("rest") <= 0, F.lit(0.0)).when(F.col("bits") > F.col("at.bits"), F.lit(1.0)).otherwise(F.coalesce(F.col("at.c") * F.col("bits"), F.lit(0.0)))
     return ranked.select("source", "bits", p.alias("p"), F.coalesce("at.left", F.lit(0.0)).alias("left"))

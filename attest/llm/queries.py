@@ -81,8 +81,8 @@ p as (select *, floor(e)::bigint as whole, target - floor(e) * source_size as re
 c as (select source, length(bin(size))::bigint as bits, sum(size)::bigint as class_size from d group by all),
 h as (select c.*, rest, rest - coalesce(sum(class_size) over (partition by c.source order by bits desc rows between unbounded preceding and 1 preceding), 0) as left_,
          sum(bits * class_size) over (partition by c.source order by bits desc rows between current row and unbounded following) as more from c join p on c.source is not distinct from p.source),
-i as (select *, max(case when left_ / more * bits <= 1 then bits end) over (partition by source) as top_bits from h),
-j as (select source, any_value(left_) as left_, any_value(left_ / more) as c from i where bits = top_bits group by source),
+i as (select *, max(case when left_ / nullif(more, 0) * bits <= 1 then bits end) over (partition by source) as top_bits from h),
+j as (select source, any_value(left_) as left_, any_value(left_ / nullif(more, 0)) as c from i where bits = top_bits group by source),
 o1 as (select i.source, bits, coalesce(j.left_, 0) as left_, case when rest <= 0 then 0 when bits > top_bits then 1 else coalesce(c * bits, 0) end as p from i left join j on i.source is not distinct from j.source),
 u as (select d.doc_id, d.source, d.size, source_size, target, whole + case when o1.p >= 1 then 1 else 0 end as whole, o1.p, left_,
          (('0x' || substr(md5(concat('7:', coalesce(d.doc_id::varchar, '-'))), 1, 13))::bigint::double + 0.5::double) / 4503599627370496 as u

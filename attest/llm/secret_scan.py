@@ -5,12 +5,14 @@ password or token, 12 characters or more), ``access`` (an AKIA key id of 18 or m
 of 16 or more). The candidate is the value: what is assigned, or the whole run.
 
 Every candidate is hashed. Over the corpus a hash has so many distinct repositories and owners.
- - A value of SHARED_OWNERS owners or more is a widely copied example.
- - A value of one owner that looks live (letters and digits mixed, entropy of LIVE_BITS or more a
-   character, no word such as "example") is a credential: the span of the value is added as ``live``.
+ - A value of SHARED_OWNERS owners or SHARED_REPOS repositories or more is a widely copied example.
+ - Any other value is specific to its few owners. If it looks live (letters and digits mixed, entropy of
+   LIVE_BITS or more a character, no word such as "example") it is a credential: the span of the value is
+   added as ``live``.
 Counts are taken in two steps, owner by owner and then over owners, after pairs of hash, owner and
 repository are made distinct in each task: a value that a third of all documents hold gives one row
-per owner and task.
+per owner and task. The counts go back to the spans by a join of two written tables, which Spark splits
+where a value is frequent.
 
 Defined results: a null text is empty and has no spans; a null owner or repository counts as one of
 its own; positions are code points, ends exclusive; repeated rows are scanned each and count once;
@@ -30,8 +32,12 @@ from ._shared import small_batches, written
 KINDS = ("assign", "access", "hex", "live")
 #: Owners from which on a value is an example that people copy.
 SHARED_OWNERS = 3
+#: Repositories from which on it is one, whoever owns them.
+SHARED_REPOS = 25
 LIVE_BITS = 3.0
 MASK = "<secret>"
+#: Bytes of spans that are sent to all executors at most; with more of them texts and spans are shuffled.
+SENT_BYTES = 16 << 20
 
 _NAMES = ("passw", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -90,15 +96,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return pairs.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scanned(docs: DataFrame, owner: str = "source", repo: str = "doc_id", shared: int = SHARED_OWNERS) -> DataFrame:
-    """Documents -> (row, spans array of struct(start, kind, end), n_live, n_shared, most_owners) per row of docs that has a span.
+def scanned(docs: DataFrame, owner: str = "source", repo: str = "doc_id", shared: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
+    """Documents -> (row, spans array of struct(start, kind, end, is_shared), most_owners, most_repos) per row of docs that has a span.
 
     docs: text, owner, repo and row, a key that tells rows apart by what they hold.
     """
     base = written(found(docs, owner, repo).filter(F.size("starts") > 0), "secret-spans")
     each = base.select("row", "owner", "repo", F.explode(F.arrays_zip("starts", "kinds", "ends", "values", "hashes", "live")).alias("s")).select("row", "owner", "repo", "s.*").withColumnRenamed("hashes", "hash")
-    owners = ownership(each)
-    told = each.join(owners, "hash").withColumn("is_live", F.col("live") & (F.col("n_owners") == 1)).withColumn("is_shared", F.col("n_owners") >= shared)
+    owners = written(ownership(each), "secret-owners")
+    told = each.join(owners, "hash").withColumn("is_shared", (F.col("n_owners") >= shared) | (F.col("n_repos") >= shared_repos)).withColumn("is_live", F.col("live") & ~F.col("is_shared"))
     span = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), "is_shared")
     value = F.struct(F.col("values").alias("start"), F.lit(3).alias("kind"), F.col("ends").alias("end"), "is_shared")
     both = F.concat(F.array(span), F.when(F.col("is_live"), F.array(value)).otherwise(F.slice(F.array(value), 1, 0)))
@@ -133,10 +139,10 @@ def masked(docs: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
     """All documents with all columns; secrets are masked in text, and n_chars follows where there is one. Widely copied examples stay."""
     names = docs.columns
     # The text itself says which row it is; copies of a row are masked alike.
-    keyed = docs.withColumn("_row", _key())
-    spans = scanned(keyed.select("doc_id", "source", "text", F.col("_row").alias("row")), shared=shared)
-    spans = spans.select(F.col("row").alias("_row"), F.filter("spans", lambda s: ~s["is_shared"]).alias("_spans")).filter(F.size("_spans") > 0)
-    spans = written(spans.select("_row", F.col("_spans.start").alias("_start"), F.col("_spans.end").alias("_end")), "secret-masks")
+    keyed = docs.select(_key().alias("key"), F.struct(*names).alias("row"))
+    spans = scanned(docs.select("doc_id", "source", "text", _key().alias("row")), shared=shared)
+    spans = spans.select(F.col("row").alias("key"), F.filter("spans", lambda s: ~s["is_shared"]).alias("spans")).filter(F.size("spans") > 0)
+    spans = written(spans.select("key", F.col("spans.start").alias("start"), F.col("spans.end").alias("end")), "secret-masks")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
@@ -151,10 +157,11 @@ def masked(docs: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     small_batches(docs, "text")
-    few = spans.count() <= 200_000
-    hit = keyed.join(F.broadcast(spans) if few else spans, "_row", "left")
-    rest = hit.filter("_start is null")
-    hit = hit.filter("_start is not null").withColumn("text", without("text", "_start", "_end"))
+    n_rows, n_spans = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("start")), F.lit(0))).first()
+    few = 100 * n_rows + 8 * n_spans <= SENT_BYTES
+    hit = keyed.join(F.broadcast(spans) if few else spans, "key", "left")
+    rest = hit.filter("start is null").select("row")
+    hit = hit.filter("start is not null").select(F.col("row").withField("text", without("row.text", "start", "end")).alias("row"))
     if "n_chars" in names:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.unionByName(hit).select(*names)
+        hit = hit.select(F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)).alias("row"))
+    return rest.unionByName(hit).select("row.*")

@@ -145,7 +145,7 @@ class Encoder:
             text = lead + ("\n" + lead).join(texts[i : i + 4096])
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "int32")
             # A word ends where its bytes do; the breaks between words have no token, and Ġ stands for one byte.
-            raw = np.frombuffer(text.replace("Ġ", " ").encode("utf-8"), "uint8")
+            raw = np.frombuffer((text.replace("Ġ", " ") if tokenizer is self.ascii else text).encode("utf-8"), "uint8")
             stop = np.append(np.flatnonzero(raw == 10), len(raw))
             stop -= np.arange(len(stop))
             self.kept.add(keys[i : i + 4096], ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), stop) + 1, prepend=0))

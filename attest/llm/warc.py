@@ -12,8 +12,10 @@ Only ids and digests are grouped; payloads are dealt once, by page, so copies of
 over all tasks. Archive names are new for every attempt and the index holds those of successful ones.
 
 Defined results: null html is empty; null page_id is written as a record without number and comes
-back as null, and is a revisit if another row has the payload with a number; rows that are equal are
-a record each, of the same type; a null url is ``about:blank``.
+back as null, and is a revisit if another row has the payload with a number; rows that are equal in
+page_id and payload are a record each, of the same type, with their place in the record id; a null url is
+``about:blank``; an empty table gives an empty index; payloads of any length are one record; of other
+columns none is read, whatever their names.
 """
 
 import hashlib
@@ -38,8 +40,9 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:attest:page:{'none' if page_id is None else page_id}:{digest[:16]}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """place tells apart rows that are equal in id and payload; a revisit refers to the id without it."""
+    return f"<urn:attest:page:{'none' if page_id is None else page_id}:{digest[:16]}{place and ':' + place}>"
 
 
 def page_of(record: str) -> int | None:
@@ -47,13 +50,13 @@ def page_of(record: str) -> int | None:
     return None if name == "none" else int(name)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit_of: int | None, is_revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit_of: int | None, is_revisit: bool, place: str = "") -> bytes:
     """One WARC record with its HTTP block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if is_revisit:
@@ -82,6 +85,10 @@ class Writer:
         self.open, self.size, self.total = [], 0, 0
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
 
+    def place(self) -> str:
+        """A name for the place of the next record that no other has."""
+        return f"{self.uri.rpartition('/')[2].partition('.')[0]}-{len(self.frames)}-{self.size}"
+
     def add(self, data: bytes) -> tuple[int, int]:
         """Frame and offset in it of the record."""
         at = len(self.frames), self.size
@@ -133,11 +140,15 @@ class Reader:
 def _typed(pages: DataFrame) -> DataFrame:
     """Pages with their digest, and what they are: is_revisit, and the response they refer to."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload")).withColumn("key", F.coalesce("page_id", F.lit(-1)).cast("long"))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
+    pages = pages.withColumn("digest", F.sha1("payload")).withColumn("key", key)
     narrow = written(pages.select("page_id", "key", "digest", F.octet_length("payload").alias("size")), "warc-digests")
     response = narrow.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null").drop("n")
-    refers = narrow.join(response, "digest").filter("page_id is null or page_id <> response").select("key", "digest", F.col("response").alias("refers_to")).distinct()
-    return pages.join(refers, ["key", "digest"], "left").drop("key")
+    each = written(narrow.groupBy("key", "digest", "page_id").agg(F.count("*").alias("n")), "warc-each")
+    told = each.join(written(response, "warc-responses"), "digest", "left")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("response")), F.col("response"))
+    told = told.select("key", "digest", refers.alias("refers_to"), (F.col("n") > 1).alias("again")).filter("again or refers_to is not null")
+    return pages.join(told, ["key", "digest"], "left").drop("key")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -149,13 +160,14 @@ def archived(pages: DataFrame) -> DataFrame:
         out = None
         for batch in batches:
             rows = []
-            for page, none, url, payload, digest, refers in zip(batch["id"], batch["no_id"], batch["url"], batch["payload"], batch["digest"], batch["refers"], strict=True):
+            for page, none, url, payload, digest, refers, again in zip(*(batch[c] for c in ("id", "no_id", "url", "payload", "digest", "refers", "again")), strict=True):
                 page = None if none else page
                 to = int(refers) if refers else None
-                data = record(page, url, payload, digest, to, to is not None)
                 out = out or Writer(folder)
+                place = out.place() if again else ""
+                data = record(page, url, payload, digest, to, to is not None, place)
                 uri, (frame, offset) = out.uri, out.add(data)
-                rows.append((record_id(page, digest), uri, frame, offset, len(data)))
+                rows.append((record_id(page, digest, place), uri, frame, offset, len(data)))
                 if out.total >= ARCHIVE:
                     out.close()
                     out = None
@@ -163,7 +175,7 @@ def archived(pages: DataFrame) -> DataFrame:
         if out:
             out.close()
 
-    rows = _typed(pages).select(F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("no_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers"))
+    rows = _typed(pages).select(F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("no_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers"), F.coalesce("again", F.lit(False)).alias("again"))
     return written(small_batches(rows, "payload").mapInPandas(write, "record_id string, archive string, frame int, offset long, length long"), "warc-index")
 
 

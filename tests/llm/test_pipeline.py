@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pandas as pd
 
 import corpus_pipeline
@@ -24,8 +25,9 @@ def test_stages_in_order(spark):
 
     model = langid.train(spark.createDataFrame(rows(), SCHEMA))
     text = start["text"].map(lambda t: t if isinstance(t, str) else "")
-    best, score = langid.scored(text.tolist(), *model[1:])
-    assert len(known) == sum(b >= 0 and s >= langid.LEAST_SCORE for b, s in zip(best, score, strict=True))
+    (_, prior, log_p), = model
+    best, _, own, most, mass = langid.scored(text.tolist(), prior, log_p.value)
+    assert len(known) == sum(b >= 0 and np.exp(o - m) / z >= langid.LEAST_SCORE for b, o, m, z in zip(best, own, most, mass, strict=True))
 
     w = neardup.weighted(single["text"].tolist(), neardup.idf_table(spark.createDataFrame(known[["text"]])))
     assert max(neardup.similarity(w[i], w[j]) for i in range(len(w)) for j in range(i) if len(w[i][0]) and len(w[j][0])) < neardup.THRESHOLD
@@ -40,3 +42,8 @@ def test_stages_in_order(spark):
     n = mixed["text"].map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))).sum()
     assert packed["piece_size"].sum() == n
     assert isinstance(packed, pd.DataFrame) and (packed.groupby("bin_id")["piece_size"].sum() <= 2048).all()
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
