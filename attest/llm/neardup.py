@@ -87,7 +87,9 @@ def idf_table(docs: DataFrame) -> np.ndarray:
         blocks = [(-1, np.array([n], "int64")), *((i, x) for i, x in blocks if x.any())]
         yield pd.DataFrame({"block": [i for i, _ in blocks], "part": part, "counts": [x.astype("<i8").tobytes() for _, x in blocks]})
 
-    texts = small_batches(docs.select("text").filter("text is not null"), "text")
+    # A few sums for each core, not one for each split of the input.
+    few = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    texts = small_batches(docs.select("text").filter("text is not null"), "text").coalesce(few)
     parts = written(texts.mapInPandas(count, "block int, part long, counts binary"), "shingle-counts")
     sums, n = np.zeros(1 << SKETCH_BITS), 1
     for row in tree_sum(parts, ["block"], "counts").collect():  # 8 MB, whatever the corpus
@@ -241,9 +243,10 @@ def _candidates(group: pd.DataFrame) -> list[tuple[int, int, int]]:
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(node, sig, keys) -> members of shared buckets, with n, leader and lead, its sig."""
-    entries = nodes.select(F.explode("keys").alias("key"), "node", "sig")
+    entries = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = written(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
-    entries = written(entries.join(sizes, "key"), "near-entries")
+    # Samples come in for members of shared buckets only.
+    entries = written(written(entries.join(sizes, "key"), "near-shared").join(nodes.select("node", "sig"), "node"), "near-entries")
     central = entries.groupBy("node").agg(F.sum("n").alias("c"))
     lead = written(entries.select("key", "node", "sig").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "sig")).alias("lead")), "near-leaders")
     return written(entries.join(lead, "key").select("key", "n", "node", "sig", F.col("lead.node").alias("leader"), F.col("lead.sig").alias("lead")), "near-led")
@@ -329,10 +332,10 @@ def _picked(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return docs.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
 
 
-def texts_of(taking_part: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One text for each node. docs: key, node, text; rows: key, node of every text."""
-    one_of_each = written(rows.join(taking_part.distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "near-texts-of")
-    texts = _picked(docs, one_of_each, ["key", "node"], "left_semi").dropDuplicates(["node"])
+def texts_of(taking_part: DataFrame, docs: DataFrame, one_of_each: DataFrame) -> DataFrame:
+    """One text for each node. docs: key, node, text; one_of_each: node and the key of one of its rows."""
+    wanted = written(one_of_each.join(taking_part.distinct(), "node", "left_semi"), "near-texts-of")
+    texts = _picked(docs, wanted, ["key", "node"], "left_semi").dropDuplicates(["node"])
     return written(texts.select("node", "text"), "near-texts")
 
 
@@ -398,7 +401,7 @@ def classes(docs: DataFrame) -> DataFrame:
     idf = spark.sparkContext.broadcast(idf_table(docs))  # 4 MB
     rows = written(sampled(docs, idf), "near-samples")
     nodes = written(rows.filter("keys is not null").dropDuplicates(["node"]).select("node", "chars", "sig", "keys"), "near-nodes")
-    keyed = rows.select("node", _key().alias("key"))
+    keyed = written(rows.filter("keys is not null").groupBy("node").agg(F.min(_key()).alias("key")), "near-one-of-each")
     led = buckets(nodes)
     lead = leader_pairs(led)
     source = docs.select("key", "node", "text")
