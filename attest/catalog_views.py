@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attest.catalog import _RULES, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query, verify_claims
 from attest.fixtures import frame
+from attest.operators._store import saved
 
 _CORPUS = "select cast(1 as bigint) as corpus_id, subject_id, predicate, object_id from edges"
 
@@ -19,9 +20,9 @@ _NG = _G.replace("from edges", "from nation_edges")
 # --- graph ---
 
 
-@query(_NG + " select corpus_id, subject_id, predicate, object_id from g", "nation_edges")
+@query(_G + " select corpus_id, subject_id, predicate, object_id from g", "edges")
 def graph_build(spark, sf_dir):
-    return G.graph_edges(_edges(spark, sf_dir, "nation_edges"))
+    return G.graph_edges(_edges(spark, sf_dir))
 
 
 _DEGREE = "select n.corpus_id, n.node_id, coalesce(o.d, 0) as out_degree, coalesce(o.p, 0) as n_predicates, coalesce(o.t, 0) as n_triples, coalesce(i.d, 0) as in_degree from nodes n left join (select corpus_id, subject_id, count(distinct object_id) as d, count(distinct predicate) as p, count(*) as t from g group by 1, 2) o on o.corpus_id = n.corpus_id and o.subject_id = n.node_id left join (select corpus_id, object_id, count(distinct subject_id) as d from g group by 1, 2) i on i.corpus_id = n.corpus_id and i.object_id = n.node_id"
@@ -46,21 +47,43 @@ def _pagerank_sql(graph: str, rounds: int, tail: str) -> str:
     return ", ".join(parts) + " " + tail.replace("{last}", f"r{rounds}")
 
 
-@query(_pagerank_sql(_NG, 20, "select corpus_id, node_id, round(score / (select sum(score) from {last}), 6) as score from {last}"), "nation_edges")
+_ranked: dict[tuple[str, str], object] = {}
+
+
+def _ranks(spark, sf_dir):
+    """Ranks of the whole graph, computed once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ranked:
+        _ranked[key] = saved(G.pagerank(_edges(spark, sf_dir)), "ranks")
+    return _ranked[key]
+
+
+@query(_pagerank_sql(_G, 50, "select corpus_id, node_id, floor(score / (select sum(score) from {last}) * 1e9 + 0.5) as score_e9 from {last}"), "edges")
 def pagerank(spark, sf_dir):
-    out = G.pagerank(_edges(spark, sf_dir, "nation_edges"), iterations=20)
-    return out.select("corpus_id", "node_id", F.round("score", 6).alias("score"))
+    return _ranks(spark, sf_dir).select("corpus_id", "node_id", F.round(F.col("score") * 1e9).cast("double").alias("score_e9"))
 
 
-@query(_pagerank_sql(_NG, 10, ", d as (" + _DEGREE + ") select corpus_id, node_id, rank, in_degree, out_degree from (select d.corpus_id, d.node_id, d.in_degree, d.out_degree, row_number() over (order by floor(score / (select sum(score) from {last}) * 1e9 + 0.5) desc, d.node_id) as rank from {last} r join d on d.node_id = r.node_id) x where rank <= 8").replace(" , d as", ", d as"), "nation_edges")
+@query(_pagerank_sql(_G, 50, ", d as (" + _DEGREE + ") select corpus_id, node_id, rank, in_degree, out_degree from (select d.corpus_id, d.node_id, d.in_degree, d.out_degree, row_number() over (order by floor(score / (select sum(score) from {last}) * 1e9 + 0.5) desc, d.node_id) as rank from {last} r join d on d.node_id = r.node_id) x where rank <= 8").replace(" , d as", ", d as"), "edges")
 def pagerank_topn(spark, sf_dir):
-    return G.pagerank_topn(_edges(spark, sf_dir, "nation_edges"), n=8, iterations=10).select("corpus_id", "node_id", "rank", "in_degree", "out_degree")
+    return G.pagerank_topn(_edges(spark, sf_dir), n=8, ranks=_ranks(spark, sf_dir)).select("corpus_id", "node_id", "rank", "in_degree", "out_degree")
 
 
-@query()
+_ENTITY_NAMES = "(select cast(s_suppkey as bigint) as node_id, s_name as name from supplier union all select cast(c_custkey + 1000000 as bigint), c_name from customer)"
+
+
+def _entity_names(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier").select(F.lit(1).cast("long").alias("corpus_id"), F.col("s_suppkey").cast("long").alias("node_id"), F.col("s_name").alias("name"))
+    return s.unionByName(_table(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("corpus_id"), (F.col("c_custkey") + 1000000).cast("long").alias("node_id"), F.col("c_name").alias("name")))
+
+
+@query(_pagerank_sql(_G, 50, f"select corpus_id, r.node_id, rank, name from (select corpus_id, node_id, row_number() over (order by floor(score / (select sum(score) from {{last}}) * 1e9 + 0.5) desc, node_id) as rank from {{last}}) r join {_ENTITY_NAMES} x on x.node_id = r.node_id where rank <= 5"), "edges")
 def top_entities(spark, sf_dir):
-    names = _table(spark, sf_dir, "nation").select(F.lit(1).cast("long").alias("corpus_id"), F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("name"))
-    return G.pagerank_topn(_edges(spark, sf_dir, "nation_edges"), names, n=5)
+    return G.pagerank_topn(_edges(spark, sf_dir), _entity_names(spark, sf_dir), n=5, ranks=_ranks(spark, sf_dir)).select("corpus_id", "node_id", "rank", "name")
+
+
+@query()
+def graph_view(spark, sf_dir):
+    return G.graph_view(_edges(spark, sf_dir), _entity_names(spark, sf_dir), ranks=_ranks(spark, sf_dir))[0]
 
 
 @query(
@@ -76,12 +99,12 @@ def communities(spark, sf_dir):
     return G.communities(_edges(spark, sf_dir))
 
 
-_SYNC = "".join([", e2 as (select distinct a, b from (select subject_id as a, object_id as b from nation_edges union all select object_id, subject_id from nation_edges) x where a <> b), nodes as (select distinct unnest([subject_id, object_id]) as node_id from nation_edges), l0 as materialized (select node_id, node_id as label from nodes)", *(f", v{k} as (select e2.a as node_id, l.label, count(*) as n from e2 join l{k - 1} l on l.node_id = e2.b group by 1, 2), l{k} as materialized (select l.node_id, coalesce(w.label, l.label) as label from l{k - 1} l left join (select node_id, label from (select *, row_number() over (partition by node_id order by n desc, label) as r from v{k}) y where r = 1) w on w.node_id = l.node_id)" for k in range(1, 9))])
+_SYNC = "".join([", e2 as (select distinct a, b from (select subject_id as a, object_id as b from edges union all select object_id, subject_id from edges) x where a <> b), nodes as (select distinct unnest([subject_id, object_id]) as node_id from edges), l0 as materialized (select node_id, node_id as label from nodes)", *(f", v{k} as (select e2.a as node_id, l.label, count(*) as n from e2 join l{k - 1} l on l.node_id = e2.b group by 1, 2), l{k} as materialized (select l.node_id, coalesce(w.label, l.label) as label from l{k - 1} l left join (select node_id, label from (select *, row_number() over (partition by node_id order by n desc, label) as r from v{k}) y where r = 1) w on w.node_id = l.node_id)" for k in range(1, 9))])
 
 
-@query(_SYNC + " select cast(1 as bigint) as corpus_id, node_id, dense_rank() over (order by first) - 1 as community from (select node_id, min(node_id) over (partition by label) as first from l8) z", "nation_edges")
+@query(_SYNC + " select cast(1 as bigint) as corpus_id, node_id, dense_rank() over (order by first) - 1 as community from (select node_id, min(node_id) over (partition by label) as first from l8) z", "edges")
 def communities_sync(spark, sf_dir):
-    return G.communities_sync(_edges(spark, sf_dir, "nation_edges"))
+    return G.communities_sync(_edges(spark, sf_dir))
 
 
 @query()
@@ -329,7 +352,7 @@ def machine_facts(spark, sf_dir):
 
 @query()
 def brief_render(spark, sf_dir):
-    ranks = G.pagerank(_edges(spark, sf_dir, "nation_edges"), iterations=10)
+    ranks = _ranks(spark, sf_dir)
     return W.brief_render(W.machine_facts(_settled(spark, sf_dir), K.approved(frame(spark, sf_dir, "triples")), ranks))
 
 
@@ -389,9 +412,10 @@ def triple_provenance(spark, sf_dir):
     return t.join(u, (F.col("c_custkey") == F.col("triple_id") % 200) & (F.col("status") != "PENDING"), "left").select("triple_id", "doc_id", "source", "decider")
 
 
-@query("select c.claim_id, d.doc_id, d.lang from claims c join documents d on d.doc_id = c.claim_id % 97", "claims")
+@query("select c.claim_id, d.doc_id, d.lang from claims c join documents d on d.doc_id = c.claim_id % (select max(doc_id) + 1 from documents)", "claims")
 def claim_provenance(spark, sf_dir):
-    return frame(spark, sf_dir, "claims").join(_table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("claim_id") % 97).select("claim_id", "doc_id", "lang")
+    docs = _table(spark, sf_dir, "documents")
+    return frame(spark, sf_dir, "claims").crossJoin(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n")))).withColumn("doc_id", F.col("claim_id") % F.col("n")).join(docs.select("doc_id", "lang"), "doc_id").select("claim_id", "doc_id", "lang")
 
 
 @query(f"select s.claim_id, s.verdict, d.doc_id, e.event_id as passage_id, row_number() over (partition by s.claim_id order by e.event_id) as place from ({_SETTLED}) s join documents d on d.doc_id = s.claim_id % 97 join events e on e.user_id = d.doc_id", "claims", "judge")
@@ -462,6 +486,23 @@ def reply_schema_check(spark, sf_dir):
     return P.reply_schema_check(_replies(spark, sf_dir, _dealt(spark, sf_dir))).select("corpus_id", "reply_id", "reason")
 
 
+_DEALT = "(select f.*, min(triple_id) over (partition by s, part) as chunk_id from (select facts.*, (row_number() over (partition by s order by triple_id, p, o) - 1) // 8 as part from facts) f)"
+
+
+@query(f"select chunk_id as reply_id, case when k = 4 then 'SCHEMA_VALIDATION_FAILED' when k = 3 and 2 * n > 8 then 'OBJECT_LIMIT_EXCEEDED' when k in (1, 2) then 'SEMANTIC_VALIDATION_FAILED' end as reason, case when k = 0 or (k = 3 and 2 * n <= 8) then nd end as n_triples, case when k = 0 or (k = 3 and 2 * n <= 8) then nd end as n_claims from (select chunk_id, chunk_id % 5 as k, count(*) as n, count(distinct concat(lower(s), '|', p, '|', lower(o))) as nd from {_DEALT} d group by chunk_id) x", "facts")
+def reply_items_check(spark, sf_dir):
+    """Facts and claims of replies, some with a predicate or sentence that is wrong, given twice, or without polarity."""
+    k = F.col("chunk_id") % 5
+    f = _dealt(spark, sf_dir).withColumn("said", F.concat_ws(" ", "s", F.lit("it"), "p", "o"))
+    item = F.struct(F.col("s").alias("subject"), F.when(k == 1, "not_registered").otherwise(F.col("p")).alias("predicate"), F.col("o").alias("object"), F.when(k == 2, "nowhere said at all").otherwise(F.col("said")).alias("sentence"))
+    claim = F.struct(F.col("s").alias("subject"), F.col("said").alias("claim"), F.when(k != 4, "POSITIVE").alias("polarity"), F.col("said").alias("sentence"))
+    r = f.groupBy("chunk_id").agg(F.collect_list(item).alias("triples"), F.collect_list(claim).alias("claims"), F.array_join(F.collect_list("said"), ". ").alias("content"))
+    twice = lambda c: F.when(k == 3, F.concat(c, c)).otherwise(F.col(c)).alias(c)
+    raw = r.select("chunk_id", F.col("chunk_id").alias("reply_id"), "content", F.to_json(F.struct(twice("triples"), twice("claims"))).alias("raw_text"))
+    out = P.reply_items_check(P.reply_schema_check(raw))
+    return out.select("reply_id", "reason", F.when(F.col("reason").isNull(), F.size("triples")).cast("long").alias("n_triples"), F.when(F.col("reason").isNull(), F.size("claims")).cast("long").alias("n_claims"))
+
+
 @query("select corpus_id, case cast(chunk_id % 7 as int) when 3 then 'SCHEMA_VALIDATION_FAILED' else 'MALFORMED_JSON' end as reason, count(*) as n from (select distinct corpus_id, triple_id % 2000 as chunk_id from facts) x where chunk_id % 7 in (1, 2, 3) group by 1, 2", "facts")
 def quarantine_by_reason(spark, sf_dir):
     return P.quarantine_by_reason(P.reply_schema_check(_replies(spark, sf_dir)))

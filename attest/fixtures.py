@@ -6,6 +6,8 @@ DataFrame. Ids of facts come from a hash of their content, so they need no order
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attest.operators._store import saved
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "conversations", "pages", "embeddings")
 
 
@@ -38,7 +40,7 @@ def sql(name: str, dialect: str) -> str:
         "gold": "select b.item_id as query_id, d.corpus_id, b.text as query_text, min(d.doc_id) as gold_chunk_id from benchmark b join (select doc_id, doc_id % 4 as corpus_id, text from documents) d on {contains} group by b.item_id, d.corpus_id, b.text".replace("{contains}", "contains(d.text, b.text)"),
         "judge": f"select claim_id, corpus_id, case cast(claim_id % 5 as int) when 0 then 'SUPPORTED' when 1 then 'CONTRADICTED' when 2 then 'EXAGGERATED' when 3 then 'INSUFFICIENT_EVIDENCE' else 'SUPPORTED' end as judge_verdict, case when claim_id % 9 = 0 then null else cast(claim_id % 11 as double) / 10.0 end as score, case when claim_id % 13 = 0 then 'NO_EVIDENCE' else 'EVIDENCE_FOUND' end as evidence from ({claims}) c",
         "decisions": "select event_id as decision_id, user_id as item_id, case event_type when 'purchase' then 'APPROVE' when 'error' then 'REJECT' end as decision, ts as decided_at from events where event_type in ('purchase', 'error')",
-        "edges": "select distinct cast(s_suppkey as bigint) as subject_id, 'supplies' as predicate, cast(c_custkey + 1000000 as bigint) as object_id from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where l_quantity >= 45",
+        "edges": "select distinct cast(s_suppkey as bigint) as subject_id, 'supplies' as predicate, cast(c_custkey + 1000000 as bigint) as object_id from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey",
         "nation_edges": "select distinct cast(s_nationkey as bigint) as subject_id, 'supplies' as predicate, cast(c_nationkey as bigint) as object_id from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where l_quantity >= 49 and s_nationkey % 3 <> 0",
         "jobs": f"select cast(o_orderkey as bigint) as job_id, cast(o_custkey as bigint) as document_id, case o_orderstatus when 'O' then 'RUNNING' when 'F' then 'SUCCEEDED' else 'PENDING' end as status, cast(o_orderkey % 6 as int) as attempt_count, 5 as max_attempts, case when o_orderkey % 17 = 0 then null else {day} end as heartbeat from orders",
         "steps": "select cast(l_orderkey as bigint) * 100 + seq as step_id, cast(l_orderkey as bigint) as run_id, case when seq % 2 = 0 then cast(l_orderkey as bigint) * 100 + seq - 1 end as parent_step_id, seq, case cast(seq % 3 as int) when 0 then 'ENGINE' when 1 then 'LLM' else 'HUMAN' end as actor_type, case when l_returnflag = 'R' then 'RETRYING' when l_returnflag = 'A' then 'FAILED' else 'OK' end as status, cast(l_quantity as int) as attempt, cast(l_shipdate as date) as happened_on from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq from lineitem) x",
@@ -48,7 +50,7 @@ def sql(name: str, dialect: str) -> str:
         "arguments": "select cast(l_orderkey as bigint) * 100 + n as argument_id, cast(l_orderkey as bigint) as debate_id, cast(l_orderkey as bigint) * 10 + cast(l_linenumber as bigint) as round_id, cast(l_linenumber as int) as round_number, case cast(n % 3 as int) when 0 then 'HAWK' when 1 then 'DOVE' else 'SKEPTIC' end as persona, l_returnflag = 'R' as failed, cast(l_suppkey as bigint) as source_id from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem) x",
     }
     found["weights"] = f"select argument_id * 10 + k as weight_id, argument_id, cast((argument_id + k * 3) % 7 as int) as weight, source_id as verifier_id from ({found['arguments']}) a cross join (select 1 as k union all select 2 union all select 3) ks where (argument_id + k) % 4 <> 0"
-    found["triples"] = f"select triple_id, corpus_id, s as subject_text, p as predicate, o as object_text, t as effective_time, case when triple_id % 10 < 8 then 'APPROVED' when triple_id % 10 = 8 then 'PENDING' else 'REJECTED' end as status, triple_id % 97 as source_chunk_id from ({facts}) f"
+    found["triples"] = f"select triple_id, corpus_id, s as subject_text, p as predicate, o as object_text, t as effective_time, case when triple_id % 10 < 8 then 'APPROVED' when triple_id % 10 = 8 then 'PENDING' else 'REJECTED' end as status, triple_id % (select max(doc_id) + 1 from documents) as source_chunk_id from ({facts}) f"
     found["extraction"] = f"select s, p, o, triple_id % 23 as chunk_id, triple_id % 10 < 8 as in_gold, triple_id % 10 >= 1 as predicted, case when triple_id % 17 = 0 then concat(o, ' x') else o end as predicted_o from ({facts}) f"
     return found[name]
 
@@ -59,7 +61,24 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+#: Derived tables that others are made of: written once for a session and a folder of tables.
+STORED = ("claims", "facts", "arguments", "steps", "edges", "triples", "judge")
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _written:
+        return _written[key]
     text = sql(name, "spark")
+    for base in STORED:
+        inner = f"({sql(base, 'spark')})"
+        if base != name and inner in text:
+            view = f"stored_{base}"
+            frame(spark, sf_dir, base).createOrReplaceTempView(view)
+            text = text.replace(inner, view)
     register(spark, sf_dir, tuple(t for t in TABLES if t in text))
-    return spark.sql(text)
+    out = spark.sql(text)
+    if name in STORED:
+        out = _written[key] = saved(out, f"derived-{name}")
+    return out

@@ -1,7 +1,7 @@
 """The graph of approved facts: many corpora at once, iterations as joins.
 
-Loops keep nothing in one place: a step's result is written to the folder in spark.checkpoint.dir every
-few steps (checkpoint), so lineage stays short and a lost executor repeats a few steps only.
+Loops keep nothing in one place: a step's result is written to the folder in spark.checkpoint.dir, so
+lineage stays short and a lost executor repeats one step only.
 """
 
 import pandas as pd
@@ -9,17 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions.text import round_places
+from attest.operators._store import saved
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-attest-"))
-    return df.checkpoint()
+    return saved(df, "graph")
 
 
 def graph_edges(triples: DataFrame) -> DataFrame:
@@ -49,33 +43,36 @@ def graph_stats(triples: DataFrame) -> DataFrame:
     return out.withColumn("density", F.round(density, 9))
 
 
-def pagerank(triples: DataFrame, damping: float = 0.85, iterations: int = 50, every: int = 5) -> DataFrame:
+def pagerank(triples: DataFrame, damping: float = 0.85, iterations: int = 50) -> DataFrame:
     """(corpus_id, node_id, score, rank) by so many rounds; what nodes without successors hold is shared by all.
 
-    A round is one join of ranks to edges on the node and one sum by node; the shared part is one number per corpus.
+    A round is one join of ranks to links on the node and one sum by node. Every node gives itself 0, so that none
+    is lost, and what nodes without successors hold is one number per corpus. Ranks are written each round, so plans stay as
+    they are in the first.
     """
     links = graph_edges(triples).select("corpus_id", F.col("subject_id").alias("node_id"), "object_id").distinct()
     out = links.groupBy("corpus_id", "node_id").agg(F.count("*").alias("out"))
     nodes = graph_nodes(triples)
     n = nodes.groupBy("corpus_id").agg(F.count("*").alias("n"))
-    fixed = _cut(nodes.join(n, "corpus_id").join(out, ["corpus_id", "node_id"], "left"))
-    links = _cut(links)
-    rank = fixed.withColumn("score", 1.0 / F.col("n"))
-    for k in range(1, iterations + 1):
+    rank = _cut(nodes.join(n, "corpus_id").join(out, ["corpus_id", "node_id"], "left").withColumn("score", 1.0 / F.col("n")))
+    # Links of a node in rows of about a thousand: few rows to join, and no row grows with a hub.
+    most = F.floor(F.pmod(F.xxhash64("object_id"), F.ceil(F.col("out") / 1000)))
+    links = _cut(links.join(out, ["corpus_id", "node_id"]).groupBy("corpus_id", "node_id", most.alias("part")).agg(F.collect_list("object_id").alias("to")).drop("part"))
+    for _ in range(iterations):
         lost = rank.groupBy("corpus_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("score")).otherwise(0.0)).alias("lost"))
-        given = rank.filter("out is not null").join(links, ["corpus_id", "node_id"]).groupBy("corpus_id", F.col("object_id").alias("node_id")).agg(F.sum(F.col("score") / F.col("out")).alias("given"))
-        score = (1 - damping) / F.col("n") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        rank = fixed.join(given, ["corpus_id", "node_id"], "left").join(lost, "corpus_id").select("corpus_id", "node_id", "n", "out", score.alias("score"))
-        if k % every == 0:
-            rank = _cut(rank)
+        given = rank.join(links, ["corpus_id", "node_id"], "left")
+        to = F.concat(F.array(F.struct(F.col("node_id").alias("node_id"), F.lit(0.0).alias("part"), F.col("n").alias("n"), F.col("out").alias("out"))), F.transform(F.coalesce("to", F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("node_id"), (F.col("score") / F.col("out")).alias("part"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("out"))))
+        summed = given.select("corpus_id", F.explode(to).alias("x")).groupBy("corpus_id", "x.node_id").agg(F.sum("x.part").alias("given"), F.max("x.n").alias("n"), F.max("x.out").alias("out"))
+        score = (1 - damping) / F.col("n") + damping * (F.col("given") + F.col("lost") / F.col("n"))
+        rank = _cut(summed.join(lost, "corpus_id").select("corpus_id", "node_id", "n", "out", score.alias("score")))
     total = rank.groupBy("corpus_id").agg(F.sum("score").alias("total"))
     scored = rank.join(total, "corpus_id").select("corpus_id", "node_id", round_places(F.col("score") / F.col("total"), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("corpus_id").orderBy(F.desc("score"), "node_id")))
 
 
-def pagerank_topn(triples: DataFrame, names: DataFrame | None = None, n: int = 50, **how) -> DataFrame:
-    """The n best nodes with their degrees, and names where given."""
-    top = pagerank(triples, **how).filter(F.col("rank") <= n)
+def pagerank_topn(triples: DataFrame, names: DataFrame | None = None, n: int = 50, ranks: DataFrame | None = None, **how) -> DataFrame:
+    """The n best nodes with their degrees, and names where given. ranks: what ``pagerank`` gave, if it is there already."""
+    top = (pagerank(triples, **how) if ranks is None else ranks).filter(F.col("rank") <= n)
     out = top.join(graph_degree(triples).select("corpus_id", "node_id", "in_degree", "out_degree"), ["corpus_id", "node_id"])
     return out if names is None else out.join(names, ["corpus_id", "node_id"], "left")
 
@@ -97,9 +94,9 @@ def connected_components(triples: DataFrame, most: int = 200) -> DataFrame:
         label = _cut(label.join(jump, ["corpus_id", "component"]).select("corpus_id", "node_id", F.col("further").alias("component")))
         now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == before:
-            break
+            return label
         before = now
-    return label
+    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def _renumbered(labels: DataFrame) -> DataFrame:
@@ -109,16 +106,14 @@ def _renumbered(labels: DataFrame) -> DataFrame:
     return labels.join(number.select("corpus_id", "label", "community"), ["corpus_id", "label"]).select("corpus_id", "node_id", "community")
 
 
-def communities(triples: DataFrame, sweeps: int = 8, largest: int = 100_000) -> DataFrame:
+def communities(triples: DataFrame, sweeps: int = 8) -> DataFrame:
     """Label propagation node by node in order, exactly; labels never leave a component, so components run side by side.
 
-    A component of more than ``largest`` nodes is labelled in rounds instead (``communities_sync``); column mode says which.
+    Each node sees the labels that nodes before it took in the same sweep, so a component is one task at every size;
+    ``communities_sync`` is the form whose tasks don't grow.
     """
     part = connected_components(triples)
-    size = part.groupBy("corpus_id", "component").agg(F.count("*").alias("size"))
-    part = part.join(size, ["corpus_id", "component"])
-    links = _both_ways(triples)
-    rows = part.filter(F.col("size") <= largest).join(links, ["corpus_id", "node_id"], "left")
+    rows = part.join(_both_ways(triples), ["corpus_id", "node_id"], "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         label = {k: k for k in sorted(set(pdf["node_id"]))}
@@ -139,13 +134,7 @@ def communities(triples: DataFrame, sweeps: int = 8, largest: int = 100_000) ->
                 break
         return pd.DataFrame({"corpus_id": pdf["corpus_id"].iloc[0], "node_id": list(label), "label": list(label.values())})
 
-    exact = rows.groupBy("corpus_id", "component").applyInPandas(one, "corpus_id long, node_id long, label long").withColumn("mode", F.lit("EXACT"))
-    big = part.filter(F.col("size") > largest)
-    if not big.isEmpty():
-        left = triples.join(big.select("corpus_id", F.col("node_id").alias("subject_id")), ["corpus_id", "subject_id"], "left_semi")
-        exact = exact.unionByName(sync_labels(left, sweeps).withColumn("mode", F.lit("ROUNDS")))
-    modes = exact.select("corpus_id", "node_id", "mode")
-    return _renumbered(exact.drop("mode")).join(modes, ["corpus_id", "node_id"])
+    return _renumbered(rows.groupBy("corpus_id", "component").applyInPandas(one, "corpus_id long, node_id long, label long"))
 
 
 def sync_labels(triples: DataFrame, sweeps: int = 8) -> DataFrame:
@@ -167,6 +156,24 @@ def community_rows(members: DataFrame) -> DataFrame:
     return members.groupBy("corpus_id", "community").agg(F.count("*").alias("size"), F.min("node_id").alias("first_member"), F.max("node_id").alias("last_member"))
 
 
+def graph_view(triples: DataFrame, names: DataFrame | None = None, verified: DataFrame | None = None, ranks: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with degrees, score and community, edges with a label, and a row of measures per corpus.
+
+    triples: approved ones; with verified (triple_id) only those among them, as the scope VERIFIED_ONLY.
+    """
+    if verified is not None:
+        triples = triples.join(verified.select("triple_id").distinct(), "triple_id", "left_semi")
+    keys = ["corpus_id", "node_id"]
+    groups = communities(triples)
+    nodes = graph_degree(triples).select(*keys, "in_degree", "out_degree").join((pagerank(triples, **how) if ranks is None else ranks).select(*keys, "score"), keys).join(groups, keys)
+    nodes = nodes if names is None else nodes.join(names, keys, "left")
+    edges = triples.select("corpus_id", "subject_id", "object_id", "predicate", *(["subject_text", "object_text"] if "subject_text" in triples.columns else []))
+    if "subject_text" in edges.columns:
+        edges = edges.withColumn("label", F.concat_ws(" ", "subject_text", "predicate", "object_text")).drop("subject_text", "object_text")
+    stats = graph_stats(triples).join(groups.groupBy("corpus_id").agg(F.countDistinct("community").alias("n_communities")), "corpus_id")
+    return nodes, edges, stats
+
+
 def verified_scope(triples: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Triples whose subject key and predicate have a claim that is supported, and not overruled by people."""
     from attest.functions.text import entity_key

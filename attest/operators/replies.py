@@ -8,6 +8,8 @@ from attest.functions import text as T
 
 ITEM = "struct<subject:string,predicate:string,object:string,sentence:string>"
 CLAIM = "struct<subject:string,claim:string,polarity:string,sentence:string>"
+#: Fixed values.
+POLARITIES = ("POSITIVE", "NEGATIVE", "NEUTRAL")
 REPLY = f"struct<triples:array<{ITEM}>,claims:array<{CLAIM}>>"
 
 
@@ -32,8 +34,8 @@ def json_envelope(c: Column) -> Column:
 
 def _bad_fields(r: Column) -> Column:
     blank = lambda c: c.isNull() | (F.trim(c) == "")
-    triple = lambda t: blank(t["subject"]) | blank(t["object"]) | blank(t["sentence"]) | ~F.coalesce(t["predicate"].rlike("^[a-z][a-z_]{2,59}$"), F.lit(False)) | (F.length(t["subject"]) > 300) | (F.length(t["object"]) > 300)
-    claim = lambda t: blank(t["subject"]) | blank(t["claim"]) | blank(t["sentence"]) | (F.length(t["claim"]) > 600)
+    triple = lambda t: blank(t["subject"]) | blank(t["object"]) | blank(t["sentence"]) | ~F.coalesce(t["predicate"].rlike("^[a-z][a-z_]{2,59}$"), F.lit(False)) | (F.length(t["subject"]) > 300) | (F.length(t["object"]) > 300) | (F.length(t["sentence"]) > 600)
+    claim = lambda t: blank(t["subject"]) | blank(t["claim"]) | blank(t["sentence"]) | (F.length(t["claim"]) > 600) | (F.length(t["subject"]) > 300) | (F.length(t["sentence"]) > 600) | ~F.coalesce(t["polarity"].isin(*POLARITIES), F.lit(False))
     none = F.lit(False)
     return F.coalesce(F.exists(r["triples"], triple), none) | F.coalesce(F.exists(r["claims"], claim), none)
 
@@ -61,6 +63,30 @@ def reply_semantic_check(items: DataFrame, chunks: DataFrame, most: int = 12) ->
     return out.withColumn("reason", F.when(F.col("n_items") > most, "OBJECT_LIMIT_EXCEEDED").when(F.col("n_wrong") > 0, "SEMANTIC_VALIDATION_FAILED"))
 
 
+def reply_items_check(checked: DataFrame, most_triples: int = 12, most_claims: int = 8) -> DataFrame:
+    """Replies of ``reply_schema_check`` with content, the text of their chunk -> reason, and the triples and claims that are kept.
+
+    A sentence must be in the chunk and a predicate registered; any error, or more items than allowed, rejects the whole
+    reply. What repeats an item before it is left out. All of it is computed in the reply's own row.
+    """
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    there = lambda x: F.coalesce(T.phrase_contains(F.col("content"), x["sentence"]), F.lit(False))
+    known = lambda x: x["predicate"].isin([p[0] for p in V.PREDICATES])
+
+    def first_ones(items: Column, key) -> Column:
+        keys = F.transform(items, key)
+        return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    triples = F.coalesce("body.triples", F.array().cast(f"array<{ITEM}>"))
+    claims = F.coalesce("body.claims", F.array().cast(f"array<{CLAIM}>"))
+    wrong = F.exists("triples", lambda x: ~there(x) | ~known(x)) | F.exists("claims", lambda x: ~there(x))
+    many = (F.size("triples") > most_triples) | (F.size("claims") > most_claims)
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(many, "OBJECT_LIMIT_EXCEEDED").when(wrong, "SEMANTIC_VALIDATION_FAILED")
+    rows = checked.withColumns({"triples": triples, "claims": claims}).withColumn("reason", reason)
+    kept = {"triples": first_ones(F.col("triples"), lambda x: F.concat_ws("|", norm(x["subject"]), x["predicate"], norm(x["object"]))), "claims": first_ones(F.col("claims"), lambda x: F.concat_ws("|", norm(x["subject"]), norm(x["claim"]), x["polarity"]))}
+    return rows.withColumns({k: F.when(F.col("reason").isNull(), v) for k, v in kept.items()}).drop("body", "json")
+
+
 def quarantine_split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("reason is null"), checked.filter("reason is not null")
 

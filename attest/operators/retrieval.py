@@ -70,14 +70,15 @@ def evidence_status(queries: DataFrame, found: DataFrame) -> DataFrame:
 def chat_triples(questions: DataFrame, triples: DataFrame, most: int = 20) -> DataFrame:
     """Per question: approved triples of its corpus whose subject or object has the whole question in it, the newest first.
 
-    Names are indexed by their runs of three characters; a question is looked up by its first run and then
-    compared as a whole. Questions of fewer characters find nothing.
+    Names are indexed by their runs of one to three characters; a question is looked up by its first three, or all it
+    has, and then compared as a whole. An empty question finds nothing.
     """
     low = F.lower(F.col("name"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substr(low, i, F.lit(3))))
+    each = lambda n: F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(low, i, F.lit(n)))
+    runs = F.array_distinct(F.concat(each(1), each(2), each(3)))
     names = triples.filter("status = 'APPROVED'").select("corpus_id", F.explode(F.array("subject_text", "object_text")).alias("name")).distinct()
-    index = names.filter(F.length("name") >= 3).select("corpus_id", "name", F.explode(runs).alias("run"))
-    asked = questions.select("corpus_id", "question_id", F.lower(F.trim("question")).alias("q")).filter(F.length("q") >= 3).withColumn("run", F.substring("q", 1, 3))
+    index = names.filter(F.length("name") > 0).select("corpus_id", "name", F.explode(runs).alias("run"))
+    asked = questions.select("corpus_id", "question_id", F.lower(F.trim("question")).alias("q")).filter(F.length("q") > 0).withColumn("run", F.substring("q", 1, 3))
     hits = asked.join(index, ["corpus_id", "run"]).filter(F.contains(F.lower("name"), F.col("q"))).select("corpus_id", "question_id", "name")
     facts = triples.filter("status = 'APPROVED'").select("corpus_id", "triple_id", F.explode(F.array_distinct(F.array("subject_text", "object_text"))).alias("name"))
     found = hits.join(facts, ["corpus_id", "name"]).select("corpus_id", "question_id", "triple_id").distinct()

@@ -21,11 +21,6 @@ def rate_limit(calls: DataFrame, limit: int, gap: str = "1 minute", late: str =
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_calls", F.greatest(F.lit(0), F.col("n_calls") - limit).alias("n_refused"))
 
 
-def rate_tumbling(calls: DataFrame, limit: int, size: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    w = calls.withWatermark("ts", late).groupBy("user_id", F.window("ts", size)).agg(F.count("*").alias("n_calls"))
-    return w.select("user_id", F.col("window.start").alias("start"), "n_calls", F.greatest(F.lit(0), F.col("n_calls") - limit).alias("n_refused"))
-
-
 def doc_dedup(docs: DataFrame, late: str = "1 hour") -> DataFrame:
     """First arrivals of a text in its corpus, within the watermark; state is bounded by it."""
     return docs.withColumn("content_hash", F.sha2("text", 256)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["corpus_id", "content_hash"])
@@ -52,13 +47,23 @@ def replies(stream: DataFrame, good: str, quarantine: str, checkpoint: str):
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
 
 
-def decisions(stream: DataFrame, triples: DataFrame, findings: str, checkpoint: str):
-    """After each batch of approvals: conflicts of the subjects and predicates that it touches, those not stored yet."""
+def decisions(stream: DataFrame, triples: DataFrame, findings: str, checkpoint: str, applied: str | None = None):
+    """After each batch of decisions: conflicts of the subjects and predicates that it touches, those not stored yet.
+
+    The first decision on a triple counts. Decisions are kept in a table (applied, else beside findings), so approvals
+    of earlier batches take part; subjects and predicates meet as relation_conflicts groups them.
+    """
+    applied = applied or f"{findings.rstrip('/')}_applied"
+    keys = ["corpus_id", "sk", "pk"]
+    named = triples.withColumns({"sk": X.norm(F.col("subject_text")), "pk": F.lower("predicate")})
+
     def scan(batch: DataFrame, _: int) -> None:
-        ids = batch.filter("decision = 'APPROVE'").select(F.col("item_id").alias("triple_id")).distinct()
-        keys = triples.join(ids, "triple_id", "left_semi").select("corpus_id", "subject_text", "predicate").distinct()
-        touched = triples.join(keys, ["corpus_id", "subject_text", "predicate"], "left_semi")
-        approved = touched.filter("status = 'APPROVED'").unionByName(touched.filter("status <> 'APPROVED'").join(ids, "triple_id", "left_semi").select(*touched.columns))
+        new = batch.filter("decision in ('APPROVE', 'REJECT')").groupBy(F.col("item_id").alias("triple_id")).agg(F.min_by("decision", "decision_id").alias("decision"))
+        append_new(new, applied, ["triple_id"])
+        decided = batch.sparkSession.read.parquet(applied)
+        touched = named.join(new.select("triple_id"), "triple_id", "left_semi").select(*keys).distinct()
+        rows = named.join(touched, keys, "left_semi").join(decided.select("triple_id", "decision"), "triple_id", "left")
+        approved = rows.filter("status = 'APPROVED' or (status = 'PENDING' and decision = 'APPROVE')").select(*triples.columns)
         append_new(X.relation_conflicts(approved), findings, ["corpus_id", "conflict_hash"])
 
     return stream.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint)

@@ -1,10 +1,12 @@
 """Hand-computed cases for single operators."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from attest import vocabulary as V
 from attest.functions import scores as S
 from attest.functions import text as T
 from attest.operators import claims as C
@@ -24,12 +26,12 @@ def one(spark, value, f, kind="string"):
 @pytest.mark.parametrize(
     ("text", "weasels", "absolutes", "penalty"),
     [
-        ("Meridian Group reports to Northstar Holdings.", 0, 0, 0.0),
-        ("The acquisition was reportedly completed and Orion Systems allegedly supplies them.", 2, 0, 0.08),
-        ("Northstar Holdings always funds every project that Aster Labs owns.", 0, 2, 0.12),
-        ("The small allowance was a ball game for the allowance committee.", 0, 0, 0.0),
-        ("The acquisition is not guaranteed.", 0, 0, 0.0),
-        ("Without exception, the policy applies.", 0, 1, 0.06),
+        ("Calder Works owns Brightwater Mill.", 0, 0, 0.0),
+        ("The merger was reportedly agreed and Lindqvist Ferries allegedly runs the route.", 2, 0, 0.08),
+        ("Harbor Trust always pays every invoice that Calder Works sends.", 0, 2, 0.12),
+        ("A tall wall by the mall was callous to football.", 0, 0, 0.0),
+        ("A refund of the deposit is not guaranteed.", 0, 0, 0.0),
+        ("Members pay, without exception, in March.", 0, 1, 0.06),
         ("ALWAYS, DEFINITELY, GUARANTEED.", 0, 3, 0.18),
         ("", 0, 0, 0.0),
         (None, 0, 0, 0.0),
@@ -159,7 +161,7 @@ def test_communities_agree_with_plain_python(spark):
     first = sorted({min(k for k in label if label[k] == x) for x in label.values()})
     want = {k: first.index(min(j for j in label if label[j] == label[k])) for k in label}
     got = G.communities(_graph(spark, [(a, "x", b) for a, b in edges])).collect()
-    assert {g["node_id"]: g["community"] for g in got} == want and {g["mode"] for g in got} == {"EXACT"}
+    assert {g["node_id"]: g["community"] for g in got} == want
 
 
 def test_sentences(spark):
@@ -272,3 +274,41 @@ def test_rates_and_percentiles(spark):
     assert [r["allowed"] for r in W.rate_nth_call(calls, 60, 2).orderBy("event_id").collect()] == [True, True, False, True]
     r = E.latency_percentiles(spark.createDataFrame([("a", v) for v in (10, 20, 30, 40)], "k string, v long"), ["k"], "v").first()
     assert (r["p50"], r["p95"], r["top"]) == (30, 40, 40)
+
+
+def test_graph_view(spark):
+    nodes, edges, stats = G.graph_view(_graph(spark, [(1, "x", 2), (2, "x", 1), (3, "x", 4)]).withColumn("triple_id", F.col("subject_id") * 10), spark.createDataFrame([(1, 1, "one")], "corpus_id long, node_id long, name string"))
+    got = {r["node_id"]: (r["in_degree"], r["out_degree"], r["community"], r["name"]) for r in nodes.collect()}
+    assert got[1] == (1, 1, got[2][2], "one") and got[3][:2] == (0, 1) and got[4][2] == got[3][2] != got[1][2]
+    assert edges.count() == 3 and stats.first()["n_communities"] >= 2
+    some = G.graph_view(_graph(spark, [(1, "x", 2), (3, "x", 4)]).withColumn("triple_id", F.col("subject_id") * 10), verified=spark.createDataFrame([(10,)], "triple_id long"))
+    assert {r["node_id"] for r in some[0].collect()} == {1, 2}
+
+
+def test_items_of_replies(spark):
+    text = "Calder Works owns Brightwater Mill. Calder Works says it may sell the mill soon."
+    fact = {"subject": "Calder Works", "predicate": V.PREDICATES[0][0], "object": "Brightwater Mill", "sentence": "calder works owns Brightwater Mill"}
+    claim = {"subject": "Calder Works", "claim": "it may sell the mill", "polarity": "NEUTRAL", "sentence": "it may sell the mill soon"}
+    replies = [
+        ([fact, {**fact, "object": " brightwater  MILL"}], [claim, claim], None, 1, 1),
+        ([{**fact, "sentence": "owns"}], [], "SEMANTIC_VALIDATION_FAILED", None, None),
+        ([], [{**claim, "sentence": "it may buy the mill"}], "SEMANTIC_VALIDATION_FAILED", None, None),
+        ([], [{**claim, "polarity": None}], "SCHEMA_VALIDATION_FAILED", None, None),
+        ([], [claim] * 9, "OBJECT_LIMIT_EXCEEDED", None, None),
+        ([{**fact, "predicate": "never_heard_of"}], [], "SEMANTIC_VALIDATION_FAILED", None, None),
+        ([{**fact, "sentence": "x " * 301}], [], "SCHEMA_VALIDATION_FAILED", None, None),
+        ([], [{**claim, "subject": "x" * 301}], "SCHEMA_VALIDATION_FAILED", None, None),
+        ([], [], None, 0, 0),
+    ]
+    df = spark.createDataFrame([(k, json.dumps({"triples": t, "claims": c}), text) for k, (t, c, *_) in enumerate(replies)], "reply_id long, raw_text string, content string")
+    got = {r["reply_id"]: r for r in P.reply_items_check(P.reply_schema_check(df)).collect()}
+    for k, (_, _, reason, n, m) in enumerate(replies):
+        r = got[k]
+        assert (r["reason"], None if r["triples"] is None else len(r["triples"]), None if r["claims"] is None else len(r["claims"])) == (reason, n, m), k
+
+
+def test_short_questions_find_names(spark):
+    t = spark.createDataFrame([(1, 1, "IBM", "Ab", "APPROVED"), (1, 2, "xy", "cab", "APPROVED")], "corpus_id long, triple_id long, subject_text string, object_text string, status string")
+    q = spark.createDataFrame([(1, 1, "ab"), (1, 2, "x"), (1, 3, " "), (1, 4, "ibm")], "corpus_id long, question_id long, question string")
+    got = sorted((r["question_id"], r["triple_id"]) for r in R.chat_triples(q, t).collect())
+    assert got == [(1, 1), (1, 2), (2, 2), (4, 1)]

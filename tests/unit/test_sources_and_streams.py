@@ -88,6 +88,16 @@ def test_stream_decisions_find_what_a_batch_finds(spark, stream, tmp_path):
     assert got == {r[0] for r in X.relation_conflicts(t).select("conflict_hash").collect()} and len(got) == 6
 
 
+def test_conflicts_across_batches_are_found(spark, stream, tmp_path):
+    t = spark.createDataFrame([(1, 1, "Calder Works", "reports_to", "A", None, "PENDING"), (1, 2, "calder works", "reports_to", "B", None, "PENDING"), (1, 3, "Calder Works", "reports_to", "C", None, "PENDING")], "corpus_id long, triple_id long, subject_text string, predicate string, object_text string, effective_time string, status string")
+    s = stream([[(1, 1, "APPROVE"), (2, 3, "REJECT")], [(3, 2, "APPROVE"), (4, 3, "APPROVE")]], "decision_id long, item_id long, decision string")
+    q = jobs.decisions(s, t, str(tmp_path / "f"), str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = X.relation_conflicts(t.filter("triple_id < 3")).select("conflict_hash").collect()
+    assert {r[0] for r in spark.read.parquet(str(tmp_path / "f")).select("conflict_hash").collect()} == {r[0] for r in want} and len(want) == 1
+
+
 def test_stream_counts(spark, stream):
     s = stream([[(0, "LLM", "OK"), (1, "LLM", "FAILED")], [(2, "ENGINE", "OK")], [(9000, "LLM", "OK")], [(19000, "LLM", "OK")]], "s long, actor_type string, status string").withColumn("ts", F.timestamp_seconds("s"))
     got = _ran(jobs.trace_stats(s, "10 minutes", "10 minutes"), "traces", "append").collect()
