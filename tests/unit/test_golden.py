@@ -277,11 +277,11 @@ def test_rates_and_percentiles(spark):
 
 
 def test_graph_view(spark):
-    nodes, edges, stats = G.graph_view(_graph(spark, [(1, "x", 2), (2, "x", 1), (3, "x", 4)]).withColumn("triple_id", F.col("subject_id") * 10), spark.createDataFrame([(1, 1, "one")], "corpus_id long, node_id long, name string"))
+    nodes, edges, stats = G.graph_view(_graph(spark, [(1, "x", 2), (2, "x", 1), (3, "x", 4)]).withColumn("triple_id", F.col("subject_id") * 10), spark.createDataFrame([(1, 1, "one")], "corpus_id long, node_id long, name string"), iterations=3)
     got = {r["node_id"]: (r["in_degree"], r["out_degree"], r["community"], r["name"]) for r in nodes.collect()}
     assert got[1] == (1, 1, got[2][2], "one") and got[3][:2] == (0, 1) and got[4][2] == got[3][2] != got[1][2]
     assert edges.count() == 3 and stats.first()["n_communities"] >= 2
-    some = G.graph_view(_graph(spark, [(1, "x", 2), (3, "x", 4)]).withColumn("triple_id", F.col("subject_id") * 10), verified=spark.createDataFrame([(10,)], "triple_id long"))
+    some = G.graph_view(_graph(spark, [(1, "x", 2), (3, "x", 4)]).withColumn("triple_id", F.col("subject_id") * 10), verified=spark.createDataFrame([(10,)], "triple_id long"), iterations=3)
     assert {r["node_id"] for r in some[0].collect()} == {1, 2}
 
 
