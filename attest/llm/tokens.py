@@ -36,6 +36,8 @@ STRIPE = 16 << 20
 COMPRESS = "LZ4"
 #: Characters of pieces, and ids, of each of the two halves that a worker keeps.
 KEPT = 9_000_000
+#: Words that are encoded in one call.
+LINES = 1024
 
 _BEFORE_WHITE = re.compile(r" \s")
 _AMID_WHITE = re.compile(r"\s \s")
@@ -61,11 +63,18 @@ def _word(key: str) -> str:
     return key[1:] if key[:1] == " " or key[:2] == "\0 " else " " + key
 
 
+class _Numbers(dict):
+    """Number by key; -1 for others, which ``in`` and ``get`` don't see."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
+
+
 class _Kept:
     """Ids by key, in one array."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.flat = np.zeros(1 << 16, "int32")
         self.start, self.size = np.zeros(1 << 14, "int64"), np.zeros(1 << 14, "int64")
         self.used = self.chars = 0
@@ -141,20 +150,20 @@ class Encoder:
 
     def _learn_lines(self, keys: list[str], texts: list[str], lead: str, tokenizer) -> None:
         """Words that are texts with the same lead."""
-        for i in range(0, len(keys), 4096):
-            text = lead + ("\n" + lead).join(texts[i : i + 4096])
+        for i in range(0, len(keys), LINES):
+            text = lead + ("\n" + lead).join(texts[i : i + LINES])
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "int32")
             # A word ends where its bytes do; the breaks between words have no token, and Ġ stands for one byte.
             raw = np.frombuffer((text.replace("Ġ", " ") if tokenizer is self.ascii else text).encode("utf-8"), "uint8")
             stop = np.append(np.flatnonzero(raw == 10), len(raw))
             stop -= np.arange(len(stop))
-            self.kept.add(keys[i : i + 4096], ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), stop) + 1, prepend=0))
+            self.kept.add(keys[i : i + LINES], ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), stop) + 1, prepend=0))
 
     def _learn(self, keys: list[str]) -> None:
         """Keys of pieces that are not kept."""
         old = self.old.number
         if old:
-            at = np.fromiter(map(old.get, keys, itertools.repeat(-1)), "int64", len(keys))
+            at = np.fromiter(map(old.__getitem__, keys), "int64", len(keys))
             known = [k for k, x in zip(keys, at.tolist(), strict=True) if x >= 0]
             if known:
                 self.kept.add(known, *self.old.take(at[at >= 0]))
@@ -200,7 +209,7 @@ class Encoder:
                     keys.append(" " + head)
                 keys += tail
             counts.append(len(keys) - before)
-        at = np.fromiter(map(self.kept.number.get, keys, itertools.repeat(-1)), "int64", len(keys))
+        at = np.fromiter(map(self.kept.number.__getitem__, keys), "int64", len(keys))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             self._learn(list({keys[i] for i in missing}))
