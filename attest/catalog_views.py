@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attest.catalog import _RULES, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query, verify_claims
+from attest.catalog import _RULES, _SCAN, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query, verify_claims
 from attest.fixtures import frame
 from attest.operators._store import saved
 
@@ -219,14 +219,14 @@ _TEXT = "trim(regexp_replace(regexp_replace(trim({}), '\\.+$', ''), '\\s+', ' ',
 
 
 @query(
-    f""", gold as (select s || ' ' || p || ' ' || o || case when triple_id % 2 = 0 then '.' else '' end as text, case when triple_id % 3 = 0 then 'SUPPORTED' else 'CONTRADICTED' end as expected, p as category from facts where triple_id % 20 < 5),
+    f""", gold as (select s || ' ' || p || ' ' || o || case when triple_id % 2 = 0 then '.' else '' end as text, case when triple_id % 3 = 0 then 'SUPPORTED' else 'CONTRADICTED' end as expected, p as category from facts),
     k as (select {_TEXT.format('claim_text')} as k, count(*) as n, min(status) as status, min(verdict) as verdict from (select claim_text, case when claim_id % 4 = 0 then 'PROPOSED' else 'APPROVED' end as status, case when claim_id % 2 = 0 then 'SUPPORTED' else 'CONTRADICTED' end as verdict from claims) c group by 1),
     r as (select g.*, k.verdict, case when n is null then 'NOT_FOUND' when n > 1 then 'AMBIGUOUS' when status <> 'APPROVED' then 'NOT_APPROVED' end as why from gold g left join k on k.k = {_TEXT.format('g.text')})
     select category, count(*) as n_gold, count(*) filter (why is null) as n_used, count(*) filter (why is null and verdict = expected) as n_right, count(*) filter (why = 'NOT_FOUND') as n_not_found, count(*) filter (why = 'AMBIGUOUS') as n_ambiguous, count(*) filter (why = 'NOT_APPROVED') as n_not_approved, case when count(*) filter (why is null) > 0 then round(count(*) filter (why is null and verdict = expected) / count(*) filter (why is null), 4) end as accuracy from r group by rollup (category)""",
     "facts", "claims",
 )
 def verdict_accuracy(spark, sf_dir):
-    f = frame(spark, sf_dir, "facts").filter("triple_id % 20 < 5")
+    f = frame(spark, sf_dir, "facts")
     gold = f.select(F.concat(F.concat_ws(" ", "s", "p", "o"), F.when(F.col("triple_id") % 2 == 0, ".").otherwise("")).alias("text"), F.when(F.col("triple_id") % 3 == 0, "SUPPORTED").otherwise("CONTRADICTED").alias("expected"), F.col("p").alias("category"))
     claims = frame(spark, sf_dir, "claims").select("claim_text", F.when(F.col("claim_id") % 4 == 0, "PROPOSED").otherwise("APPROVED").alias("status"), F.when(F.col("claim_id") % 2 == 0, "SUPPORTED").otherwise("CONTRADICTED").alias("verdict"))
     return E.verdict_accuracy(gold, claims)
@@ -239,15 +239,35 @@ def latency_percentiles(spark, sf_dir):
 
 # --- statistics ---
 
-_STATES = {"triples": ["APPROVED", "PENDING", "REJECTED", "RETIRED"], "debates": ["ROUND_ACTIVE", "COMPLETED", "AWAITING_CHAIR", "ABORTED"]}
-_DIM = ", ".join(f"('{t}', '{s}')" for t, ss in _STATES.items() for s in ss)
-
-
-@query(f"select c.corpus_id, d.table_name, d.status, coalesce(n, 0) as n from (select distinct doc_id % 4 as corpus_id from documents) c cross join (values {_DIM}) d(table_name, status) left join (select corpus_id, 'triples' as t, status as s, count(*) as n from triples group by all union all select corpus_id, 'debates', state, count(*) from debates group by all) x on x.corpus_id = c.corpus_id and x.t = d.table_name and x.s = d.status", "triples", "debates")
+_STATES = {
+    "documents": ["UPLOADED", "EXTRACTED", "AWAITING_APPROVAL"],
+    "triples": ["APPROVED", "PENDING", "REJECTED", "RETIRED"],
+    "claims": ["APPROVED", "PENDING", "REJECTED"],
+    "verdicts": ["SUPPORTED", "CONTRADICTED", "EXAGGERATED", "INSUFFICIENT_EVIDENCE", "SOURCE_MISSING"],
+    "contradictions": ["RELATION_CONFLICT", "POLARITY_CONFLICT", "VERDICT_CONFLICT"],
+    "debates": ["ROUND_ACTIVE", "COMPLETED", "AWAITING_CHAIR", "ABORTED"],
+}
+_DIM = ", ".join(f"('{t}', '{s}')" for t, ss in _STATES.items() for s in (*ss, "TOTAL"))
+_DOC_STATUS = "case cast(doc_id % 3 as int) when 0 then 'UPLOADED' when 1 then 'EXTRACTED' else 'AWAITING_APPROVAL' end"
+_CLAIM_STATUS = "case when status_no < 3 then 'APPROVED' when status_no = 3 then 'PENDING' else 'REJECTED' end"
+_COUNTED = f"select corpus_id, 'documents' as t, {_DOC_STATUS} as status from docs union all select corpus_id, 'triples', status from triples union all select corpus_id, 'claims', {_CLAIM_STATUS} from claims union all select corpus_id, 'verdicts', verdict from ({_SETTLED}) v union all select corpus_id, 'contradictions', conflict_type from ({_SCAN}) c union all select corpus_id, 'debates', state from debates"
+
+
+@query(f", counted as (select corpus_id, t, status, count(*) as n from ({_COUNTED}) a group by all) select c.corpus_id, d.table_name, d.status, coalesce(n, 0) as n from (select distinct doc_id % 4 as corpus_id from documents) c cross join (values {_DIM}) d(table_name, status) left join (select * from counted union all select corpus_id, t, 'TOTAL', sum(n)::bigint from counted group by all) x on x.corpus_id = c.corpus_id and x.t = d.table_name and x.status = d.status", "docs", "triples", "claims", "judge", "debates")
 def corpus_statistics(spark, sf_dir):
-    corpora = frame(spark, sf_dir, "docs").select("corpus_id").distinct()
-    debates = frame(spark, sf_dir, "debates").select("corpus_id", F.col("state").alias("status"))
-    return W.corpus_statistics(corpora, {"triples": (frame(spark, sf_dir, "triples").select("corpus_id", "status"), _STATES["triples"]), "debates": (debates, _STATES["debates"])})
+    from attest.plans.scan import contradiction_scan as scan
+
+    docs, claims, settled = frame(spark, sf_dir, "docs"), frame(spark, sf_dir, "claims"), _settled(spark, sf_dir)
+    found = scan(K.approved(frame(spark, sf_dir, "triples")), claims, _verdicts(spark, sf_dir))
+    rows = {
+        "documents": docs.select("corpus_id", F.expr(_DOC_STATUS).alias("status")),
+        "triples": frame(spark, sf_dir, "triples").select("corpus_id", "status"),
+        "claims": claims.select("corpus_id", F.expr(_CLAIM_STATUS).alias("status")),
+        "verdicts": settled.select("corpus_id", F.col("verdict").alias("status")),
+        "contradictions": found.select("corpus_id", F.col("conflict_type").alias("status")),
+        "debates": frame(spark, sf_dir, "debates").select("corpus_id", F.col("state").alias("status")),
+    }
+    return W.corpus_statistics(docs.select("corpus_id").distinct(), {name: (df, _STATES[name]) for name, df in rows.items()})
 
 
 @query("select status, corpus_id, count(*) as n from triples group by all", "triples")
@@ -328,9 +348,27 @@ def round_outcome(spark, sf_dir):
     return W.round_outcome(frame(spark, sf_dir, "arguments"))
 
 
-@query()
+def _as_json(column):
+    return F.to_json(column, {"ignoreNullFields": "false"}).alias(column)
+
+
+_CITED = "select argument_id, k as place, source_id + k as source_id from arguments cross join (select 1 as k union all select 2) x where (argument_id + k) % 3 <> 0"
+
+
+@query(
+    f""", cited as (select argument_id, list(source_id order by place) as citations from ({_CITED}) c group by 1),
+    last as (select argument_id, arg_max(weight, weight_id) as weight, arg_max(verifier_id, weight_id) as weighter from weights group by 1),
+    rounds as (select debate_id, round_id, round_number, list({{'argument_id': a.argument_id, 'persona': persona, 'failed': failed, 'weight': weight, 'weighter': weighter, 'citations': coalesce(citations, [])}} order by a.argument_id) as arguments from arguments a left join last on last.argument_id = a.argument_id left join cited on cited.argument_id = a.argument_id group by 1, 2, 3),
+    nested as (select debate_id, to_json(list({{'round_number': round_number, 'round_id': round_id, 'arguments': arguments}} order by round_number, round_id))::varchar as rounds from rounds group by 1)
+    select d.*, rounds from debates d left join nested n on n.debate_id = d.debate_id""",
+    "debates", "arguments", "weights",
+)
 def debate_view(spark, sf_dir):
-    return W.debate_view(frame(spark, sf_dir, "debates"), frame(spark, sf_dir, "arguments"), frame(spark, sf_dir, "weights"))
+    arguments = frame(spark, sf_dir, "arguments")
+    k = F.explode(F.array(F.lit(1), F.lit(2))).alias("place")
+    cited = arguments.select("argument_id", "source_id", k).filter("(argument_id + place) % 3 <> 0").withColumn("source_id", F.col("source_id") + F.col("place"))
+    out = W.debate_view(frame(spark, sf_dir, "debates"), arguments, frame(spark, sf_dir, "weights"), cited)
+    return out.withColumn("rounds", _as_json("rounds"))
 
 
 def _debate_events(spark, sf_dir):
@@ -344,23 +382,57 @@ def debate_fsm(spark, sf_dir):
     return W.debate_fsm(_debate_events(spark, sf_dir))
 
 
-@query(f"select corpus_id, fact_id, category, line from (select corpus_id, 'VD-' || claim_id as fact_id, 'VERDICT' as category, concat_ws(' ', subject, predicate, object_text, '->', verdict) as line, row_number() over (partition by corpus_id order by claim_id desc) as nth from ({_SETTLED}) s union all select corpus_id, 'TR-' || triple_id, 'TRIPLE', concat_ws(' ', subject_text, predicate, object_text), row_number() over (partition by corpus_id order by triple_id desc) from triples where status = 'APPROVED') x where nth <= 10", "claims", "judge", "triples")
+_FACTS = (
+    _pagerank_sql(_G, 50, _SYNC.replace("nodes", "members"))
+    + f""", settled as materialized ({_SETTLED}), conflicts as materialized ({_SCAN}),
+    about as (select corpus_id, lower(subject) as k, claim_id from (select *, row_number() over (partition by corpus_id, lower(subject) order by claim_id) as nth from claims where status_no < 3) x where nth <= 10),
+    asked as (select corpus_id, conflict_hash, left_claim_id as claim_id from conflicts where left_claim_id is not null union select corpus_id, conflict_hash, right_claim_id from conflicts where right_claim_id is not null union select c.corpus_id, c.conflict_hash, a.claim_id from conflicts c join about a on a.corpus_id = c.corpus_id and a.k = lower(c.subject_text)),
+    vd as (select a.corpus_id, conflict_hash, 'VD-' || a.claim_id as fact_id, 'VERDICT' as category, concat_ws(' ', subject, predicate, object_text, '->', verdict) as line from asked a join settled s on s.claim_id = a.claim_id and s.corpus_id = a.corpus_id),
+    tr as (select x.corpus_id, conflict_hash, 'TR-' || t.triple_id as fact_id, 'TRIPLE' as category, concat_ws(' ', subject_text, predicate, object_text, 'is', status) as line from (select distinct corpus_id, conflict_hash, unnest([left_triple_id, right_triple_id]) as triple_id from conflicts) x join triples t on t.triple_id = x.triple_id and t.corpus_id = x.corpus_id),
+    com as (select node_id, dense_rank() over (order by first) - 1 as community from (select node_id, min(node_id) over (partition by label) as first from l8) z),
+    sizes as (select community, count(*) as size from com group by 1), named as {_ENTITY_NAMES},
+    pr as (select node_id, row_number() over (order by floor(score / (select sum(score) from {{last}}) * 1e9 + 0.5) desc, node_id) as rank from {{last}})
+    select * from vd union all select * from tr
+    union all select distinct corpus_id, conflict_hash, 'GAP-VERDICT', 'GAP', 'no verdict on the claims in conflict' from conflicts where conflict_hash not in (select conflict_hash from vd)
+    union all select distinct corpus_id, conflict_hash, 'GAP-TRIPLE', 'GAP', 'no triple in conflict' from conflicts where conflict_hash not in (select conflict_hash from tr)
+    union all select 1, null, 'PR-' || pr.node_id, 'PAGERANK', concat_ws(' ', name, 'has rank', rank::varchar) from pr left join named n on n.node_id = pr.node_id where rank <= 10
+    union all select 1, null, 'COM-' || c.community || '-' || c.node_id, 'COMMUNITY', concat_ws(' ', name, 'in community', c.community::varchar, 'of', size::varchar) from (select * from com order by community, node_id limit 10) c join sizes s on s.community = c.community left join named n on n.node_id = c.node_id
+    union all select 1, null, 'COM-TOTAL', 'COMMUNITY_SUMMARY', count(*) || ' communities' from sizes"""
+).replace("{last}", "r50")
+
+
+def _facts(spark, sf_dir):
+    from attest.plans.scan import contradiction_scan as scan
+
+    claims, triples, edges, names = frame(spark, sf_dir, "claims"), frame(spark, sf_dir, "triples"), _edges(spark, sf_dir), _entity_names(spark, sf_dir)
+    conflicts = saved(scan(K.approved(triples), claims, _verdicts(spark, sf_dir)), "conflicts")
+    ranks = G.pagerank_topn(edges, names, n=10, ranks=_ranks(spark, sf_dir))
+    return W.machine_facts(conflicts, claims.filter("status_no < 3"), _settled(spark, sf_dir), triples, ranks, G.communities_sync(edges), names)
+
+
+@query(_FACTS, "triples", "claims", "judge", "edges")
 def machine_facts(spark, sf_dir):
-    ranks = spark.createDataFrame([], "corpus_id long, node_id long, rank int")
-    return W.machine_facts(_settled(spark, sf_dir), K.approved(frame(spark, sf_dir, "triples")), ranks)
+    return _facts(spark, sf_dir)
 
 
 @query()
 def brief_render(spark, sf_dir):
-    ranks = _ranks(spark, sf_dir)
-    return W.brief_render(W.machine_facts(_settled(spark, sf_dir), K.approved(frame(spark, sf_dir, "triples")), ranks))
+    return W.brief_render(_facts(spark, sf_dir))
 
 
-@query("select block_id, report_id, coalesce(n, 0) as n_citations, coalesce(bad, 0) as n_bad from (select cast(o_orderkey as bigint) as block_id, cast(o_custkey as bigint) as report_id from orders) b left join (select l_orderkey as o, count(*) as n, count(*) filter ((l_quantity > 10)::int + (l_discount > 0.05)::int <> 1) as bad from lineitem group by 1) c on c.o = b.block_id")
+@query(
+    """with c as (select l_orderkey as block_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place, case when l_quantity > 10 then cast(l_partkey as bigint) end as chunk_ref, case when l_discount > 0.05 then cast(l_suppkey as bigint) end as triple_ref from lineitem),
+    b as (select block_id, count(*) filter ((chunk_ref is not null)::int + (triple_ref is not null)::int <> 1) as n_bad, list({'place': place, 'chunk_ref': chunk_ref, 'triple_ref': triple_ref} order by place) as citations from c group by 1),
+    r as (select cast(o_custkey as bigint) as report_id, cast(o_orderkey as bigint) as block_id, row_number() over (partition by o_custkey order by o_orderkey) as seq from orders)
+    select report_id, count(*) as n_blocks, sum(coalesce(n_bad, 0))::bigint as n_bad, to_json(list({'seq': seq, 'block_id': r.block_id, 'n_bad': coalesce(n_bad, 0), 'citations': coalesce(citations, [])} order by seq))::varchar as blocks from r left join b on b.block_id = r.block_id group by 1"""
+)
 def report_view(spark, sf_dir):
-    blocks = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("block_id"), F.col("o_custkey").cast("long").alias("report_id"))
-    cited = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("block_id"), F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("chunk_ref"), F.when(F.col("l_discount") > 0.05, F.col("l_suppkey")).alias("triple_ref"))
-    return W.report_view(blocks, cited)
+    from pyspark.sql import Window
+
+    blocks = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("report_id"), F.col("o_orderkey").cast("long").alias("block_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("seq"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    cited = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("block_id"), nth.alias("place"), F.when(F.col("l_quantity") > 10, F.col("l_partkey").cast("long")).alias("chunk_ref"), F.when(F.col("l_discount") > 0.05, F.col("l_suppkey").cast("long")).alias("triple_ref"))
+    return W.report_view(blocks, cited).withColumn("blocks", _as_json("blocks"))
 
 
 # --- chats, jobs, listings ---
@@ -418,11 +490,13 @@ def claim_provenance(spark, sf_dir):
     return frame(spark, sf_dir, "claims").crossJoin(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n")))).withColumn("doc_id", F.col("claim_id") % F.col("n")).join(docs.select("doc_id", "lang"), "doc_id").select("claim_id", "doc_id", "lang")
 
 
-@query(f"select s.claim_id, s.verdict, d.doc_id, e.event_id as passage_id, row_number() over (partition by s.claim_id order by e.event_id) as place from ({_SETTLED}) s join documents d on d.doc_id = s.claim_id % 97 join events e on e.user_id = d.doc_id", "claims", "judge")
+@query(f"select s.claim_id, s.verdict, d.doc_id, e.event_id as passage_id, row_number() over (partition by s.claim_id order by e.event_id) as place from ({_SETTLED}) s join documents d on d.doc_id = s.claim_id % (select max(doc_id) + 1 from documents) join events e on e.user_id = d.doc_id", "claims", "judge")
 def verdict_provenance(spark, sf_dir):
     from pyspark.sql import Window
 
-    v = _settled(spark, sf_dir).select("claim_id", "verdict", (F.col("claim_id") % 97).alias("doc_id")).join(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    docs = _table(spark, sf_dir, "documents")
+    v = _settled(spark, sf_dir).crossJoin(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n"))))  # one row
+    v = v.select("claim_id", "verdict", (F.col("claim_id") % F.col("n")).alias("doc_id")).join(docs.select("doc_id"), "doc_id")
     p = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("passage_id"))
     return v.join(p, "doc_id").select("claim_id", "verdict", "doc_id", "passage_id", F.row_number().over(Window.partitionBy("claim_id").orderBy("passage_id")).alias("place"))
 

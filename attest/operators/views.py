@@ -1,5 +1,7 @@
 """Statistics and views over traces, debates, chats, jobs and listings."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,16 @@ def status_counts(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def corpus_statistics(corpora: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Counts by corpus, table and status, zero where there are none. tables: name -> (rows with corpus_id and status, all statuses)."""
-    spark = corpora.sparkSession
-    wanted = [(t, s) for t, (_, states) in tables.items() for s in states]
+    """Counts by corpus, table and status, zero where there are none, and TOTAL of each table, of any status.
+
+    tables: name -> (rows with corpus_id and status, all statuses).
+    """
+    wanted = [(t, s) for t, (_, states) in tables.items() for s in (*states, "TOTAL")]
     dim = corpora.select("corpus_id", F.explode(F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(s).alias("status")) for t, s in wanted))).alias("d")).select("corpus_id", "d.*")
     parts = [df.groupBy("corpus_id", "status").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(t)) for t, (df, _) in tables.items()]
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    assert spark is not None
+    counts = reduce(DataFrame.unionByName, parts)
+    totals = counts.groupBy("corpus_id", "table_name").agg(F.sum("n").alias("n")).withColumn("status", F.lit("TOTAL"))
+    counts = counts.unionByName(totals)
     return dim.join(counts, ["corpus_id", "table_name", "status"], "left").fillna(0, ["n"])
 
 
@@ -93,10 +96,16 @@ def unweighted_args(arguments: DataFrame, weights: DataFrame) -> DataFrame:
     return arguments.filter(~F.col("failed")).join(weights.select("argument_id"), "argument_id", "left_anti")
 
 
-def debate_view(debates: DataFrame, arguments: DataFrame, weights: DataFrame) -> DataFrame:
-    """Debates with nested rounds and arguments (with their last weight)."""
-    a = arguments.join(latest_weight(weights).select("argument_id", "weight"), "argument_id", "left")
-    rounds = a.groupBy("debate_id", "round_id", "round_number").agg(F.array_sort(F.collect_list(F.struct("argument_id", "persona", "failed", "weight"))).alias("arguments"))
+def debate_view(debates: DataFrame, arguments: DataFrame, weights: DataFrame, citations: DataFrame) -> DataFrame:
+    """Debates with nested rounds, their arguments (with the last weight and who gave it) and what those cite.
+
+    citations: argument_id, place and source_id. A debate without arguments has no rounds (null).
+    """
+    last = weights.groupBy("argument_id").agg(F.max_by(F.struct("weight", "verifier_id"), "weight_id").alias("w"))
+    cited = citations.groupBy("argument_id").agg(F.array_sort(F.collect_list(F.struct("place", "source_id"))).alias("citations"))
+    a = arguments.join(last, "argument_id", "left").join(cited, "argument_id", "left")
+    row = F.struct("argument_id", "persona", "failed", F.col("w.weight").alias("weight"), F.col("w.verifier_id").alias("weighter"), F.coalesce(F.transform("citations", lambda c: c["source_id"]), F.array().cast("array<bigint>")).alias("citations"))
+    rounds = a.groupBy("debate_id", "round_id", "round_number").agg(F.array_sort(F.collect_list(row)).alias("arguments"))
     nested = rounds.groupBy("debate_id").agg(F.array_sort(F.collect_list(F.struct("round_number", "round_id", "arguments"))).alias("rounds"))
     return debates.join(nested, "debate_id", "left")
 
@@ -126,29 +135,66 @@ def debate_fsm(events: DataFrame, most_rounds: int = 3) -> DataFrame:
     return log.select("debate_id", F.aggregate("log", start, step).alias("end")).select("debate_id", "end.*")
 
 
-def machine_facts(verdicts: DataFrame, triples: DataFrame, ranks: DataFrame, most: int = 10) -> DataFrame:
-    """Fact lines for a brief, by corpus: newest verdicts, triples, best-ranked nodes; ids VD-, TR-, PR-."""
-    def top(df: DataFrame, order: Column, tie: str) -> DataFrame:
-        return df.withColumn("nth", F.row_number().over(Window.partitionBy("corpus_id").orderBy(order, tie))).filter(F.col("nth") <= most)
+def machine_facts(conflicts: DataFrame, claims: DataFrame, verdicts: DataFrame, triples: DataFrame, ranks: DataFrame, communities: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
+    """Fact lines for the brief of every contradiction; those of a whole corpus come once, with a null conflict_hash.
+
+    VD- verdicts of the claims in conflict and of the first few claims on the same subject, TR- the triples in
+    conflict, PR- the best-ranked nodes, COM- the first members of communities and COM-TOTAL their number,
+    GAP- what a brief has to say is missing. claims: approved ones; ranks: node_id, rank and name;
+    communities: node_id and community; names: node_id and name. All have corpus_id.
+    """
+    keys = ["corpus_id", "conflict_hash"]
+    both = lambda kind: F.explode(F.array_compact(F.array(f"left_{kind}_id", f"right_{kind}_id"))).alias(f"{kind}_id")
+
+    def fact(df: DataFrame, kind: str, number, category: str, line: Column) -> DataFrame:
+        key = F.col("conflict_hash") if "conflict_hash" in df.columns else F.lit(None).cast("string").alias("conflict_hash")
+        return df.select("corpus_id", key, F.concat(F.lit(f"{kind}-"), number).alias("fact_id"), F.lit(category).alias("category"), line.alias("line"))
 
-    v = top(verdicts, F.desc("claim_id"), "claim_id").select("corpus_id", F.concat(F.lit("VD-"), "claim_id").alias("fact_id"), F.lit("VERDICT").alias("category"), F.concat_ws(" ", "subject", "predicate", "object_text", F.lit("->"), "verdict").alias("line"))
-    t = top(triples, F.desc("triple_id"), "triple_id").select("corpus_id", F.concat(F.lit("TR-"), "triple_id").alias("fact_id"), F.lit("TRIPLE").alias("category"), F.concat_ws(" ", "subject_text", "predicate", "object_text").alias("line"))
-    p = ranks.filter(F.col("rank") <= most).select("corpus_id", F.concat(F.lit("PR-"), "node_id").alias("fact_id"), F.lit("PAGERANK").alias("category"), F.format_string("rank %d", F.col("rank")).alias("line"))
-    return v.unionByName(t).unionByName(p)
+    first = Window.partitionBy("corpus_id", F.lower("subject")).orderBy("claim_id")
+    about = claims.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most).select("corpus_id", F.lower("subject").alias("subject_key"), "claim_id")
+    asked = conflicts.select(*keys, both("claim")).unionByName(conflicts.withColumn("subject_key", F.lower("subject_text")).join(about, ["corpus_id", "subject_key"]).select(*keys, "claim_id")).distinct()
+    vd = fact(asked.join(verdicts, ["corpus_id", "claim_id"]), "VD", F.col("claim_id"), "VERDICT", F.concat_ws(" ", "subject", "predicate", "object_text", F.lit("->"), "verdict"))
+    named = triples.select("corpus_id", "triple_id", F.concat_ws(" ", "subject_text", "predicate", "object_text", F.lit("is"), "status").alias("said"))
+    tr = fact(conflicts.select(*keys, both("triple")).distinct().join(named, ["corpus_id", "triple_id"]), "TR", F.col("triple_id"), "TRIPLE", F.col("said"))
+    missing = lambda found, number, line: fact(conflicts.select(*keys).distinct().join(found.select(*keys), keys, "left_anti"), "GAP", F.lit(number), "GAP", F.lit(line))
+    gaps = missing(vd, "VERDICT", "no verdict on the claims in conflict").unionByName(missing(tr, "TRIPLE", "no triple in conflict"))
+
+    pr = fact(ranks.filter(F.col("rank") <= most), "PR", F.col("node_id"), "PAGERANK", F.concat_ws(" ", "name", F.lit("has rank"), F.col("rank").cast("string")))
+    sizes = communities.groupBy("corpus_id", "community").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("corpus_id").orderBy("community", "node_id")
+    some = communities.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).join(sizes, ["corpus_id", "community"]).join(names, ["corpus_id", "node_id"], "left")
+    com = fact(some, "COM", F.concat_ws("-", F.col("community").cast("string"), F.col("node_id").cast("string")), "COMMUNITY", F.concat_ws(" ", "name", F.lit("in community"), F.col("community").cast("string"), F.lit("of"), F.col("size").cast("string")))
+    total = fact(sizes.groupBy("corpus_id").agg(F.count("*").alias("n")), "COM", F.lit("TOTAL"), "COMMUNITY_SUMMARY", F.concat_ws(" ", F.col("n").cast("string"), F.lit("communities")))
+    empty = fact(conflicts.select("corpus_id").distinct().join(communities.select("corpus_id"), "corpus_id", "left_anti"), "GAP", F.lit("GRAPH"), "GAP", F.lit("the graph of approved triples is empty"))
+    return reduce(DataFrame.unionByName, [vd, tr, gaps, pr, com, total, empty])
+
+
+#: Kinds of facts in the order of a brief.
+BRIEF_ORDER = ["VERDICT", "TRIPLE", "PAGERANK", "COMMUNITY", "COMMUNITY_SUMMARY", "GAP"]
 
 
 def brief_render(facts: DataFrame) -> DataFrame:
-    """One text per corpus: facts under their category."""
-    lines = facts.groupBy("corpus_id", "category").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "fact_id", "line"))), "\n").alias("lines"))
-    return lines.groupBy("corpus_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("["), "category", F.lit("]\n"), "lines"))), "\n\n").alias("brief"))
+    """One text per contradiction: its facts and those of its corpus under their category."""
+    lines = facts.groupBy("corpus_id", "conflict_hash", "category").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "fact_id", "line"))), "\n").alias("lines"))
+    section = F.struct(F.array_position(F.array(*map(F.lit, BRIEF_ORDER)), F.col("category")).alias("place"), F.concat(F.lit("["), "category", F.lit("]\n"), "lines").alias("text"))
+    own = lines.filter("conflict_hash is not null").groupBy("corpus_id", "conflict_hash").agg(F.collect_list(section).alias("own"))
+    shared = lines.filter("conflict_hash is null").groupBy("corpus_id").agg(F.collect_list(section).alias("shared"))  # some twenty lines
+    parts = F.array_sort(F.concat("own", F.coalesce("shared", F.array().cast("array<struct<place:bigint,text:string>>"))))
+    return own.join(shared, "corpus_id", "left").select("corpus_id", "conflict_hash", F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("brief"))
 
 
 def report_view(blocks: DataFrame, citations: DataFrame) -> DataFrame:
-    """Blocks of reports in order, with citations and how many of those don't name exactly one target."""
+    """Reports with their blocks in order, each with its citations and how many of those don't name exactly one target.
+
+    blocks: report_id, seq and block_id; citations: block_id, place and a column for each kind of target, named .._ref.
+    """
     targets = [c for c in citations.columns if c.endswith("_ref")]
     n = sum((F.col(c).isNotNull().cast("int") for c in targets), F.lit(0))
-    c = citations.withColumn("n_targets", n).groupBy("block_id").agg(F.count("*").alias("n_citations"), F.count_if(F.col("n_targets") != 1).alias("n_bad"))
-    return blocks.join(c, "block_id", "left").fillna(0, ["n_citations", "n_bad"])
+    c = citations.withColumn("n_targets", n).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("place", *targets))).alias("citations"), F.count_if(F.col("n_targets") != 1).alias("n_bad"))
+    rows = blocks.join(c, "block_id", "left").fillna(0, ["n_bad"])
+    none = F.array().cast(c.schema["citations"].dataType)
+    row = F.struct("seq", "block_id", "n_bad", F.coalesce("citations", none).alias("citations"))
+    return rows.groupBy("report_id").agg(F.count("*").alias("n_blocks"), F.sum("n_bad").alias("n_bad"), F.array_sort(F.collect_list(row)).alias("blocks"))
 
 
 def chat_session_stats(messages: DataFrame) -> DataFrame:
