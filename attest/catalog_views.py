@@ -203,16 +203,48 @@ def label_totals(spark, sf_dir):
     return E.label_totals(_prf(spark, sf_dir)).select("part", "expected", "predicted", "correct", "missed", "incorrect")
 
 
-@query()
-def prose_prf(spark, sf_dir):
-    """Benchmark passages as gold sentences, placed on the first chunk of the document that has them, against the documents' own."""
-    from attest.operators import documents as D
+_N = _LABEL.format
+_ITEMS = [
+    "case when triple_id % 31 = 0 then concat(s, ' elsewhere') else s end as doc_id",
+    "cast(floor((row_number() over (partition by s order by triple_id, p, o) - 1) / 8) as bigint) as chunk_index",
+    "s as subject",
+    "triple_id",
+    "p as predicate",
+    "o as object",
+    "case when triple_id % 3 = 0 then 'POSITIVE' else 'NEGATIVE' end as polarity",
+    "case when triple_id % 19 = 0 then 'NEUTRAL' when triple_id % 3 = 0 then 'POSITIVE' else 'NEGATIVE' end as seen",
+    "case when triple_id % 23 = 0 then 'nobody said so' else concat_ws(' ', s, p, o) end as sentence",
+]
 
-    docs = _table(spark, sf_dir, "documents")
-    chunks = D.chunk_overlap(docs)
-    gold = frame(spark, sf_dir, "gold").select(F.col("gold_chunk_id").alias("doc_id"), F.col("query_text").alias("sentence"))
-    placed, lost = E.place_gold(gold, chunks)
-    return placed.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n_placed")).unionByName(lost.groupBy("doc_id").agg(F.lit(-1).alias("chunk_index"), F.count("*").alias("n_placed")))
+
+@query(
+    f""", x as (select {', '.join(_ITEMS)} from facts), c as (select subject as doc_id, chunk_index, string_agg(concat_ws(' ', subject, predicate, object), '. ' order by triple_id, predicate, object) as content from x group by 1, 2),
+    gold as (select doc_id, 'TRIPLE' as kind, subject, predicate, object, cast(null as varchar) as polarity from x where triple_id % 10 < 8 union all select doc_id, 'CLAIM', subject, null, object, polarity from x where triple_id % 10 < 5),
+    pred as (select subject as doc_id, chunk_index, 'TRIPLE' as kind, subject, predicate, case when triple_id % 17 = 0 then concat(object, ' x') else object end as object, cast(null as varchar) as polarity, sentence from x where triple_id % 10 >= 1 union all select subject, chunk_index, 'CLAIM', subject, null, object, seen, sentence from x where triple_id % 10 >= 1),
+    f as (select g.doc_id, g.subject, min(c.chunk_index) as chunk_index from (select distinct doc_id, subject from gold) g join c on c.doc_id = g.doc_id and contains(' ' || {_N('content')} || ' ', ' ' || {_N('g.subject')} || ' ') group by 1, 2),
+    pl as (select g.*, f.chunk_index from gold g left join f on f.doc_id = g.doc_id and f.subject = g.subject),
+    g as (select distinct doc_id, chunk_index, kind, {_N('subject')} as s, {_N("coalesce(predicate, '')")} as p, {_N('object')} as o, coalesce(polarity, '') as polarity from pl where chunk_index is not null),
+    h as (select distinct doc_id, chunk_index, kind, {_N('subject')} as s, {_N("coalesce(predicate, '')")} as p, {_N('object')} as o, coalesce(polarity, '') as polarity from pred),
+    n as (select kind, count(*) filter (g1 and h1) as tp, count(*) filter (g1 is null) as fp, count(*) filter (h1 is null) as fn from (select kind, g1, h1 from (select *, true as g1 from g) a full join (select *, true as h1 from h) b using (doc_id, chunk_index, kind, s, p, o, polarity)) y group by 1),
+    m as (select kind, count(*) as n_same from (select doc_id, chunk_index, kind, s, p, o from g intersect select doc_id, chunk_index, kind, s, p, o from h) y group by 1),
+    u as (select kind, count(*) as n_unplaced from pl where chunk_index is null group by 1),
+    w as (select kind, count(*) filter (not contains(content, sentence)) as n_ungrounded, round(count(*) filter (not contains(content, sentence)) / count(*), 4) as ungrounded_rate from pred left join c on c.doc_id = pred.doc_id and c.chunk_index = pred.chunk_index group by 1)
+    select n.kind, tp, fp, fn, n_same, coalesce(n_unplaced, 0) as n_unplaced, n_ungrounded, ungrounded_rate, round(tp / (tp + fp), 4) as precision, round(tp / (tp + fn), 4) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) as f1 from n left join m on m.kind = n.kind left join u on u.kind = n.kind left join w on w.kind = n.kind""",
+    "facts",
+)
+def prose_prf(spark, sf_dir):
+    """Documents are the facts of a subject in chunks of eight; some gold names another document, some predictions are off."""
+    none = F.lit(None).cast("string")
+    x = saved(frame(spark, sf_dir, "facts").selectExpr(*_ITEMS), "prose-items")
+    line = F.concat_ws(" ", "subject", "predicate", "object")
+    chunks = x.groupBy(F.col("subject").alias("doc_id"), "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("triple_id", "predicate", "object", line.alias("line")))), lambda y: y["line"]), ". ").alias("content"))
+    kind = lambda k: F.lit(k).alias("kind")
+    gold = x.filter("triple_id % 10 < 8").select("doc_id", kind("TRIPLE"), "subject", "predicate", "object", none.alias("polarity")).unionByName(x.filter("triple_id % 10 < 5").select("doc_id", kind("CLAIM"), "subject", none.alias("predicate"), "object", "polarity"))
+    at = [F.col("subject").alias("doc_id"), "chunk_index"]
+    p = x.filter("triple_id % 10 >= 1")
+    off = F.when(F.col("triple_id") % 17 == 0, F.concat("object", F.lit(" x"))).otherwise(F.col("object")).alias("object")
+    predicted = p.select(*at, kind("TRIPLE"), "subject", "predicate", off, none.alias("polarity"), "sentence").unionByName(p.select(*at, kind("CLAIM"), "subject", none.alias("predicate"), "object", F.col("seen").alias("polarity"), "sentence"))
+    return E.prose_prf(gold, predicted, chunks)
 
 
 _TEXT = "trim(regexp_replace(regexp_replace(trim({}), '\\.+$', ''), '\\s+', ' ', 'g'))"
@@ -540,9 +572,8 @@ def src_gold_retrieval(spark, sf_dir):
 # --- replies ---
 
 
-def _replies(spark, sf_dir, facts=None):
-    """One reply for each group of facts, some of them broken in a known way."""
-    f = frame(spark, sf_dir, "facts").withColumn("chunk_id", F.col("triple_id") % 2000) if facts is None else facts
+def _replies(spark, sf_dir, f):
+    """One reply for each chunk of facts, some of them broken in a known way."""
     item = F.struct(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.concat_ws(" ", "s", "p", "o").alias("sentence"))
     r = f.groupBy("corpus_id", "chunk_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("triples"), F.array().cast("array<string>").alias("claims"))).alias("j"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "s", "p", "o"))), ". ").alias("content"))
     k = F.col("chunk_id") % 7
@@ -577,21 +608,26 @@ def reply_items_check(spark, sf_dir):
     return out.select("reply_id", "reason", F.when(F.col("reason").isNull(), F.size("triples")).cast("long").alias("n_triples"), F.when(F.col("reason").isNull(), F.size("claims")).cast("long").alias("n_claims"))
 
 
-@query("select corpus_id, case cast(chunk_id % 7 as int) when 3 then 'SCHEMA_VALIDATION_FAILED' else 'MALFORMED_JSON' end as reason, count(*) as n from (select distinct corpus_id, triple_id % 2000 as chunk_id from facts) x where chunk_id % 7 in (1, 2, 3) group by 1, 2", "facts")
+@query(f"select corpus_id, case cast(chunk_id % 7 as int) when 3 then 'SCHEMA_VALIDATION_FAILED' else 'MALFORMED_JSON' end as reason, count(*) as n from (select distinct corpus_id, chunk_id from {_DEALT} d) x where chunk_id % 7 in (1, 2, 3) group by 1, 2", "facts")
 def quarantine_by_reason(spark, sf_dir):
-    return P.quarantine_by_reason(P.reply_schema_check(_replies(spark, sf_dir)))
+    return P.quarantine_by_reason(P.reply_schema_check(_replies(spark, sf_dir, _dealt(spark, sf_dir))))
 
 
-@query("select corpus_id, reply_id from (select distinct corpus_id, triple_id % 2000 as reply_id from facts) x where reply_id % 7 in (1, 2, 3)", "facts")
+@query(f"select distinct corpus_id, chunk_id as reply_id from {_DEALT} d where chunk_id % 7 in (1, 2, 3)", "facts")
 def quarantine_split(spark, sf_dir):
-    return P.quarantine_split(P.reply_schema_check(_replies(spark, sf_dir)))[1].select("corpus_id", "reply_id")
+    return P.quarantine_split(P.reply_schema_check(_replies(spark, sf_dir, _dealt(spark, sf_dir))))[1].select("corpus_id", "reply_id")
+
+
+_SIXTEEN = _DEALT.replace("// 8", "// 16")
 
 
-@query("select triple_id % 2000 as reply_id, count(*) as n_items, count(*) filter (triple_id % 3 = 0) as n_wrong, count(distinct concat(lower(trim(s)), '|', lower(p), '|', lower(trim(o)))) as n_distinct, case when count(*) > 12 then 'OBJECT_LIMIT_EXCEEDED' when count(*) filter (triple_id % 3 = 0) > 0 then 'SEMANTIC_VALIDATION_FAILED' end as reason from facts group by 1", "facts")
+@query(f"select chunk_id as reply_id, count(*) as n_items, count(*) filter (triple_id % 30 = 0) as n_wrong, count(distinct concat(lower(trim(s)), '|', lower(p), '|', lower(trim(o)))) as n_distinct, case when count(*) > 12 then 'OBJECT_LIMIT_EXCEEDED' when count(*) filter (triple_id % 30 = 0) > 0 then 'SEMANTIC_VALIDATION_FAILED' end as reason from {_SIXTEEN} d group by 1", "facts")
 def reply_semantic_check(spark, sf_dir):
-    f = frame(spark, sf_dir, "facts").withColumn("chunk_id", F.col("triple_id") % 2000)
-    items = f.select("chunk_id", F.col("chunk_id").alias("reply_id"), F.col("s").alias("subject"), F.when(F.col("triple_id") % 3 == 0, "not_registered").otherwise(F.col("p")).alias("predicate"), F.col("o").alias("object"), F.concat_ws(" ", "s", F.lit("it"), "p", "o").alias("sentence"), "p")
-    chunks = f.groupBy("chunk_id").agg(F.array_join(F.collect_list(F.concat_ws(" ", "s", F.lit("it"), "p", "o")), ". ").alias("content"))
+    """Chunks of up to sixteen facts, so that some are over the limit of a reply."""
+    f = _dealt(spark, sf_dir, most=16)
+    said = F.concat_ws(" ", "s", F.lit("it"), "p", "o")
+    items = f.select("chunk_id", F.col("chunk_id").alias("reply_id"), F.col("s").alias("subject"), F.when(F.col("triple_id") % 30 == 0, "not_registered").otherwise(F.col("p")).alias("predicate"), F.col("o").alias("object"), said.alias("sentence"), "p")
+    chunks = f.groupBy("chunk_id").agg(F.array_join(F.collect_list(said), ". ").alias("content"))
     out = P.reply_semantic_check(items, chunks)
     distinct = f.groupBy("chunk_id").agg(F.countDistinct(F.concat_ws("|", F.lower(F.trim("s")), F.lower("p"), F.lower(F.trim("o")))).alias("n_distinct"))
     return out.drop("n_distinct").join(distinct.withColumnRenamed("chunk_id", "reply_id"), "reply_id").select("reply_id", "n_items", "n_wrong", "n_distinct", "reason")

@@ -70,6 +70,34 @@ def place_gold(gold: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame
     return g.join(first, "gold_no").drop("gold_no"), g.join(first, "gold_no", "left_anti").drop("gold_no")
 
 
+def prose_prf(gold: DataFrame, predicted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of extracted triples and claims against gold ones, by kind.
+
+    gold: doc_id, kind (TRIPLE or CLAIM), subject, predicate, object, polarity (what a kind lacks is null). predicted: the
+    same with chunk_index and sentence. chunks: doc_id, chunk_index, content. A gold item belongs to the first chunk of its
+    document that has its subject; one without such a chunk is unplaced: an error, and counted in no other column. Items of
+    a chunk are equal if their normalised labels are, and for claims the polarity; n_same counts those equal but for that.
+    A prediction whose sentence its chunk doesn't have is ungrounded.
+    """
+    spaced = lambda c: F.concat(F.lit(" "), T.norm_label(F.col(c)), F.lit(" "))
+    label = lambda c: T.norm_label(F.coalesce(F.col(c), F.lit("")))
+    keys = ["doc_id", "chunk_index", "kind", "s", "p", "o"]
+    labelled = lambda df, flag: df.select("doc_id", "chunk_index", "kind", label("subject").alias("s"), label("predicate").alias("p"), label("object").alias("o"), F.coalesce("polarity", F.lit("")).alias("polarity"), F.lit(1).alias(flag)).distinct()
+    hit = gold.select("doc_id", "subject").distinct().join(chunks, "doc_id").filter(F.contains(spaced("content"), spaced("subject")))
+    first = hit.groupBy("doc_id", "subject").agg(F.min("chunk_index").alias("chunk_index"))
+    placed = gold.join(first, ["doc_id", "subject"], "left")
+    g, h = labelled(placed.filter("chunk_index is not null"), "g"), labelled(predicted, "h")
+    both = g.join(h, [*keys, "polarity"], "full_outer")
+    counts = both.groupBy("kind").agg(F.count_if(F.col("g").isNotNull() & F.col("h").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("h").isNull()).alias("fn"))
+    same = g.select(*keys).distinct().join(h.select(*keys).distinct(), keys).groupBy("kind").agg(F.count("*").alias("n_same"))
+    unplaced = placed.filter("chunk_index is null").groupBy("kind").agg(F.count("*").alias("n_unplaced"))
+    grounded = F.coalesce(F.contains("content", F.col("sentence")), F.lit(False))
+    said = predicted.join(chunks, ["doc_id", "chunk_index"], "left").groupBy("kind").agg(F.count_if(~grounded).alias("n_ungrounded"), F.round(F.count_if(~grounded) / F.count("*"), 4).alias("ungrounded_rate"))
+    for other in (same, unplaced, said):
+        counts = counts.join(other, "kind", "full_outer")
+    return _ratios(counts.fillna(0))
+
+
 def label_totals(df: DataFrame) -> DataFrame:
     """Rows with tp, fp, fn -> expected, predicted, correct, missed, incorrect."""
     return df.withColumns({"expected": F.col("tp") + F.col("fn"), "predicted": F.col("tp") + F.col("fp"), "correct": F.col("tp"), "missed": F.col("fn"), "incorrect": F.col("fp")})

@@ -13,7 +13,7 @@ from attest.fixtures import TABLES
 
 SF = os.environ.get("ATTEST_SF_DIR", "/root/testdata/sf0.001")
 #: Small, quick and different; bench and the driver run all.
-CHECKED = ["doc_dedup", "entity_build", "triple_upsert", "approval_apply", "claim_rules", "resolve_verdict", "retrieve_topk", "conflict_single", "conflict_polarity", "graph_stats", "extraction_prf", "corpus_statistics", "verdict_accuracy", "verdict_provenance", "debate_view", "report_view", "status_rollup", "rate_nth_call", "citation_validate"]
+CHECKED = ["doc_dedup", "entity_build", "triple_upsert", "approval_apply", "claim_rules", "resolve_verdict", "retrieve_topk", "conflict_single", "conflict_polarity", "graph_stats", "extraction_prf", "corpus_statistics", "prose_prf", "verdict_accuracy", "verdict_provenance", "debate_view", "report_view", "status_rollup", "rate_nth_call", "citation_validate"]
 
 
 def _rows(df):

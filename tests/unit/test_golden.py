@@ -312,3 +312,31 @@ def test_short_questions_find_names(spark):
     q = spark.createDataFrame([(1, 1, "ab"), (1, 2, "x"), (1, 3, " "), (1, 4, "ibm")], "corpus_id long, question_id long, question string")
     got = sorted((r["question_id"], r["triple_id"]) for r in R.chat_triples(q, t).collect())
     assert got == [(1, 1), (1, 2), (2, 2), (4, 1)]
+
+
+def test_prose_prf_by_hand(spark):
+    kind = "doc_id long, kind string, subject string, predicate string, object string, polarity string"
+    chunks = spark.createDataFrame([(1, 0, "Mill owns Dam. "), (1, 1, "Ivy owns Oak."), (2, 0, "")], "doc_id long, chunk_index long, content string")
+    gold = spark.createDataFrame([(1, "TRIPLE", "Mill", "owns", "Dam", None), (1, "TRIPLE", "Ivy", "owns", "Oak", None), (2, "TRIPLE", "Ivy", "owns", "Oak", None), (1, "CLAIM", "Ivy", None, "Oak", "POSITIVE")], kind)
+    predicted = spark.createDataFrame([(1, "TRIPLE", "MILL", "owns", "dam!", None, 0, "Mill owns Dam"), (1, "TRIPLE", "Ivy", "owns", "Elm", None, 1, "Ivy owns Elm"), (1, "CLAIM", "Ivy", None, "Oak", "NEGATIVE", 1, "Ivy owns Oak")], kind + ", chunk_index long, sentence string")
+    got = {r["kind"]: (r["tp"], r["fp"], r["fn"], r["n_same"], r["n_unplaced"], r["n_ungrounded"], r["ungrounded_rate"], r["f1"]) for r in E.prose_prf(gold, predicted, chunks).collect()}
+    assert got == {"TRIPLE": (1, 1, 1, 1, 1, 1, 0.5, 0.5), "CLAIM": (0, 1, 1, 1, 0, 0, 0.0, 0.0)}
+    assert E.prose_prf(gold.limit(0), predicted.limit(0), chunks).count() == 0
+
+
+def test_brief_of_each_contradiction(spark):
+    conflicts = spark.createDataFrame([(1, "x", "Mill", 5, 6, None, None), (1, "y", "Ivy", None, None, 8, 9)], "corpus_id long, conflict_hash string, subject_text string, left_triple_id long, right_triple_id long, left_claim_id long, right_claim_id long")
+    claims = spark.createDataFrame([(1, 8, "Ivy"), (1, 7, "ivy"), (1, 3, "Oak")], "corpus_id long, claim_id long, subject string")
+    verdicts = spark.createDataFrame([(1, k, "Ivy", "owns", "Oak", "SUPPORTED") for k in (3, 7, 8)], "corpus_id long, claim_id long, subject string, predicate string, object_text string, verdict string")
+    triples = spark.createDataFrame([(1, 5, "Mill", "owns", "Dam", "APPROVED")], "corpus_id long, triple_id long, subject_text string, predicate string, object_text string, status string")
+    ranks = spark.createDataFrame([(1, 2, 1, "Mill"), (1, 4, 11, "Dam")], "corpus_id long, node_id long, rank int, name string")
+    communities = spark.createDataFrame([(1, 2, 0), (1, 4, 0), (1, 6, 1)], "corpus_id long, node_id long, community int")
+    names = ranks.select("corpus_id", "node_id", "name")
+    facts = W.machine_facts(conflicts, claims, verdicts, triples, ranks, communities, names)
+    got = sorted((r["conflict_hash"] or "", r["fact_id"]) for r in facts.collect())
+    assert got == [("", "COM-0-2"), ("", "COM-0-4"), ("", "COM-1-6"), ("", "COM-TOTAL"), ("", "PR-2"), ("x", "GAP-VERDICT"), ("x", "TR-5"), ("y", "GAP-TRIPLE"), ("y", "VD-7"), ("y", "VD-8")]
+    briefs = {r["conflict_hash"]: r["brief"].split("\n") for r in W.brief_render(facts).collect()}
+    assert [x for x in briefs["y"] if x.startswith("[")] == ["[VERDICT]", "[PAGERANK]", "[COMMUNITY]", "[COMMUNITY_SUMMARY]", "[GAP]"]
+    assert "TR-5: Mill owns Dam is APPROVED" in briefs["x"] and "COM-TOTAL: 2 communities" in briefs["x"]
+    gone = W.machine_facts(conflicts, claims, verdicts, triples, ranks.limit(0), communities.limit(0), names)
+    assert gone.filter("fact_id = 'GAP-GRAPH'").count() == 1
