@@ -33,9 +33,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, from a Parquet table in the shared folder: lineage ends there, so a lost executor repeats nothing before it."""
+#: Rows of a small table that one file of it may hold.
+FILE_ROWS = 1 << 17
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, from a Parquet table in the shared folder: lineage ends there, so a lost executor repeats nothing before it.
+
+    rows: about how many small rows there are, where that is known; a table of few rows then gets few files.
+    """
     path = new_folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // FILE_ROWS))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -78,10 +87,10 @@ def steps(frame: pd.DataFrame, column: str, most: int = STEP_CHARS) -> Iterator[
             yield rows
 
 
-def small_batches(df: DataFrame, *text: str, rows: int = 256) -> DataFrame:
-    """Sets how many rows a batch for Python holds: texts may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def few_parts(df: DataFrame, size: int) -> int:
+    """How many parts of about so many bytes of files a table makes; some for every core at least."""
+    there = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-there // size))
 
 
 def range_bounds(rows: DataFrame, key: str, n: int) -> list:

@@ -1,10 +1,13 @@
 """Words of whole texts as numbers, many texts at once.
 
-A word is a run of characters other than the six white ones of ASCII. Its number is a sum of
-mixed characters times powers by place, modulo 2**64, so equal words get equal numbers anywhere.
+A word is a run of characters other than the six white ones of ASCII. Its number folds its characters
+one after another, three at a time: each fold mixes the number so far with the next ones, so places and
+orders count in a way that no pattern of letters undoes (a sum of powers modulo 2**64 is the same for
+some pairs of long patterns). Equal words get equal numbers anywhere.
 """
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -24,9 +27,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _BASE, "uint64"))
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,15 +52,31 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.zeros(0, "uint64"), np.zeros(len(texts) + 1, "int64"), begin, end
+    return numbers(flat, begin, end), np.searchsorted(begin, starts), begin, end
+
+
+#: Characters of a run that are folded by numpy; the few longer ones take a library hash.
+_FOLDED = 96
+
+
+def numbers(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each run flat[begin:end] of code points."""
     size = end - begin
-    at = np.zeros(len(size), "int64")
-    np.cumsum(size[:-1], out=at[1:])
-    place = np.arange(int(size.sum()), dtype="int64") - np.repeat(at, size)
-    longest = 1 << max(8, int(size.max() - 1).bit_length())
-    value = (flat[inner].astype("uint64") + _U(1)) * _U(0xD6E8FEB86659FD93)
-    value ^= value >> _U(32)
-    value *= _powers(longest)[place]
-    return mixed(np.add.reduceat(value, at)), np.searchsorted(begin, starts), begin, end
+    folds = np.where(size > _FOLDED, 0, (size + 2) // 3).astype("uint16")
+    order = np.argsort(folds, kind="stable")[::-1]
+    folds, at, left = folds[order], begin[order], size[order]
+    wide = np.concatenate([flat, np.zeros(3, flat.dtype)]).astype("uint64")
+    three = wide[:-2] | (wide[1:-1] << _U(21)) | (wide[2:] << _U(42))
+    value = mixed(left.astype("uint64") * _BASE)
+    keep = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], "uint64")
+    active = len(folds) - np.searchsorted(folds[::-1], np.arange(1, int(folds[0]) + 1 if len(folds) else 1))
+    for k, n in enumerate(active.tolist()):
+        value[:n] = mixed(value[:n] ^ (three[at[:n] + 3 * k] & keep[np.minimum(left[:n] - 3 * k, 3)]))
+    out = np.empty(len(size), "uint64")
+    out[order] = value
+    for k in np.flatnonzero(size > _FOLDED).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(flat[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(texts: list[str], n: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -17,16 +17,14 @@ each; an empty table gives an empty result. Other columns pass through, whatever
 those of the names that are added.
 """
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, steps, tree_sum, written
-from ._text import codes, mixed
+from ._shared import steps, tree_sum, written
+from ._text import codes, letters, mixed
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -39,18 +37,13 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.5
 
 
-@functools.lru_cache(1)
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all texts, where each text's start (with the end), and which texts have a letter.
 
     Runs of other characters are one space; a space is put before and after each text.
     """
     flat, starts = codes(["\n" + x.lower() for x in texts])
-    letter = _letters()[flat]
+    letter = letters()[flat]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of others the first stands for all
     keep[starts[:-1]] = True
@@ -99,7 +92,7 @@ def train(docs: DataFrame, least: float = SMOOTHING) -> list[tuple[list[str], np
         if sums:
             yield packed(sums)
 
-    labelled = small_batches(docs.select("text", "lang").filter("text is not null and lang is not null"), "text")
+    labelled = docs.select("text", "lang").filter("text is not null and lang is not null")
     parts = written(labelled.mapInPandas(count, "lang string, part long, counts binary"), "lang-counts")
     labels = sorted(r["lang"] for r in parts.select("lang").distinct().collect())
     n_docs, found = 0, []
@@ -150,7 +143,7 @@ def predict(docs: DataFrame, model: list[tuple[list[str], np.ndarray, Broadcast]
 
         return of("text")
 
-    docs = small_batches(docs.select(F.struct(*old).alias("row"), "text"), "text")
+    docs = docs.select(F.struct(*old).alias("row"), "text")
     if not model:
         return docs.select("row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     blocks = [f"b{k}" for k in range(len(model))]

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, steps
+from ._shared import steps
 from ._text import _BASE, mixed, words
 
 THRESHOLD = 0.8
@@ -200,5 +200,5 @@ def scanned(docs: DataFrame, of: dict[str, str] | None = None, threshold: float
                 yield pd.DataFrame({"id": rows["id"], "no_id": rows["no_id"], "licence": licence, "dice": best, "n_units": n, "licences": names})
 
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    out = small_batches(rows, "text").mapInPandas(scan, "id long, no_id boolean, licence string, dice double, n_units long, licences array<string>")
+    out = rows.mapInPandas(scan, "id long, no_id boolean, licence string, dice double, n_units long, licences array<string>")
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "licence", "dice", "n_units", "licences")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import make_folder, new_folder, opened, small_batches, written
+from ._shared import make_folder, new_folder, opened, written
 
 WIDTH = 64
 SHARD = 256 << 20
@@ -132,7 +132,7 @@ def stored(docs: DataFrame) -> DataFrame:
         if shard:
             shard.close()
 
-    places = written(small_batches(docs.select("text"), "text").mapInPandas(write, "digest string, shard string, offset long, length long"), "media-places")
+    places = written(docs.select("text").mapInPandas(write, "digest string, shard string, offset long, length long"), "media-places")
     first = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     # Readers take neighbouring payloads of a shard together.
     return written(written(first, "media-first").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "media-index")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, written
+from ._shared import written
 
 KINDS = ("assign", "access", "hex", "live")
 #: Owners from which on a value is an example that people copy.
@@ -87,7 +87,7 @@ def found(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataF
             yield pd.concat([batch[["row", "owner", "repo"]], out], axis=1)
 
     rows = docs.select(F.col("row"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), "text")
-    return small_batches(rows, "text").mapInPandas(scan, _FOUND)
+    return rows.mapInPandas(scan, _FOUND)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -156,7 +156,6 @@ def masked(docs: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
             out.append("".join(parts) + t[at:])
         return pd.Series(out, dtype=object)
 
-    small_batches(docs, "text")
     n_rows, n_spans = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("start")), F.lit(0))).first()
     few = 100 * n_rows + 8 * n_spans <= SENT_BYTES
     hit = keyed.join(F.broadcast(spans) if few else spans, "key", "left")

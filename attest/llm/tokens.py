@@ -27,9 +27,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_folder, parts_of, range_bounds, range_of, small_batches, written
+from ._shared import few_parts, new_folder, parts_of, range_bounds, range_of, written
 
 END = 2
+#: Bytes of the input's files that a file of ids holds, in the mean.
+RANGE_BYTES = 128 << 20
 ROW_INDEX = 1000
 STRIPE = 16 << 20
 #: Run-length encoded ids hardly shrink further; this is for what little does.
@@ -241,10 +243,10 @@ def write(docs: DataFrame, tokenizer: str) -> str:
                 pos, done = pos + n, done + n
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = few_parts(docs, RANGE_BYTES)
     part = range_of(F.col("doc_id"), range_bounds(docs.select("doc_id"), "doc_id", n))
     ordered = docs.withColumn("part", part).repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
-    encoded = small_batches(ordered, "text").mapInArrow(encode, "doc_id long, part int, pos long, ids array<int>")
+    encoded = ordered.mapInArrow(encode, "doc_id long, part int, pos long, ids array<int>")
     encoded.write.options(**{"orc.compress": COMPRESS, "orc.bloom.filter.columns": "doc_id", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}).orc(folder)
     return folder
 
@@ -267,7 +269,7 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("pos"), pa.array(np.diff(at).astype("int64")), pa.array(crc, pa.int64())], names=["doc_id", "part", "pos", "n_tokens", "ids_crc32"])
 
-    rows = small_batches(_files(spark, folder), "ids").mapInArrow(sums, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
+    rows = _files(spark, folder).mapInArrow(sums, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
     rows = written(rows, "token-counts")
     # A row per file: what all files before it hold.
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import make_folder, new_folder, opened, small_batches, written
+from ._shared import make_folder, new_folder, opened, written
 
 FRAME = 256 << 10
 ARCHIVE = 512 << 20
@@ -176,7 +176,7 @@ def archived(pages: DataFrame) -> DataFrame:
             out.close()
 
     rows = _typed(pages).select(F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("no_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers"), F.coalesce("again", F.lit(False)).alias("again"))
-    return written(small_batches(rows, "payload").mapInPandas(write, "record_id string, archive string, frame int, offset long, length long"), "warc-index")
+    return written(rows.mapInPandas(write, "record_id string, archive string, frame int, offset long, length long"), "warc-index")
 
 
 def read_back(index: DataFrame) -> DataFrame:
