@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, steps, tree_sum, written
+from ._shared import steps, tree_sum, written
 from ._text import mixed, shingles
 
 WORDS = 5
@@ -89,7 +89,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
     # A few sums for each core, not one for each split of the input.
     few = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    texts = small_batches(docs.select("text").filter("text is not null"), "text").coalesce(few)
+    texts = docs.select("text").filter("text is not null").coalesce(few)
     parts = written(texts.mapInPandas(count, "block int, part long, counts binary"), "shingle-counts")
     sums, n = np.zeros(1 << SKETCH_BITS), 1
     for row in tree_sum(parts, ["block"], "counts").collect():  # 8 MB, whatever the corpus
@@ -172,7 +172,7 @@ def sampled(docs: DataFrame, idf) -> DataFrame:
                 yield pd.DataFrame({"id": rows["id"], "no_id": rows["no_id"], "node": rows["node"], "chars": rows["text"].str.len().fillna(0).astype("int64"), "sig": sig, "keys": keys})
 
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "node", "text")
-    out = small_batches(rows, "text").mapInPandas(one, "id long, no_id boolean, node binary, chars long, sig binary, keys array<bigint>")
+    out = rows.mapInPandas(one, "id long, no_id boolean, node binary, chars long, sig binary, keys array<bigint>")
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "node", "chars", "sig", "keys")
 
 
@@ -243,20 +243,23 @@ def _candidates(group: pd.DataFrame) -> list[tuple[int, int, int]]:
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(node, sig, keys) -> members of shared buckets, with n, leader and lead, its sig."""
+    n = BANDS * nodes.count()
     entries = nodes.select(F.explode("keys").alias("key"), "node")
-    sizes = written(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes", n)
     # Samples come in for members of shared buckets only.
-    entries = written(written(entries.join(sizes, "key"), "near-shared").join(nodes.select("node", "sig"), "node"), "near-entries")
+    shared = written(entries.join(sizes, "key"), "near-shared", n)
+    n = shared.count()
+    entries = written(shared.join(nodes.select("node", "sig"), "node"), "near-entries", n)
     central = entries.groupBy("node").agg(F.sum("n").alias("c"))
-    lead = written(entries.select("key", "node", "sig").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "sig")).alias("lead")), "near-leaders")
-    return written(entries.join(lead, "key").select("key", "n", "node", "sig", F.col("lead.node").alias("leader"), F.col("lead.sig").alias("lead")), "near-led")
+    lead = written(entries.select("key", "node", "sig").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "sig")).alias("lead")), "near-leaders", n)
+    return written(entries.join(lead, "key").select("key", "n", "node", "sig", F.col("lead.node").alias("leader"), F.col("lead.sig").alias("lead")), "near-led", n)
 
 
 def leader_pairs(led: DataFrame) -> DataFrame:
     """Every member with its leader, once."""
     first = F.col("node") < F.col("leader")
     pairs = led.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.when(first, F.col("sig")).otherwise(F.col("lead")).alias("x"), F.when(first, F.col("lead")).otherwise(F.col("sig")).alias("y"))
-    return written(pairs.distinct().filter(_agreement("x", "y") >= AGREE_LEADER).select("a", "b"), "near-lead")
+    return written(pairs.distinct().filter(_agreement("x", "y") >= AGREE_LEADER).select("a", "b"), "near-lead", led.count())
 
 
 _MEMBER = "key long, p int, q int, node binary, sig binary, keys array<bigint>, root binary, wants boolean, asks boolean, answers boolean, pivots array<binary>, fars array<double>"
@@ -269,13 +272,14 @@ def close_members(led: DataFrame, nodes: DataFrame, root: DataFrame, measured: D
     apart = apart.groupBy("node").agg(F.collect_list("leader").alias("pivots"), F.collect_list(1 - F.col("sim")).alias("fars"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     rows = led.filter("n > 2").select("key", "node").join(nodes.select("node", "chars"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = written(rows, "near-rooted")
+    n = led.count()
+    rows = written(rows, "near-rooted", n)
     # Every pair of two roots has a member outside the largest root: these ask, and are compared with all.
     roots = rows.groupBy("key", "root").agg(F.count("*").alias("count"), F.sum("chars").alias("chars"))
     roots = roots.groupBy("key").agg(F.max(F.struct("count", "root", "chars")).alias("top"), F.sum("count").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("roots"))
     blocks = lambda n, chars: F.ceil(F.greatest(n / SMALL, chars / BLOCK_CHARS)).cast("int")
     sizes = roots.filter("roots > 1").select("key", F.col("top.root").alias("top"), blocks(F.col("n"), F.col("chars")).alias("all"), blocks(F.col("n") - F.col("top.count"), F.col("chars") - F.col("top.chars")).alias("some"))
-    rows = rows.join(written(sizes, "near-bucket-sizes"), "key").withColumn("wants", F.col("root") != F.col("top"))
+    rows = rows.join(written(sizes, "near-bucket-sizes", n), "key").withColumn("wants", F.col("root") != F.col("top"))
     rows = rows.withColumns({"p": F.pmod(F.xxhash64("node"), F.col("some")).cast("int"), "q": F.pmod(F.xxhash64("node", F.lit(1)), F.col("all")).cast("int")})
     # A member that asks goes to all groups of its block that asks; every member answers in all groups of its other block.
     to = F.array_union(F.when(F.col("wants"), F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda q: F.struct(F.col("p").alias("p"), q.alias("q")))).otherwise(none("struct<p:int,q:int>")), F.transform(F.sequence(F.lit(0), F.col("some") - 1), lambda p: F.struct(p.alias("p"), F.col("q").alias("q"))))
@@ -291,7 +295,7 @@ def close_members(led: DataFrame, nodes: DataFrame, root: DataFrame, measured: D
             if found:
                 yield group.iloc[sorted({k for _, i, j in found for k in (i, j)})][names]
 
-    dealt = small_batches(rows.select(*names), "sig", rows=2048).repartition(*by).sortWithinPartitions(*by, "node")
+    dealt = rows.select(*names).repartition(*by).sortWithinPartitions(*by, "node")
     return written(dealt.mapInPandas(some, _MEMBER), "near-close")
 
 
@@ -323,7 +327,7 @@ def close_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
             yield pd.DataFrame({"a": a, "b": b})
 
     rows = members.join(texts, "node")
-    dealt = small_batches(rows, "text").repartition(*by).sortWithinPartitions(*by, "node")
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "node")
     return written(dealt.mapInPandas(hold, "a binary, b binary"), "near-links")
 
 
@@ -334,7 +338,7 @@ def _picked(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
 
 def texts_of(taking_part: DataFrame, docs: DataFrame, one_of_each: DataFrame) -> DataFrame:
     """One text for each node. docs: key, node, text; one_of_each: node and the key of one of its rows."""
-    wanted = written(one_of_each.join(taking_part.distinct(), "node", "left_semi"), "near-texts-of")
+    wanted = written(one_of_each.join(taking_part.distinct(), "node", "left_semi"), "near-texts-of", one_of_each.count())
     texts = _picked(docs, wanted, ["key", "node"], "left_semi").dropDuplicates(["node"])
     return written(texts.select("node", "text"), "near-texts")
 
@@ -357,7 +361,7 @@ def measured(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             sim = [similarity(of(a, x), of(b, y)) for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True)]
             yield batch[["a", "b"]].assign(sim=sim)
 
-    return small_batches(both.select("a", "b", "x", "y"), "x", "y").mapInPandas(hold, "a binary, b binary, sim double")
+    return both.select("a", "b", "x", "y").mapInPandas(hold, "a binary, b binary, sim double")
 
 
 # --- classes ---
@@ -368,16 +372,17 @@ def components(links: DataFrame, most_steps: int = 100) -> DataFrame:
 
     Alternating star steps: each halves paths, and every step is written, so a lost executor costs one step.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    n = links.count()
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", n)
     before = None
     for _ in range(most_steps):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "links-large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
+        large = written(large, "links-large", n)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links", n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -400,8 +405,9 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs))  # 4 MB
     rows = written(sampled(docs, idf), "near-samples")
-    nodes = written(rows.filter("keys is not null").dropDuplicates(["node"]).select("node", "chars", "sig", "keys"), "near-nodes")
-    keyed = written(rows.filter("keys is not null").groupBy("node").agg(F.min(_key()).alias("key")), "near-one-of-each")
+    n = rows.count()
+    nodes = written(rows.filter("keys is not null").dropDuplicates(["node"]).select("node", "chars", "sig", "keys"), "near-nodes", 4 * n)
+    keyed = written(rows.filter("keys is not null").groupBy("node").agg(F.min(_key()).alias("key")), "near-one-of-each", n)
     led = buckets(nodes)
     lead = leader_pairs(led)
     source = docs.select("key", "node", "text")
@@ -413,24 +419,25 @@ def classes(docs: DataFrame) -> DataFrame:
     second = close_links(members, texts_of(members.select("node"), source, keyed), idf)
     if not second.isEmpty():
         root = components(links.unionByName(second))
-    rooted = written(rows.select("doc_id", "node").join(written(root, "near-root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
-    named = written(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-named")
+    rooted = written(rows.select("doc_id", "node").join(written(root, "near-root", n), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots", n)
+    named = written(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-named", n)
     return rooted.filter("root is not null").join(named, "root").select("doc_id", "node", "root", "class_id").unionByName(rooted.filter("root is null").select("doc_id", "node", "root", F.col("doc_id").alias("class_id")))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least doc_id (any one of rows that are equal in id and text), with all columns."""
     found = written(classes(docs), "near-classes")
+    n = found.count()
     names = docs.columns
     packed = _with_key(docs.select("doc_id", "text", F.struct(*names).alias("row")))
     with_text = found.filter("node is not null").withColumn("key", _key())
     # A null id comes after all others; classes without any id are told apart by their root.
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"), F.col("key").alias("key"))
-    first = written(with_text.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"), "near-first")
+    first = written(with_text.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"), "near-first", n)
     gone = with_text.join(first, "root")
-    gone = written(gone.filter((F.col("key") != F.col("first.key")) | (F.col("node") != F.col("first.node"))).select("key", "node").distinct(), "near-gone")
+    gone = written(gone.filter((F.col("key") != F.col("first.key")) | (F.col("node") != F.col("first.node"))).select("key", "node").distinct(), "near-gone", n)
     left = _picked(packed, gone, ["key", "node"], "left_anti")
-    again = written(with_text.groupBy("key", "node").count().filter("count > 1").select("key", "node"), "near-again")
+    again = written(with_text.groupBy("key", "node").count().filter("count > 1").select("key", "node"), "near-again", n)
     if not again.isEmpty():  # rows of equal id and text: one of them stays
         left = _picked(left, again, ["key", "node"], "left_anti").unionByName(_picked(left, again, ["key", "node"], "left_semi").dropDuplicates(["key", "node"]))
     return left.select("row.*")
