@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, licences, media, mixing, neardup, packing, secret_scan, tokens, warc
+from . import fingerprints, langid, licences, media, mixing, neardup, packing, secret_scan, tokens, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_documents(spark, sf_dir))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_language": op2_language,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_fingerprints": op9_fingerprints,
     "op10_licences": op10_licences,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: The targets and inclusion probabilities by the same rule; then every document's rank and the running size of its source by rank.
