@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, licences, media, mixing, neardup, packing, secret_scan, tokens, toxicity, warc
+from . import audit, audit_sql, fingerprints, langid, lexical, lexical_sql, licences, media, mixing, neardup, packing, secret_scan, tokens, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_documents(spark, sf_dir))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_fingerprints": op9_fingerprints,
     "op10_licences": op10_licences,
+    "op11_audit": op11_audit,
+    "op12_search": op12_search,
     "op13_toxicity": op13_toxicity,
 }
 
@@ -103,4 +113,4 @@ select k.doc_id, k.source, k.size, k.source_size, k.target, (k.whole + case when
 from k left join (select distinct * from t1) t1 on k.source is not distinct from t1.source and k.doc_id is not distinct from t1.doc_id and k.size = t1.size and k.rank = t1.rank and k.p > 0 and k.p < 1
 """
 
-ORACLES: dict[str, str] = {"op1_mix": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op11_audit": audit_sql.SQL, "op12_search": lexical_sql.SQL}

@@ -120,7 +120,7 @@ def fit(bucket: np.ndarray, first: np.ndarray, label: np.ndarray, rank: int = RA
             hit, to = np.unique(x, return_inverse=True)
             g = np.bincount(to, error[own], len(hit)) + SHRINK * w[hit] * np.bincount(to)
             pairs = error[own][:, None] * (sums[own] - v[x])
-            gv = np.stack([np.bincount(to, pairs[:, k], len(hit)) for k in range(rank)], 1) + SHRINK_PAIRS * v[hit] * np.bincount(to)[:, None] if len(hit) else np.zeros((0, rank))
+            gv = np.stack([np.bincount(to, pairs[:, k], len(hit)) for k in range(rank)], 1) + SHRINK_PAIRS * v[hit] * np.bincount(to)[:, None] if len(hit) and rank else np.zeros((len(hit), rank))
             seen_w[hit] += g * g
             seen_v[hit] += gv * gv
             seen_b += error.sum() ** 2
