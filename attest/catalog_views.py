@@ -33,11 +33,6 @@ def graph_degree(spark, sf_dir):
     return G.graph_degree(_edges(spark, sf_dir))
 
 
-@query(_G + f" select corpus_id, count(*) as n_nodes, max(out_degree) as max_out, max(in_degree) as max_in, (select count(*) from g) as n_edges, round((select count(*) from g) / (count(*) * (count(*) - 1.0::double)), 9) as density from ({_DEGREE}) d group by corpus_id", "edges")
-def graph_stats(spark, sf_dir):
-    return G.graph_stats(_edges(spark, sf_dir))
-
-
 def _pagerank_sql(graph: str, rounds: int, tail: str) -> str:
     """Rounds of ranks as a chain of named tables."""
     parts = [graph + ", links as (select distinct corpus_id, subject_id as s, object_id as o from g), deg as (select corpus_id, s, count(*) as out from links group by 1, 2), fixed as (select n.corpus_id, n.node_id, (select count(*) from nodes)::double as n, deg.out from nodes n left join deg on deg.s = n.node_id), r0 as materialized (select *, 1 / n as score from fixed)"]
@@ -81,9 +76,6 @@ def top_entities(spark, sf_dir):
     return G.pagerank_topn(_edges(spark, sf_dir), _entity_names(spark, sf_dir), n=5, ranks=_ranks(spark, sf_dir)).select("corpus_id", "node_id", "rank", "name")
 
 
-@query()
-def graph_view(spark, sf_dir):
-    return G.graph_view(_edges(spark, sf_dir), _entity_names(spark, sf_dir), ranks=_ranks(spark, sf_dir))[0]
 
 
 @query(
@@ -94,9 +86,78 @@ def connected_components(spark, sf_dir):
     return G.connected_components(_edges(spark, sf_dir))
 
 
-@query()
+def _wave_sql(tail: str) -> str:
+    """Eight sweeps over a graph of two levels: suppliers see the labels of the sweep before, customers those that suppliers just took."""
+    step = "{new} as materialized (select node_id, label from (select e2.a as node_id, l.label, row_number() over (partition by e2.a order by count(*) desc, l.label) as nth from e2 join {old} l on l.node_id = e2.b where {side} group by e2.a, l.label) v where nth = 1 union all select node_id, label from {old} where not ({own}))"
+    parts = [_G + ", e2 as (select distinct a, b from (select subject_id as a, object_id as b from edges union all select object_id, subject_id from edges) x where a <> b), w0 as materialized (select distinct unnest([subject_id, object_id]) as node_id, node_id as label from edges)"]
+    for k in range(8):
+        parts.append(step.format(new=f"h{k + 1}", old=f"w{k}", side="e2.a <= 1000000", own="node_id <= 1000000"))
+        parts.append(step.format(new=f"w{k + 1}", old=f"h{k + 1}", side="e2.a > 1000000", own="node_id > 1000000"))
+    return ", ".join(parts) + ", lpa as (select cast(1 as bigint) as corpus_id, node_id, dense_rank() over (order by first) - 1 as community from (select node_id, min(node_id) over (partition by label) as first from w8) z) " + tail
+
+
+_groups: dict[tuple[str, str], object] = {}
+
+
+def _communities(spark, sf_dir):
+    """Communities of the whole graph, found once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _groups:
+        _groups[key] = saved(G.communities(_edges(spark, sf_dir)), "communities")
+    return _groups[key]
+
+
+@query(_wave_sql("select * from lpa"), "edges")
 def communities(spark, sf_dir):
-    return G.communities(_edges(spark, sf_dir))
+    return _communities(spark, sf_dir)
+
+
+_STATS = f"select corpus_id, count(*) as n_nodes, max(out_degree) as max_out, max(in_degree) as max_in, (select count(*) from g) as n_edges, round((select count(*) from g) / (count(*) * (count(*) - 1.0::double)), 9) as density from ({_DEGREE}) d group by corpus_id"
+
+
+@query(_wave_sql(f"select s.*, (select count(distinct community) from lpa) as n_communities from ({_STATS}) s"), "edges")
+def graph_stats(spark, sf_dir):
+    return G.graph_stats(_edges(spark, sf_dir), _communities(spark, sf_dir))
+
+
+def _scope(spark, sf_dir):
+    """Edges that a supported verdict stands for: those of suppliers with an odd key."""
+    return _named_edges(spark, sf_dir).filter("subject_id % 2 = 1").select("triple_id")
+
+
+def _named_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).withColumn("triple_id", F.col("subject_id") * 10_000_000 + F.col("object_id"))
+
+
+def _view(spark, sf_dir, part, verified=False):
+    return G.graph_view(_named_edges(spark, sf_dir), _entity_names(spark, sf_dir), _scope(spark, sf_dir) if verified else None, **({} if verified else {"ranks": _ranks(spark, sf_dir), "groups": _communities(spark, sf_dir)}), only=part)
+
+
+@query(
+    _pagerank_sql(_wave_sql("").rstrip(), 50, ", d as (" + _DEGREE + f") select d.corpus_id, d.node_id, d.in_degree, d.out_degree, floor(score / (select sum(score) from {{last}}) * 1e9 + 0.5) as score_e9, lpa.community, x.name from {{last}} r join d on d.node_id = r.node_id join lpa on lpa.node_id = d.node_id left join {_ENTITY_NAMES} x on x.node_id = d.node_id").replace(" , d as", ", d as"),
+    "edges",
+)
+def graph_view(spark, sf_dir):
+    """Nodes of the whole graph, as the view shows them."""
+    nodes = _view(spark, sf_dir, "nodes")
+    return nodes.withColumn("score_e9", F.round(F.col("score") * 1e9).cast("double")).drop("score")
+
+
+@query(_G + " select distinct corpus_id, subject_id, object_id, predicate from g", "edges")
+def graph_view_edges(spark, sf_dir):
+    return _view(spark, sf_dir, "edges")
+
+
+_ODD = "(select * from edges where subject_id % 2 = 1)"
+
+
+@query(
+    _wave_sql(f"select s.*, (select count(distinct community) from lpa) as n_communities from ({_STATS}) s").replace("from edges)", f"from {_ODD} o1)").replace("from edges union", f"from {_ODD} o2 union").replace("from edges where", f"from {_ODD} o3 where"),
+    "edges",
+)
+def graph_view_verified(spark, sf_dir):
+    """Measures of the part of the graph that verdicts support."""
+    return _view(spark, sf_dir, "stats", verified=True)
 
 
 _SYNC = "".join([", e2 as (select distinct a, b from (select subject_id as a, object_id as b from edges union all select object_id, subject_id from edges) x where a <> b), nodes as (select distinct unnest([subject_id, object_id]) as node_id from edges), l0 as materialized (select node_id, node_id as label from nodes)", *(f", v{k} as (select e2.a as node_id, l.label, count(*) as n from e2 join l{k - 1} l on l.node_id = e2.b group by 1, 2), l{k} as materialized (select l.node_id, coalesce(w.label, l.label) as label from l{k - 1} l left join (select node_id, label from (select *, row_number() over (partition by node_id order by n desc, label) as r from v{k}) y where r = 1) w on w.node_id = l.node_id)" for k in range(1, 9))])
@@ -107,9 +168,15 @@ def communities_sync(spark, sf_dir):
     return G.communities_sync(_edges(spark, sf_dir))
 
 
-@query()
+@query(_wave_sql("select corpus_id, community, count(*) as size, min(node_id) as first_member, max(node_id) as last_member from lpa group by corpus_id, community"), "edges")
 def community_rows(spark, sf_dir):
-    return G.community_rows(G.communities(_edges(spark, sf_dir)))
+    return G.community_rows(_communities(spark, sf_dir))
+
+
+@query(_wave_sql(f"select corpus_id, community, lpa.node_id, name, row_number() over (partition by community order by lpa.node_id) as place from lpa left join {_ENTITY_NAMES} x on x.node_id = lpa.node_id"), "edges")
+def community_members(spark, sf_dir):
+    """Every member with its name, in order."""
+    return G.community_members(_communities(spark, sf_dir), _entity_names(spark, sf_dir))
 
 
 _HUMAN = f"select corpus_id, subject, predicate, verdict, case when claim_id % 6 = 0 then 'HUMAN_DECISION' else 'MACHINE_ONLY' end as state, case when claim_id % 6 = 0 then case when claim_id % 12 = 0 then 'SUPPORTED' else 'CONTRADICTED' end end as human_verdict from ({_SETTLED}) s"

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions import text as T
+from attest.operators.ranks import numbered
 
 
 def _canonical(c):
@@ -122,8 +123,8 @@ def verdict_accuracy(gold: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p50, p95 and max by nearest rank: the value at min(n - 1, floor(n p)) in order."""
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = samples.select(*by, F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    pick = lambda p, name: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("v"))).alias(name)
+    """p50, p95 and max by nearest rank: the value at min(n - 1, floor(n p)) in order; a group is not sorted in one task."""
+    rows = numbered(samples.select(*by, F.col(value).alias("v")), by, ["v"], "i", "n").withColumn("i", F.col("i") - 1)
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    pick = lambda p, name: F.max(F.when(F.col("i") == at(p), F.col("v"))).alias(name)
     return rows.groupBy(*by).agg(F.max("n").alias("n"), pick(0.5, "p50"), pick(0.95, "p95"), F.max("v").alias("top"))

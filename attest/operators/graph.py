@@ -4,12 +4,12 @@ Loops keep nothing in one place: a step's result is written to the folder in spa
 lineage stays short and a lost executor repeats one step only.
 """
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.text import round_places
 from attest.operators._store import saved
+from attest.operators.ranks import numbered
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -35,12 +35,16 @@ def graph_degree(triples: DataFrame) -> DataFrame:
     return rows.fillna(0, ["out_degree", "n_predicates", "n_triples", "in_degree"])
 
 
-def graph_stats(triples: DataFrame) -> DataFrame:
+def graph_stats(triples: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Measures of each corpus; groups: communities (corpus_id, node_id, community), to be counted too."""
     d = graph_degree(triples).groupBy("corpus_id").agg(F.count("*").alias("n_nodes"), F.max("out_degree").alias("max_out"), F.max("in_degree").alias("max_in"))
     e = graph_edges(triples).groupBy("corpus_id").agg(F.count("*").alias("n_edges"))
     out = d.join(e, "corpus_id", "left").fillna(0, ["n_edges"])
     density = F.when(F.col("n_nodes") < 2, 0.0).otherwise(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)))
-    return out.withColumn("density", F.round(density, 9))
+    out = out.withColumn("density", F.round(density, 9))
+    if groups is None:
+        return out
+    return out.join(groups.groupBy("corpus_id").agg(F.countDistinct("community").alias("n_communities")), "corpus_id", "left").fillna(0, ["n_communities"])
 
 
 def pagerank(triples: DataFrame, damping: float = 0.85, iterations: int = 50) -> DataFrame:
@@ -67,7 +71,7 @@ def pagerank(triples: DataFrame, damping: float = 0.85, iterations: int = 50) ->
         rank = _cut(summed.join(lost, "corpus_id").select("corpus_id", "node_id", "n", "out", score.alias("score")))
     total = rank.groupBy("corpus_id").agg(F.sum("score").alias("total"))
     scored = rank.join(total, "corpus_id").select("corpus_id", "node_id", round_places(F.col("score") / F.col("total"), 9).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("corpus_id").orderBy(F.desc("score"), "node_id")))
+    return numbered(scored, ["corpus_id"], [F.desc("score"), "node_id"], "rank")
 
 
 def pagerank_topn(triples: DataFrame, names: DataFrame | None = None, n: int = 50, ranks: DataFrame | None = None, **how) -> DataFrame:
@@ -102,39 +106,57 @@ def connected_components(triples: DataFrame, most: int = 200) -> DataFrame:
 def _renumbered(labels: DataFrame) -> DataFrame:
     """Communities numbered from 0 by their least member."""
     least = labels.groupBy("corpus_id", "label").agg(F.min("node_id").alias("first"))
-    number = least.withColumn("community", F.row_number().over(Window.partitionBy("corpus_id").orderBy("first")) - 1)
+    number = numbered(least, ["corpus_id"], ["first"], "community").withColumn("community", F.col("community") - 1)
     return labels.join(number.select("corpus_id", "label", "community"), ["corpus_id", "label"]).select("corpus_id", "node_id", "community")
 
 
-def communities(triples: DataFrame, sweeps: int = 8) -> DataFrame:
-    """Label propagation node by node in order, exactly; labels never leave a component, so components run side by side.
+def wave_levels(links: DataFrame, nodes: DataFrame, most: int = 10_000) -> tuple[DataFrame, int]:
+    """(corpus_id, node_id, level) and how many levels: a node is one above the highest of its neighbours of lesser id, 0 without any.
 
-    Each node sees the labels that nodes before it took in the same sweep, so a component is one task at every size;
-    ``communities_sync`` is the form whose tasks don't grow.
+    Levels grow by a round each; nodes that have their final level by then are not looked at again.
+    """
+    lesser = _cut(links.filter("other < node_id"))
+    level = _cut(nodes.withColumn("level", F.lit(0)))
+    front = level.select("corpus_id", F.col("node_id").alias("other"))
+    for k in range(1, most):
+        # All that have a neighbour on the level before are on this one at least.
+        front = _cut(lesser.join(front, ["corpus_id", "other"]).select("corpus_id", "node_id").distinct())
+        if front.isEmpty():
+            return level, k
+        level = _cut(level.join(front.withColumn("here", F.lit(k)), ["corpus_id", "node_id"], "left").select("corpus_id", "node_id", F.coalesce("here", "level").alias("level")))
+        front = front.select("corpus_id", F.col("node_id").alias("other"))
+    raise RuntimeError(f"an increasing path of more than {most} nodes")
+
+
+def wave_labels(triples: DataFrame, sweeps: int = 8) -> DataFrame:
+    """(corpus_id, node_id, label) of label propagation node by node in ascending order.
+
+    In a sweep a node sees the new labels of lesser neighbours and the old ones of greater, so nodes whose lesser
+    neighbours are all done can go together: a sweep is a wave over levels, each a join of links with labels, a count by
+    node and label (summed before it is shuffled) and the greatest count, ties to the least label. No task holds a
+    component, or more of a node than its labels.
     """
-    part = connected_components(triples)
-    rows = part.join(_both_ways(triples), ["corpus_id", "node_id"], "left")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = {k: k for k in sorted(set(pdf["node_id"]))}
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf["node_id"], pdf["other"], strict=True):
-            if not pd.isna(b):
-                near.setdefault(a, []).append(int(b))
-        for _ in range(sweeps):
-            changed = False
-            for node in label:
-                count: dict[int, int] = {}
-                for x in near.get(node, ()):
-                    count[label[x]] = count.get(label[x], 0) + 1
-                best = min(count, key=lambda x: (-count[x], x), default=label[node])
-                changed |= best != label[node]
-                label[node] = best
-            if not changed:
-                break
-        return pd.DataFrame({"corpus_id": pdf["corpus_id"].iloc[0], "node_id": list(label), "label": list(label.values())})
-
-    return _renumbered(rows.groupBy("corpus_id", "component").applyInPandas(one, "corpus_id long, node_id long, label long"))
+    keys = ["corpus_id", "node_id"]
+    links = _cut(_both_ways(triples))
+    nodes = _cut(graph_nodes(triples))
+    level, n = wave_levels(links, nodes)
+    links = _cut(links.join(level, keys))
+    label = _cut(level.select(*keys, F.col("node_id").alias("label")))
+    for _ in range(sweeps):
+        before = label
+        for k in range(n):
+            own = links.filter(F.col("level") == k)
+            votes = own.join(label.select("corpus_id", F.col("node_id").alias("other"), "label"), ["corpus_id", "other"]).groupBy(*keys, "label").agg(F.count("*").alias("n"))
+            best = votes.groupBy(*keys).agg(F.min(F.struct(-F.col("n"), "label")).alias("b")).select(*keys, F.col("b.label").alias("voted"))
+            label = _cut(label.join(best, keys, "left").select(*keys, F.coalesce("voted", "label").alias("label")))
+        if label.join(before.withColumnRenamed("label", "was"), keys).filter("label <> was").isEmpty():
+            break
+    return label
+
+
+def communities(triples: DataFrame, sweeps: int = 8) -> DataFrame:
+    """Communities by label propagation node by node in order, exactly, numbered from 0 by their least member."""
+    return _renumbered(wave_labels(triples, sweeps))
 
 
 def sync_labels(triples: DataFrame, sweeps: int = 8) -> DataFrame:
@@ -152,26 +174,47 @@ def communities_sync(triples: DataFrame, sweeps: int = 8) -> DataFrame:
     return _renumbered(sync_labels(triples, sweeps))
 
 
+def community_members(members: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """A row for each member of each community, in order of id, with its name where names are given; a community of any size."""
+    rows = members if names is None else members.join(names, ["corpus_id", "node_id"], "left")
+    return numbered(rows, ["corpus_id", "community"], ["node_id"], "place")
+
+
+def community_nested(members: DataFrame, names: DataFrame) -> DataFrame:
+    """Communities with their sorted members and names in arrays: for those that are to be shown whole."""
+    rows = members.join(names, ["corpus_id", "node_id"], "left")
+    pairs = F.array_sort(F.collect_list(F.struct("node_id", "name")))
+    return rows.groupBy("corpus_id", "community").agg(F.count("*").alias("size"), pairs.alias("m")).select("corpus_id", "community", "size", F.col("m.node_id").alias("members"), F.col("m.name").alias("names"))
+
+
 def community_rows(members: DataFrame) -> DataFrame:
     return members.groupBy("corpus_id", "community").agg(F.count("*").alias("size"), F.min("node_id").alias("first_member"), F.max("node_id").alias("last_member"))
 
 
-def graph_view(triples: DataFrame, names: DataFrame | None = None, verified: DataFrame | None = None, ranks: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes with degrees, score and community, edges with a label, and a row of measures per corpus.
+def graph_view(triples: DataFrame, names: DataFrame | None = None, verified: DataFrame | None = None, ranks: DataFrame | None = None, groups: DataFrame | None = None, only: str | None = None, **how):
+    """Nodes with degrees, score and community, edges with a label, and a row of measures per corpus; only: one of "nodes", "edges", "stats".
 
-    triples: approved ones; with verified (triple_id) only those among them, as the scope VERIFIED_ONLY.
+    triples: approved ones; with verified (triple_id) only those among them, as the scope VERIFIED_ONLY. ranks and
+    groups: what ``pagerank`` and ``communities`` gave for these triples, if they are there already.
     """
     if verified is not None:
         triples = triples.join(verified.select("triple_id").distinct(), "triple_id", "left_semi")
     keys = ["corpus_id", "node_id"]
-    groups = communities(triples)
+
+    def edges() -> DataFrame:
+        text = ["subject_text", "object_text"] if "subject_text" in triples.columns else []
+        out = triples.select("corpus_id", "subject_id", "object_id", "predicate", *text)
+        return out.withColumn("label", F.concat_ws(" ", "subject_text", "predicate", "object_text")).drop(*text) if text else out.distinct()
+
+    if only == "edges":
+        return edges()
+    groups = _cut(communities(triples)) if groups is None else groups
+    stats = graph_stats(triples, groups)
+    if only == "stats":
+        return stats
     nodes = graph_degree(triples).select(*keys, "in_degree", "out_degree").join((pagerank(triples, **how) if ranks is None else ranks).select(*keys, "score"), keys).join(groups, keys)
     nodes = nodes if names is None else nodes.join(names, keys, "left")
-    edges = triples.select("corpus_id", "subject_id", "object_id", "predicate", *(["subject_text", "object_text"] if "subject_text" in triples.columns else []))
-    if "subject_text" in edges.columns:
-        edges = edges.withColumn("label", F.concat_ws(" ", "subject_text", "predicate", "object_text")).drop("subject_text", "object_text")
-    stats = graph_stats(triples).join(groups.groupBy("corpus_id").agg(F.countDistinct("community").alias("n_communities")), "corpus_id")
-    return nodes, edges, stats
+    return nodes if only == "nodes" else (nodes, edges(), stats)
 
 
 def verified_scope(triples: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.operators.ranks import numbered
+
 
 def status_counts(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -231,9 +233,7 @@ def rate_nth_call(calls: DataFrame, gap_seconds: int, limit: int) -> DataFrame:
 def page_envelope(df: DataFrame, by: list[str], order: list[Column], page: int, size: int) -> DataFrame:
     """One page of every group, with totals: page from 0, size 1 at least."""
     page, size = max(0, page), max(1, size)
-    group = Window.partitionBy(*by)
-    rows = df.withColumns({"nth": F.row_number().over(group.orderBy(*order)), "total_elements": F.count("*").over(group)})
-    rows = rows.withColumn("total_pages", F.ceil(F.col("total_elements") / size))
+    rows = numbered(df, by, order, "nth", "total_elements").withColumn("total_pages", F.ceil(F.col("total_elements") / size))
     return rows.filter((F.col("nth") > page * size) & (F.col("nth") <= (page + 1) * size)).withColumn("has_next", F.lit(page + 1) < F.col("total_pages"))
 
 
