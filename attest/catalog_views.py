@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from attest.catalog import _RULES, _SCAN, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query, verify_claims
+from attest.catalog import _RULES, _SCAN, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query
 from attest.fixtures import frame
 from attest.operators._store import saved
+from attest.plans.verification import verify_claims
 
 _CORPUS = "select cast(1 as bigint) as corpus_id, subject_id, predicate, object_id from edges"
 

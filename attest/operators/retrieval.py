@@ -1,9 +1,13 @@
-"""Ranking chunks for questions: postings joined by term, scores summed, the best kept by a window."""
+"""Ranking chunks for questions: postings in blocks with their largest scores, blocks that can't matter left out, the best kept by a window."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions import text as T
+from attest.operators._store import saved
+
+#: Chunks of a block, in the mean, and blocks of a query that are scored for its threshold.
+BLOCK, SEEDS = 256, 2
 
 
 def index_terms(chunks: DataFrame) -> DataFrame:
@@ -18,38 +22,68 @@ def query_terms(queries: DataFrame, expand: bool = True) -> DataFrame:
     return queries.select("corpus_id", "query_id", F.explode(terms).alias("term"))
 
 
-def _matched(queries: DataFrame, chunks: DataFrame, expand: bool) -> DataFrame:
-    """Postings of searched terms only, with the corpus's statistics: rare terms are joined before anything is summed."""
-    asked = query_terms(queries, expand)
+def _postings(queries: DataFrame, chunks: DataFrame, expand: bool) -> tuple[DataFrame, DataFrame]:
+    """(corpus_id, query_id, term), and the postings of these terms only with df and n_chunks of the corpus."""
+    asked = saved(query_terms(queries, expand), "asked")
     words = index_terms(chunks).join(asked.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
     n = chunks.groupBy("corpus_id").agg(F.count("*").alias("n_chunks"))
+    words = saved(words, "postings")
     df = words.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
-    return words.join(df, ["corpus_id", "term"]).join(n, "corpus_id").join(asked, ["corpus_id", "term"])
+    return asked, words.join(df, ["corpus_id", "term"]).join(n, "corpus_id")
 
 
-def _best(scored: DataFrame, k: int, least: float) -> DataFrame:
-    order = Window.partitionBy("corpus_id", "query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.filter(F.col("score") > least).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def block_lists(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Postings (corpus_id, term, chunk_id, n_chunks, part) -> a row for each term and block of chunks: its postings and the largest part.
 
+    A block holds about so many chunks of a corpus, so no row grows with how frequent a term is.
+    """
+    of = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n_chunks") / block)).cast("long")
+    return saved(parts.groupBy("corpus_id", "term", of.alias("block")).agg(F.max("part").alias("most"), F.collect_list(F.struct("chunk_id", "part")).alias("list")), "blocks")
+
+
+def _scored(blocks: DataFrame, asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """(corpus_id, query_id, block) -> scores of all chunks there that have a term of the query; rounded, so the order of summing doesn't show."""
+    hits = blocks.join(asked, ["corpus_id", "query_id"]).join(lists, ["corpus_id", "term", "block"])
+    each = hits.select("corpus_id", "query_id", F.explode("list").alias("x"))
+    return each.groupBy("corpus_id", "query_id", "x.chunk_id").agg(F.round(F.sum("x.part"), 6).alias("score"))
 
-def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0, expand: bool = True) -> DataFrame:
-    """The k best chunks of the query's own corpus: sum of tf x idf squared, idf = log10(chunks / chunks with the term).
 
-    Scores are rounded before they are ranked, so the order doesn't depend on the order of summing.
+def best_of_blocks(asked: DataFrame, parts: DataFrame, k: int, least: float, block: int = BLOCK, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The k best chunks of each query, exactly; with them all (query, block) that hold a term, and those that were looked into.
+
+    A block's chunks score no more than the sum of the largest parts of the query's terms there. The blocks of greatest
+    bound are scored first, as many as seeds; the k-th score among their chunks is a threshold that the query's k best
+    all reach. Blocks whose bound is below it are left out, the others are scored.
     """
+    keys = ["corpus_id", "query_id"]
+    lists = block_lists(parts, block)
+    bound = saved(asked.join(lists.drop("list"), ["corpus_id", "term"]).groupBy(*keys, "block").agg(F.sum("most").alias("bound")), "bounds")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bound"), "block"))
+    first = bound.withColumn("nth", nth).filter(F.col("nth") <= seeds).select(*keys, "block")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score")))
+    reach = _scored(first, asked, lists).withColumn("nth", nth).filter(F.col("nth") == k).select(*keys, F.col("score").alias("reach"))
+    # Scores are rounded to six places.
+    left = saved(bound.join(saved(reach, "thresholds"), keys, "left").filter("bound + 1e-6 >= coalesce(reach, 0)").select(*keys, "block"), "left-blocks")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
+    best = _scored(left, asked, lists).filter(F.col("score") > least).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best, bound, left
+
+
+def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0, expand: bool = True) -> DataFrame:
+    """The k best chunks of the query's own corpus: sum of tf x idf squared, idf = log10(chunks / chunks with the term)."""
+    asked, words = _postings(queries, chunks, expand)
     idf = F.log10(F.col("n_chunks") / F.col("df"))
-    scored = _matched(queries, chunks, expand).groupBy("corpus_id", "query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * idf * idf), 6).alias("score"))
-    return _best(scored, k, least)
+    return best_of_blocks(asked, words.withColumn("part", F.col("tf") * idf * idf), k, least)[0]
 
 
 def retrieve_bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, expand: bool = True) -> DataFrame:
-    sizes = index_terms(chunks).groupBy("corpus_id", "chunk_id").agg(F.sum("tf").alias("len"))
+    sizes = saved(index_terms(chunks).groupBy("corpus_id", "chunk_id").agg(F.sum("tf").alias("len")), "lengths")
     mean = sizes.groupBy("corpus_id").agg(F.avg("len").alias("mean_len"))
-    rows = _matched(queries, chunks, expand).join(sizes, ["corpus_id", "chunk_id"]).join(mean, "corpus_id")
+    asked, words = _postings(queries, chunks, expand)
+    rows = words.join(sizes, ["corpus_id", "chunk_id"]).join(mean, "corpus_id")
     idf = F.ln(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    scored = rows.groupBy("corpus_id", "query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return _best(scored, k, 0.0)
+    return best_of_blocks(asked, rows.withColumn("part", part), k, 0.0)[0]
 
 
 def retrieve_diagnose(queries: DataFrame, found: DataFrame) -> DataFrame:
