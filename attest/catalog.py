@@ -540,4 +540,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.relation_conflicts(K.approved(frame(spark, sf_dir, "triples")))
 
 
-from attest import catalog_views, catalog_documents  # noqa: E402, F401, I001  (they register the rest)
+from attest import catalog_views, catalog_documents, catalog_streams  # noqa: E402, F401, I001  (they register the rest)

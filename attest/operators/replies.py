@@ -12,6 +12,9 @@ CLAIM = "struct<subject:string,claim:string,polarity:string,sentence:string>"
 POLARITIES = ("POSITIVE", "NEGATIVE", "NEUTRAL")
 REPLY = f"struct<triples:array<{ITEM}>,claims:array<{CLAIM}>>"
 
+#: A string, one that doesn't end, a brace, or what lies between: together they are the whole text.
+_TOKEN = r'''"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|"[\s\S]*+|[{}]|[^"{}]++'''
+
 
 def json_envelope(c: Column) -> Column:
     """The first balanced object of a reply, outside strings; a code fence around it is taken off. Null if there is none."""
@@ -19,16 +22,15 @@ def json_envelope(c: Column) -> Column:
     x = F.when(inside != "", inside).otherwise(c)
     start = F.instr(x, "{")
     x = F.when(start > 0, F.substring(x, start, F.length(x)))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
-    def step(a: Column, ch: Column) -> Column:
-        quote = (ch == '"') & ~a["escaped"]
-        depth = a["depth"] + F.when(a["quoted"] | quote, 0).when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        at = a["at"] + 1
-        closed = (a["end"] == 0) & (depth == 0) & (ch == "}") & ~a["quoted"]
-        return F.struct(depth.alias("depth"), F.when(quote, ~a["quoted"]).otherwise(a["quoted"]).alias("quoted"), (a["quoted"] & (ch == "\\") & ~a["escaped"]).alias("escaped"), at.alias("at"), F.when(closed, at).otherwise(a["end"]).alias("end"))
+    def step(a: Column, token: Column) -> Column:
+        depth = a["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = a["at"] + F.length(token)
+        closed = (a["end"] == 0) & (depth == 0) & (token == "}")
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(closed, at).otherwise(a["end"]).alias("end"))
 
-    end = F.aggregate(F.split(x, ""), zero, step)["end"]
+    end = F.aggregate(F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)), zero, step)["end"]
     return F.when(end > 0, F.substring(x, F.lit(1), end))
 
 

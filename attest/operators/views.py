@@ -137,6 +137,23 @@ def debate_fsm(events: DataFrame, most_rounds: int = 3) -> DataFrame:
     return log.select("debate_id", F.aggregate("log", start, step).alias("end")).select("debate_id", "end.*")
 
 
+def debate_refusals(events: DataFrame, most_rounds: int = 3) -> DataFrame:
+    """(debate_id, at, event_id, event) -> the events that a debate's state did not allow, with that state and its round."""
+    table = F.create_map(*(F.lit(x) for a, e, b in DEBATE_MOVES for x in (f"{a}>{e}", b)))
+    start = F.struct(F.lit("CREATED").alias("state"), F.lit(0).alias("round"), F.array().cast("array<struct<event_id:bigint,state:string,round:int>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        to = F.element_at(table, F.concat(acc["state"], F.lit(">"), e["event"]))
+        ends = (acc["state"] == "AWAITING_CHAIR") & (e["event"] == "WEIGHTS") & (acc["round"] >= most_rounds)
+        state = F.when(ends, "SYNTHESIZING").otherwise(F.coalesce(to, acc["state"]))
+        number = acc["round"] + F.when((state == "ROUND_ACTIVE") & (acc["state"] != "ROUND_ACTIVE"), 1).otherwise(0)
+        refused = F.array(F.struct(e["event_id"].cast("long").alias("event_id"), acc["state"].alias("state"), acc["round"].alias("round")))
+        return F.struct(state.alias("state"), number.alias("round"), F.when(to.isNull(), F.concat(acc["out"], refused)).otherwise(acc["out"]).alias("out"))
+
+    log = events.groupBy("debate_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "event"))).alias("log"))
+    return log.select("debate_id", F.explode(F.aggregate("log", start, step)["out"]).alias("x")).select("debate_id", "x.*")
+
+
 def machine_facts(conflicts: DataFrame, claims: DataFrame, verdicts: DataFrame, triples: DataFrame, ranks: DataFrame, communities: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
     """Fact lines for the brief of every contradiction; those of a whole corpus come once, with a null conflict_hash.
 

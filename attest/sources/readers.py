@@ -55,3 +55,20 @@ def gold_verdicts(spark: SparkSession, path: str) -> DataFrame:
     kind = "items array<struct<id:string,claimText:string,expectedVerdict:string,category:string>>"
     rows = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("items").alias("i"))
     return rows.select("i.id", F.col("i.claimText").alias("text"), F.col("i.expectedVerdict").alias("expected"), "i.category")
+
+
+REPLIES = "corpus_id long, reply_id long, raw_text string, broken string"
+
+
+def model_replies(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """JSON lines of raw replies -> corpus_id, reply_id, raw_text, broken; none is lost.
+
+    A line that is no such record keeps its text in broken and in raw_text, and gets corpus 0 and an id from the text, so
+    that it can be quarantined like a reply. path: files or a folder; as a stream, the files that come into it.
+    """
+    reader = (spark.readStream if stream else spark.read).schema(REPLIES)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    bad = F.col("broken").isNotNull() | F.col("corpus_id").isNull() | F.col("reply_id").isNull()
+    text = F.coalesce("broken", F.to_json(F.struct("corpus_id", "reply_id", "raw_text")))
+    own = -F.abs(F.pmod(F.xxhash64(text), F.lit(2**62))) - 1
+    return rows.select(F.when(bad, F.lit(0).cast("long")).otherwise(F.col("corpus_id")).alias("corpus_id"), F.when(bad, own).otherwise(F.col("reply_id")).alias("reply_id"), F.when(bad, text).otherwise(F.coalesce("raw_text", F.lit(""))).alias("raw_text"), F.when(bad, text).alias("broken"))
