@@ -165,6 +165,14 @@ def _dealt(spark, sf_dir, most=8):
     return f.withColumn("chunk_id", F.min("triple_id").over(Window.partitionBy("s", "part")))
 
 
+@query("select subject, predicate, object_or_claim from (select s as subject, p as predicate, o as object_or_claim from facts) x", "facts")
+def extract_spo_facts(spark, sf_dir):
+    """All facts, written out as sentences and extracted again."""
+    facts = _dealt(spark, sf_dir).select("chunk_id", F.concat_ws(" ", "s", "p", F.concat("o", F.lit("."))).alias("content"))
+    out = D.extract_spo(facts.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("content")), " ").alias("content")))
+    return out.filter("kind = 'TRIPLE'").select("subject", "predicate", "object_or_claim")
+
+
 # --- entities ---
 
 
@@ -540,4 +548,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.relation_conflicts(K.approved(frame(spark, sf_dir, "triples")))
 
 
-from attest import catalog_views, catalog_documents, catalog_streams  # noqa: E402, F401, I001  (they register the rest)
+from attest import catalog_views, catalog_documents, catalog_streams, catalog_quality  # noqa: E402, F401, I001  (they register the rest)

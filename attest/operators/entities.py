@@ -68,3 +68,11 @@ def entity_profile(entities: DataFrame, aliases: DataFrame, triples: DataFrame)
     r = r.groupBy("corpus_id", "entity_key").agg(F.count("*").alias("n_relations"), F.countDistinct("predicate").alias("n_predicates"))
     out = entities.join(a, "entity_id", "left").join(r, ["corpus_id", "entity_key"], "left")
     return out.fillna(0, ["n_aliases", "n_relations", "n_predicates"])
+
+
+def entity_profile_nested(entities: DataFrame, aliases: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
+    """Entities with their sorted aliases and outgoing relations (predicate, object) inside, empty where there are none."""
+    a = aliases.groupBy(*key).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    r = relations.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("predicate", "object"))).alias("relations"))
+    out = entities.join(a, key, "left").join(r, key, "left")
+    return out.withColumns({"aliases": F.coalesce("aliases", F.array().cast("array<string>")), "relations": F.coalesce("relations", F.array().cast("array<struct<predicate:string,object:string>>"))})

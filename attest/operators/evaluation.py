@@ -60,15 +60,37 @@ def extraction_prf(gold: DataFrame, predicted: DataFrame, by: list[str]) -> Data
 
 
 def place_gold(gold: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sentence) on the first chunk of its document that has the sentence; and gold that no chunk has.
+    """(doc_id, sentence, ...) on the first chunk of its document that has the sentence; and gold that no chunk has.
 
-    The substring test only meets chunks of the same document.
+    Chunks overlap, so a sentence may be in several: it is claimed once. The substring test only meets chunks of the
+    same document, once for each sentence.
     """
     text = lambda c: F.concat(F.lit(" "), T.norm_label(F.col(c)), F.lit(" "))
-    g = gold.withColumn("gold_no", F.xxhash64(*gold.columns))
-    hit = g.join(chunks.select("doc_id", "chunk_index", "content"), "doc_id").filter(F.contains(text("content"), text("sentence")))
-    first = hit.groupBy("gold_no").agg(F.min("chunk_index").alias("chunk_index"))
-    return g.join(first, "gold_no").drop("gold_no"), g.join(first, "gold_no", "left_anti").drop("gold_no")
+    asked = gold.select("doc_id", "sentence").distinct()
+    hit = asked.join(chunks.select("doc_id", "chunk_index", "content"), "doc_id").filter(F.contains(text("content"), text("sentence")))
+    first = hit.groupBy("doc_id", "sentence").agg(F.min("chunk_index").alias("chunk_index"))
+    return gold.join(first, ["doc_id", "sentence"]), gold.join(first, ["doc_id", "sentence"], "left_anti")
+
+
+def extraction_report(gold: DataFrame, predicted: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Extraction held against gold facts: tp, fp, fn, precision, recall and F1, gold without a place, and the rates of bad chunks.
+
+    gold: doc_id, subject, predicate, object, sentence, each claimed by the first chunk of its document that has the
+    sentence. chunks: doc_id, chunk_index, content, outcome (OK, MALFORMED, QUARANTINED or FAILED) and the columns of by.
+    predicted: doc_id, chunk_index, subject, predicate, object. All gold of a chunk that is not OK is missed, and
+    nothing predicted there counts.
+    """
+    keys = ["doc_id", "chunk_index"]
+    placed, lost = place_gold(gold, chunks)
+    fine = chunks.filter("outcome = 'OK'").select(*keys).distinct()
+    label = lambda df, flag: df.select(*keys, T.norm_label(F.col("subject")).alias("s"), T.norm_label(F.col("predicate")).alias("p"), T.norm_label(F.col("object")).alias("o"), F.lit(1).alias(flag)).distinct()
+    both = label(placed, "g").join(label(predicted.join(fine, keys, "left_semi"), "h"), [*keys, "s", "p", "o"], "full_outer")
+    per = both.groupBy(*keys).agg(F.count_if(F.col("g").isNotNull() & F.col("h").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("h").isNull()).alias("fn"))
+    of = lambda x: F.count_if(F.col("outcome") == x)
+    n = F.count("*")
+    rows = chunks.select(*by, *keys, "outcome").join(per, keys, "left").groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), n.alias("n_chunks"), of("FAILED").alias("n_failed"), F.round(of("MALFORMED") / n, 4).alias("malformed_rate"), F.round(of("QUARANTINED") / n, 4).alias("quarantine_rate"))
+    unplaced = lost.join(chunks.select("doc_id", *by).distinct(), "doc_id").groupBy(*by).agg(F.count("*").alias("n_unplaced"))
+    return _ratios(rows.join(unplaced, by, "left").fillna(0, ["n_unplaced"]))
 
 
 def prose_prf(gold: DataFrame, predicted: DataFrame, chunks: DataFrame) -> DataFrame:

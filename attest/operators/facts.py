@@ -67,6 +67,16 @@ def approval_queue(triples: DataFrame, most: int = 50) -> DataFrame:
     return triples.filter("status = 'PENDING'").withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
 
 
+def approval_overview(triples: DataFrame, claims: DataFrame, most: int = 50) -> DataFrame:
+    """The newest facts (PENDING) and claims (PROPOSED) of each corpus that wait for a decision, each with how many of its kind wait."""
+    t = triples.filter("status = 'PENDING'").select(F.lit("TRIPLE").alias("kind"), "corpus_id", F.col("triple_id").alias("item_id"), F.concat_ws(" ", "subject_text", "predicate", "object_text").alias("text"))
+    c = claims.filter("status = 'PROPOSED'").select(F.lit("CLAIM").alias("kind"), "corpus_id", F.col("claim_id").alias("item_id"), F.col("claim_text").alias("text"))
+    rows = t.unionByName(c)
+    n = rows.groupBy("kind", "corpus_id").agg(F.count("*").alias("n_pending"))
+    newest = Window.partitionBy("kind", "corpus_id").orderBy(F.desc("item_id"))
+    return rows.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most).join(n, ["kind", "corpus_id"])
+
+
 def approved(triples: DataFrame) -> DataFrame:
     return triples.filter("status = 'APPROVED'")
 

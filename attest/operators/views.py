@@ -75,6 +75,12 @@ def trace_duration(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(F.datediff(F.max("happened_on"), F.min("happened_on")).alias("days"), F.count_if(F.col("status") == "RETRYING").alias("retries"), F.max("attempt").alias("most_attempts"))
 
 
+def trace_duration_ms(steps: DataFrame) -> DataFrame:
+    """Per run, from steps with a time (at): milliseconds from first to last, retries, most attempts of a step."""
+    took = F.floor((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 1000)
+    return steps.groupBy("run_id").agg(took.alias("duration_ms"), F.count_if(F.col("status") == "RETRYING").alias("n_retries"), F.max("attempt").alias("max_attempt"))
+
+
 def trace_retention(steps: DataFrame, before: Column) -> DataFrame:
     """Steps of runs that have one on or after a date."""
     live = steps.groupBy("run_id").agg(F.min("happened_on").alias("started")).filter(F.col("started") >= before)

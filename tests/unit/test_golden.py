@@ -23,23 +23,32 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize(
-    ("text", "weasels", "absolutes", "penalty"),
-    [
-        ("Calder Works owns Brightwater Mill.", 0, 0, 0.0),
-        ("The merger was reportedly agreed and Lindqvist Ferries allegedly runs the route.", 2, 0, 0.08),
-        ("Harbor Trust always pays every invoice that Calder Works sends.", 0, 2, 0.12),
-        ("A tall wall by the mall was callous to football.", 0, 0, 0.0),
-        ("A refund of the deposit is not guaranteed.", 0, 0, 0.0),
-        ("Members pay, without exception, in March.", 0, 1, 0.06),
-        ("ALWAYS, DEFINITELY, GUARANTEED.", 0, 3, 0.18),
-        ("", 0, 0, 0.0),
-        (None, 0, 0, 0.0),
-    ],
-)
-def test_claim_rules(spark, text, weasels, absolutes, penalty):
-    r = C.claim_rules(spark.createDataFrame([(1, text)], "claim_id long, claim_text string")).first()
-    assert (r["weasels"], r["absolutes"], r["penalty"]) == (weasels, absolutes, penalty)
+def _wording(seed):
+    """Words with terms of each kind strewn among them, and how many count."""
+    r = random.Random(seed)
+    words, weasels, absolutes = [], 0, 0
+    for _ in range(r.randrange(14)):
+        words.append(r.choice(["pebble", "orchard", "47", "kiln", "tide-table", "ørsted"]))
+        kind = r.randrange(4)
+        if kind == 0:
+            words.append(r.choice(V.WEASEL_TERMS))
+            weasels += 1
+        elif kind == 1:
+            words.append(r.choice(V.ABSOLUTE_TERMS))
+            absolutes += 1
+        elif kind == 2:
+            words += [r.choice(V.NEGATORS), r.choice(V.ABSOLUTE_TERMS)]
+            absolutes += words[-2] in V.ABSOLUTE_TERMS  # a negator may be a term itself
+    return " ".join(r.choice([w, w.upper(), w + r.choice(",;:")]) for w in words), weasels, absolutes
+
+
+def test_claim_rules(spark):
+    cases = [(k, *_wording(k)) for k in range(120)] + [(200, "", 0, 0), (201, None, 0, 0), (202, " \t?!", 0, 0)]
+    df = spark.createDataFrame([(k, t) for k, t, _, _ in cases], "claim_id long, claim_text string")
+    got = {r["claim_id"]: (r["weasels"], r["absolutes"], r["penalty"]) for r in C.claim_rules(df).collect()}
+    for k, text, w, a in cases:
+        assert got[k] == (w, a, int(min(w * 0.04 + a * 0.06, 0.4) * 1000 + 0.5) / 1000), text
+    assert max(p for _, _, p in got.values()) == 0.4 and min(p for _, _, p in got.values()) == 0
 
 
 def test_claim_explanation(spark):
@@ -58,15 +67,19 @@ def test_fuse_and_resolve(spark):
     assert all(r["got"] == r["want"] for r in df.select(S.resolve_verdict(F.col("j"), F.col("e"), F.col("p"), F.col("s")).alias("got"), "want").collect())
 
 
-@pytest.mark.parametrize(("name", "key"), [("Northstar Holdings", "northstar"), ("Meridian Groupe", "meridian groupe"), ("Group", "group"), ('"Aster Labs",', "aster labs"), (None, ""), ("A  B  Ltd.", "a b")])
-def test_entity_key(spark, name, key):
-    assert one(spark, name, T.entity_key) == key
+def test_entity_key(spark):
+    cases = [(f"Kestrel Dyers {d}", "kestrel dyers") for d in V.DESIGNATORS] + [(d.upper(), d.strip(",;:\"'()[]—–")) for d in V.DESIGNATORS]
+    last, other = V.DESIGNATORS[0], V.DESIGNATORS[3]
+    cases += [(f"Oriole {other} {last}", f"oriole {other}"), ("\u00a0Wren \u2003 &\tSons", "wren & sons"), ("[(—Dunlin—)]", "dunlin"), ("co-op", "co-op"), ("", ""), (None, ""), (" ; ", "")]
+    df = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(cases)], "k int, x string")
+    got = {r["k"]: r["y"] for r in df.select("k", T.entity_key(F.col("x")).alias("y")).collect()}
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
 
 
 def test_query_tokens_and_expansion(spark):
-    q = "Who does Calder collaborate with?"
-    assert one(spark, q, T.query_tokens) == ["calder", "collaborate"]
-    assert one(spark, q, lambda c: T.expanded_query(T.query_tokens(c))) == "+calder +collaborate +collaborates_with"
+    q = "Who does Tarn collaborate with?"
+    assert one(spark, q, T.query_tokens) == ["tarn", "collaborate"]
+    assert one(spark, q, lambda c: T.expanded_query(T.query_tokens(c))) == "+tarn +collaborate +collaborates_with"
     assert one(spark, q, lambda c: T.expansions(T.query_tokens(c))) == [("collaborate", "collaborates_with")]
     assert one(spark, "", T.query_tokens) == []
 
@@ -85,22 +98,34 @@ def _triples(spark, rows):
     return spark.createDataFrame([(1, k, s, p, o, t) for k, (s, p, o, t) in enumerate(rows)], "corpus_id long, triple_id long, subject_text string, predicate string, object_text string, effective_time string")
 
 
-@pytest.mark.parametrize(
-    ("rows", "n"),
-    [
-        ([("A", "reports_to", "Northstar Holdings", None), ("A", "reports_to", "Meridian Group", None)], 1),
-        ([("A", "located_in", "Geneva", "2019"), ("A", "located_in", "Zurich", "2025")], 0),
-        ([("A", "located_in", "Geneva", "2025"), ("A", "located_in", "Zurich", "2025")], 1),
-        ([("A", "sources_from", f"S{k}", None) for k in range(3)], 0),
-        ([("A", "sources_from", f"S{k}", None) for k in range(4)], 3),
-        ([("A", "funds", f"S{k}", None) for k in range(3)], 0),
-        ([("A", "unheard_of", "x", None), ("A", "unheard_of", "y", None)], 0),
-        ([("A", "reports_to", "x", None), ("A", "reports_to", " X ", None)], 0),
-        ([("A", None, "x", None), (None, "reports_to", "y", None)], 0),
-    ],
-)
-def test_relation_conflicts(spark, rows, n):
-    assert X.relation_conflicts(_triples(spark, rows)).count() == n
+def _plain_conflicts(rows):
+    """Pairs of neighbours in each group of a predicate that holds one value, or too many for its bound."""
+    rules = {p[0]: p for p in V.PREDICATES}
+    norm = lambda x: (x or "").strip().lower()
+    groups = {}
+    for k, (s, p, o, t) in enumerate(rows):
+        if s is not None and p is not None and p.lower() in rules:
+            groups.setdefault((norm(s), p.lower()), []).append((o, k, t))
+    found = set()
+    for (_, p), own in groups.items():
+        _, cardinality, bound, _, _, exclusive, temporal = rules[p]
+        if not (cardinality == "SINGLE" and exclusive or cardinality == "BOUNDED" and len(own) > bound):
+            continue
+        own.sort()
+        for (a, i, x), (b, j, y) in zip(own, own[1:]):
+            timed = temporal and (x or "").strip() and (y or "").strip() and x.strip().lower() != y.strip().lower()
+            if norm(a) != norm(b) and not timed:
+                found.add((i, j))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_relation_conflicts(spark, seed):
+    r = random.Random(seed)
+    names = [p[0] for p in V.PREDICATES] + ["hums", None]
+    rows = [(r.choice(["pell", "moth", "Moth ", None]), r.choice(names), r.choice(["reef", "Reef", "quay", "spit", "bar"]), r.choice([None, "", "dawn", "Dawn", "dusk"])) for _ in range(250)]
+    got = X.relation_conflicts(_triples(spark, rows)).select("left_triple_id", "right_triple_id").collect()
+    assert {(min(x), max(x)) for x in got} == {(min(x), max(x)) for x in _plain_conflicts(rows)} and len(got) > 5
 
 
 def test_conflicts_do_not_depend_on_order(spark):
@@ -209,10 +234,33 @@ def test_chunks_follow_the_rule(spark):
 
 
 def test_extract_spo(spark):
-    text = "Meridian Group reports_to Northstar Holdings. Nothing is said here at all. Aster funds Orion Systems Ltd. and more."
-    got = D.extract_spo(spark.createDataFrame([(1, text)], "chunk_id long, content string")).collect()
-    assert [(r["subject"], r["predicate"], r["object_or_claim"]) for r in got if r["kind"] == "TRIPLE"] == [("Meridian Group", "reports_to", "Northstar Holdings"), ("Aster", "funds", "Orion Systems Ltd")]
-    assert [r["subject"] for r in got if r["kind"] == "CLAIM"] == ["Meridian", "Nothing", "Aster"]
+    names = [p[0] for p in V.PREDICATES]
+    texts, want = [], {}
+    for k in range(30):
+        r = random.Random(k)
+        parts, facts, claims = [], [], []
+        for _ in range(r.randrange(14)):
+            if len(facts) == 8:
+                parts.append("Kelp grows on every rope hereabouts!")
+                continue
+            kind = r.randrange(3)
+            if kind == 0:
+                a, p, b = r.choice(["Old Tam", "the ferryman", "Ida"]), r.choice(names), r.choice(["a blue dory", "nets", "salt and rope"])
+                parts.append(f"{a} {p.upper() if r.random() < 0.3 else p} {b}.")
+                facts.append((a, p, b))
+            elif kind == 1:
+                parts.append(r.choice(["Fog again today?", f"{r.choice(names)} stands first here!"]))
+            else:
+                parts.append("Gulls wheel above the harbour wall.")
+            if len(parts[-1]) > 25 and len(claims) < 8:
+                claims.append(parts[-1].split()[0])
+        texts.append((k, " ".join(parts)))
+        want[k] = (sorted(facts), claims)
+    got = D.extract_spo(spark.createDataFrame(texts, "chunk_id long, content string")).collect()
+    for k, (facts, claims) in want.items():
+        kept = [f for f in facts if len(f"{f[0]} {f[1]} {f[2]}.") > 15]
+        assert sorted((r["subject"], r["predicate"], r["object_or_claim"]) for r in got if r["chunk_id"] == k and r["kind"] == "TRIPLE") == kept
+        assert sorted(r["subject"] for r in got if r["chunk_id"] == k and r["kind"] == "CLAIM") == sorted(claims)
 
 
 def test_all_facts_pass_through_chunks(spark, tmp_path):
@@ -286,9 +334,9 @@ def test_graph_view(spark):
 
 
 def test_items_of_replies(spark):
-    text = "Calder Works owns Brightwater Mill. Calder Works says it may sell the mill soon."
-    fact = {"subject": "Calder Works", "predicate": V.PREDICATES[0][0], "object": "Brightwater Mill", "sentence": "calder works owns Brightwater Mill"}
-    claim = {"subject": "Calder Works", "claim": "it may sell the mill", "polarity": "NEUTRAL", "sentence": "it may sell the mill soon"}
+    text = "Tarn Quarry owns Slate Wharf. Tarn Quarry says it may sell the wharf soon."
+    fact = {"subject": "Tarn Quarry", "predicate": V.PREDICATES[0][0], "object": "Slate Wharf", "sentence": "tarn quarry owns Slate Wharf"}
+    claim = {"subject": "Tarn Quarry", "claim": "it may sell the wharf", "polarity": "NEUTRAL", "sentence": "it may sell the wharf soon"}
     replies = [
         ([fact, {**fact, "object": " brightwater  MILL"}], [claim, claim], None, 1, 1),
         ([{**fact, "sentence": "owns"}], [], "SEMANTIC_VALIDATION_FAILED", None, None),

@@ -115,7 +115,7 @@ def test_stream_decisions_find_what_a_batch_finds(spark, stream, tmp_path):
 
 
 def test_conflicts_across_batches_are_found(spark, stream, tmp_path):
-    t = spark.createDataFrame([(1, 1, "Calder Works", "reports_to", "A", None, "PENDING"), (1, 2, "calder works", "reports_to", "B", None, "PENDING"), (1, 3, "Calder Works", "reports_to", "C", None, "PENDING")], "corpus_id long, triple_id long, subject_text string, predicate string, object_text string, effective_time string, status string")
+    t = spark.createDataFrame([(1, 1, "Tarn Quarry", "reports_to", "A", None, "PENDING"), (1, 2, "tarn quarry", "reports_to", "B", None, "PENDING"), (1, 3, "Tarn Quarry", "reports_to", "C", None, "PENDING")], "corpus_id long, triple_id long, subject_text string, predicate string, object_text string, effective_time string, status string")
     s = stream([[(1, 1, "APPROVE", 1), (2, 3, "REJECT", 2)], [(3, 2, "APPROVE", 3), (4, 3, "APPROVE", 4)]], "decision_id long, item_id long, decision string, decided_at long")
     q = jobs.decisions(s, t, str(tmp_path / "f"), str(tmp_path / "cp")).start()
     q.processAllAvailable()
