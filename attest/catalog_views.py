@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from attest.catalog import _RULES, _SCAN, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query
-from attest.fixtures import frame
+from attest.fixtures import frame, stamp
 from attest.operators._store import saved
 from attest.plans.verification import verify_claims
 
@@ -43,12 +43,12 @@ def _pagerank_sql(graph: str, rounds: int, tail: str) -> str:
     return ", ".join(parts) + " " + tail.replace("{last}", f"r{rounds}")
 
 
-_ranked: dict[tuple[str, str], object] = {}
+_ranked: dict[tuple, object] = {}
 
 
 def _ranks(spark, sf_dir):
     """Ranks of the whole graph, computed once for a session and a folder of tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = stamp(spark, sf_dir)
     if key not in _ranked:
         _ranked[key] = saved(G.pagerank(_edges(spark, sf_dir)), "ranks")
     return _ranked[key]
@@ -97,12 +97,12 @@ def _wave_sql(tail: str) -> str:
     return ", ".join(parts) + ", lpa as (select cast(1 as bigint) as corpus_id, node_id, dense_rank() over (order by first) - 1 as community from (select node_id, min(node_id) over (partition by label) as first from w8) z) " + tail
 
 
-_groups: dict[tuple[str, str], object] = {}
+_groups: dict[tuple, object] = {}
 
 
 def _communities(spark, sf_dir):
     """Communities of the whole graph, found once for a session and a folder of tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = stamp(spark, sf_dir)
     if key not in _groups:
         _groups[key] = saved(G.communities(_edges(spark, sf_dir)), "communities")
     return _groups[key]

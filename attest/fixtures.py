@@ -63,11 +63,19 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
 
 #: Derived tables that others are made of: written once for a session and a folder of tables.
 STORED = ("claims", "facts", "arguments", "steps", "edges", "triples", "judge")
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the given tables from another: the session, the folder, and each table's time and length."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(sf_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for x in fs.listStatus(to_path(sf_dir))]
+    return spark.sparkContext.applicationId, sf_dir, tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in found))
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (stamp(spark, sf_dir), name)
     if key in _written:
         return _written[key]
     text = sql(name, "spark")

@@ -11,6 +11,9 @@ from attest.functions.text import round_places
 from attest.operators._store import saved
 from attest.operators.ranks import numbered
 
+#: Rounds of PageRank between two written tables.
+WRITTEN = 5
+
 
 def _cut(df: DataFrame) -> DataFrame:
     return saved(df, "graph")
@@ -51,24 +54,35 @@ def pagerank(triples: DataFrame, damping: float = 0.85, iterations: int = 50) ->
     """(corpus_id, node_id, score, rank) by so many rounds; what nodes without successors hold is shared by all.
 
     A round is one join of ranks to links on the node and one sum by node. Every node gives itself 0, so that none
-    is lost, and what nodes without successors hold is one number per corpus. Ranks are written each round, so plans stay as
-    they are in the first.
+    is lost, and what nodes without successors hold is one number per corpus. Ranks of a round are kept while the next
+    ones need them and written every few rounds: lineage ends there, and a lost executor repeats those few rounds.
     """
     links = graph_edges(triples).select("corpus_id", F.col("subject_id").alias("node_id"), "object_id").distinct()
     out = links.groupBy("corpus_id", "node_id").agg(F.count("*").alias("out"))
     nodes = graph_nodes(triples)
     n = nodes.groupBy("corpus_id").agg(F.count("*").alias("n"))
     rank = _cut(nodes.join(n, "corpus_id").join(out, ["corpus_id", "node_id"], "left").withColumn("score", 1.0 / F.col("n")))
-    # Links of a node in rows of about a thousand: few rows to join, and no row grows with a hub.
+    # Links of a node in rows of about a thousand: few rows to join, and no row grows with a hub. They are dealt by node
+    # once and kept so, and only what they pass on is dealt in a round.
     most = F.floor(F.pmod(F.xxhash64("object_id"), F.ceil(F.col("out") / 1000)))
     links = _cut(links.join(out, ["corpus_id", "node_id"]).groupBy("corpus_id", "node_id", most.alias("part")).agg(F.collect_list("object_id").alias("to")).drop("part"))
-    for _ in range(iterations):
+    links = links.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), "corpus_id", "node_id").persist()
+    kept = []
+    for k in range(iterations):
         lost = rank.groupBy("corpus_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("score")).otherwise(0.0)).alias("lost"))
         given = rank.join(links, ["corpus_id", "node_id"], "left")
         to = F.concat(F.array(F.struct(F.col("node_id").alias("node_id"), F.lit(0.0).alias("part"), F.col("n").alias("n"), F.col("out").alias("out"))), F.transform(F.coalesce("to", F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("node_id"), (F.col("score") / F.col("out")).alias("part"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("out"))))
         summed = given.select("corpus_id", F.explode(to).alias("x")).groupBy("corpus_id", "x.node_id").agg(F.sum("x.part").alias("given"), F.max("x.n").alias("n"), F.max("x.out").alias("out"))
         score = (1 - damping) / F.col("n") + damping * (F.col("given") + F.col("lost") / F.col("n"))
-        rank = _cut(summed.join(lost, "corpus_id").select("corpus_id", "node_id", "n", "out", score.alias("score")))
+        rank = summed.join(lost, "corpus_id").select("corpus_id", "node_id", "n", "out", score.alias("score"))
+        if k % WRITTEN == WRITTEN - 1 or k == iterations - 1:
+            rank = _cut(rank)
+            while kept:
+                kept.pop().unpersist()
+        else:
+            rank = rank.persist()
+            kept.append(rank)
+    links.unpersist()
     total = rank.groupBy("corpus_id").agg(F.sum("score").alias("total"))
     scored = rank.join(total, "corpus_id").select("corpus_id", "node_id", round_places(F.col("score") / F.col("total"), 9).alias("score"))
     return numbered(scored, ["corpus_id"], [F.desc("score"), "node_id"], "rank")
