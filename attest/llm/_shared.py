@@ -87,9 +87,9 @@ def steps(frame: pd.DataFrame, column: str, most: int = STEP_CHARS) -> Iterator[
             yield rows
 
 
-def few_parts(df: DataFrame, size: int) -> int:
-    """How many parts of about so many bytes of files a table makes; some for every core at least."""
-    there = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def few_parts(df: DataFrame, text: str, size: int) -> int:
+    """How many parts of about so many bytes of text a table makes; some for every core at least."""
+    there = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-there // size))
 
 

@@ -35,7 +35,7 @@ LANES = 128
 SKETCH = 512
 #: Lengths of the beginnings of a line that count in the sketch.
 BEGINNINGS = (2, 4, 8)
-#: Bytes of files that a range of ids holds, in the mean.
+#: Bytes of text that a range of ids holds, in the mean.
 RANGE_BYTES = 128 << 20
 #: Words of a piece of a line, in the mean.
 PIECE = 16
@@ -143,7 +143,7 @@ def _neighbours(batches):
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Documents with doc_id and text -> fingerprints of each, of its edited text, and their likeness to it and the next."""
     spark = docs.sparkSession
-    n = few_parts(docs, RANGE_BYTES)
+    n = few_parts(docs, "text", RANGE_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     bounds = range_bounds(ids, "doc_id", n)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._shared import few_parts, new_folder, parts_of, range_bounds, range_of, written
 
 END = 2
-#: Bytes of the input's files that a file of ids holds, in the mean.
+#: Bytes of text whose ids a file holds, in the mean.
 RANGE_BYTES = 128 << 20
 ROW_INDEX = 1000
 STRIPE = 16 << 20
@@ -243,7 +243,7 @@ def write(docs: DataFrame, tokenizer: str) -> str:
                 pos, done = pos + n, done + n
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = few_parts(docs, RANGE_BYTES)
+    n = few_parts(docs, "text", RANGE_BYTES)
     part = range_of(F.col("doc_id"), range_bounds(docs.select("doc_id"), "doc_id", n))
     ordered = docs.withColumn("part", part).repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
     encoded = ordered.mapInArrow(encode, "doc_id long, part int, pos long, ids array<int>")

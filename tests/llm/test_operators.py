@@ -685,22 +685,40 @@ def test_fingerprints_of_edited_texts(docs, plain, empty):
     assert fingerprints.fingerprinted(empty).count() == 0
 
 
+def _plain_number(word):
+    """The number of a run of characters, three after three."""
+    if len(word) > 96:
+        return int.from_bytes(hashlib.blake2b(word.encode("utf-32-le"), digest_size=8).digest(), "little")
+    h = _mixed(len(word) * 0x9E3779B97F4A7C15 % 2**64)
+    for k in range(0, len(word), 3):
+        h = _mixed(h ^ sum(ord(c) << 21 * i for i, c in enumerate(word[k : k + 3])))
+    return h
+
+
 def _plain_fingerprint(text):
-    """Sums of signs in plain Python, from words and their numbers."""
-    total = [0] * fingerprints.LANES
+    """Sums over paragraphs in plain Python: of SHAKE-128 vectors, and of signs of two-word runs and beginnings of lines."""
+    total, sketch = [0] * fingerprints.LANES, [0] * fingerprints.SKETCH
+
+    def seen(feature):
+        sketch[feature % fingerprints.SKETCH] += 1 if feature >> 63 else -1
+
     for line in text.split("\n"):
-        pieces, open_ = [], []
-        for w in re.findall(r"[^\x20\x09-\x0D]+", line):
-            open_.append(int(_text.words([w])[0][0]))
-            if _mixed(open_[-1]) % fingerprints.PIECE == 0:
-                pieces.append(open_)
-                open_ = []
-        for p in [*pieces, open_] if open_ else pieces:
-            h = _mixed(sum(x * pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k, x in enumerate(p)) % 2**64)
-            bits = b"".join(_mixed((h + k) % 2**64).to_bytes(8, "little") for k in range(1, fingerprints.LANES // 64 + 1))
-            for lane in range(fingerprints.LANES):
-                total[lane] += 1 if bits[lane // 8] >> (7 - lane % 8) & 1 else -1
-    return [(x + 2**15) % 2**16 - 2**15 for x in total]
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", line))
+        if not found:
+            continue
+        start, before = found[0].start(), 1
+        for k, w in enumerate(found):
+            n = _plain_number(w.group())
+            seen(_mixed((3 * before + n) % 2**64))
+            before = n
+            if _mixed(n) % fingerprints.PIECE == 0 or k == len(found) - 1:
+                wide = hashlib.shake_128(line[start : w.end()].encode("utf-32-le")).digest(4 * fingerprints.LANES)
+                total = [(x + int.from_bytes(wide[4 * i : 4 * i + 4], "little")) % 2**32 for i, x in enumerate(total)]
+                start = found[k + 1].start() if k + 1 < len(found) else None
+        seen(_mixed((3 * before + 2) % 2**64))
+        for n in fingerprints.BEGINNINGS:
+            seen(_mixed((_plain_number(line[found[0].start() : found[0].start() + n]) + n) % 2**64))
+    return total + sketch
 
 
 def _mixed(x):
@@ -710,12 +728,42 @@ def _mixed(x):
 
 
 def test_fingerprints_are_sums_in_plain_python():
-    texts = [_prose(3, 300), "", "one", "a\nb a\n\n" + "x " * 700, _prose(4, 40)]
+    texts = [_prose(3, 300), "", "one", "a\nb a\n\n" + "x " * 700, _prose(4, 40), "é" * 95 + " " + "é" * 96 + " " + "é" * 97 + "\n😀"]
     for t, v in zip(texts, fingerprints.vectors(texts), strict=True):
+        v[: fingerprints.LANES] %= 2**32
         assert v.tolist() == _plain_fingerprint(t)
-    a, b = _plain_fingerprint(texts[0]), _plain_fingerprint(texts[4])
+    a, b = (_plain_fingerprint(texts[k])[fingerprints.LANES :] for k in (0, 4))
     cosine = sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
-    assert fingerprints.likeness(np.array([a]), np.array([b]))[0] == pytest.approx(max(0, cosine))
+    x, y = fingerprints.vectors([texts[0], texts[4]])
+    assert fingerprints.likeness(x[None], y[None])[0] == pytest.approx(max(0, cosine))
+
+
+def _thue_morse():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_patterns_and_repeats_do_not_collide(spark):
+    one, other = _thue_morse()
+    lines = ["\n".join(["the same line"] * n) for n in (1, 2, 255, 256, 65535, 65536, 65537)] + ["\n".join(["another line"] * 65536)]
+    pieces = " ".join("a" if c == "a" else "b" for c in one), " ".join("a" if c == "a" else "b" for c in other)
+    texts = [one, other, one[:90], other[:90], *pieces, *lines, "", "\n" * 65536]
+    found = [tuple(v[: fingerprints.LANES] % 2**32) for v in fingerprints.vectors(texts)]
+    assert len(set(found[:-1])) == len(texts) - 1 and found[-1] == found[-2]
+    assert len(set(_text.words([one, other, one[:96], other[:96], "ab" * 48, "ba" * 48])[0].tolist())) == 6
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one), (4, pieces[0]), (5, pieces[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert got[1] == got[3] == 1 and got[2] == 2
+
+
+def test_half_of_a_text_tells_it_from_the_next():
+    texts = [_prose(500 + k, 3 + 7 * k, EN if k % 2 else FR) for k in range(40)] + ["abcdef", "uvwxyz", "one two", "x y z w"]
+    for t, after in zip(texts, texts[1:], strict=False):
+        half = len(t) // 2
+        a, b, c = (v[None] for v in fingerprints.vectors([t, t[: len(t) - half] + after[:half], after]))
+        assert fingerprints.likeness(a, b)[0] > fingerprints.likeness(a, c)[0]
 
 
 def test_a_word_put_in_front_changes_little():
@@ -747,7 +795,7 @@ def test_fingerprints_are_homomorphic():
         built = fingerprints.combine(built, x, delete=True)
     assert built == empty
     a, b, c = fingerprints.vectors(["\n".join(lines), "\n".join(lines[:10] + [_prose(300 + k, 40) for k in range(10)]), _prose(77, 500)])
-    assert 0.2 < fingerprints.likeness(a[None], b[None])[0] < 0.8 and fingerprints.likeness(a[None], c[None])[0] < 0.4
+    assert 0.2 < fingerprints.likeness(a[None], b[None])[0] < 0.8 and fingerprints.likeness(a[None], c[None])[0] < 0.5
 
 
 # --- 10 ---
