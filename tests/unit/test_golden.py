@@ -276,7 +276,7 @@ def test_all_facts_pass_through_chunks(spark, tmp_path):
     for name, (columns, n) in tables.items():
         spark.sql(f"select {columns} from range({n})").write.parquet(f"{tmp_path}/{name}.parquet")
     want = {(r["s"], r["p"], r["o"]) for r in frame(spark, str(tmp_path), "facts").collect()}
-    got = {(r["subject"], r["predicate"], r["object_or_claim"]) for r in catalog.QUERIES["extract_spo"](spark, str(tmp_path)).filter("kind = 'TRIPLE'").collect()}
+    got = {(r["subject"], r["predicate"], r["object_or_claim"]) for r in catalog.QUERIES["extract_spo_facts"](spark, str(tmp_path)).collect()}
     assert len(want) > 4000 and got == want
     replies = catalog.QUERIES["json_envelope"](spark, str(tmp_path))
     assert replies.count() >= len(want) / 8 and replies.select("reply_id").distinct().count() == replies.count()
