@@ -2,6 +2,7 @@
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,16 +17,29 @@ from pyspark.sql import functions as F
 STEP_CHARS = 1 << 19
 
 
+#: Folders of local sessions that name none.
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset a local test session gets a temporary one, removed at exit; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, with its scheme. Where that is unset a local test session gets a temporary one, removed at exit; a cluster has to name one.
+
+    A folder without scheme is one of the default file system, for Spark's tables and for files that tasks open alike.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(spark.sparkContext.applicationId)
     if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-attest-")
+        found = _temporary[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-attest-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme and host: one without is in the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub("^file:/(?!/)", "file:///", found)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

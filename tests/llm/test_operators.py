@@ -83,6 +83,21 @@ def test_words_and_shingles_agree_with_plain_python():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_the_shared_folder_is_one_of_the_default_file_system(spark, tmp_path):
+    from attest.llm import _shared
+
+    conf = spark._jsc.hadoopConfiguration()
+    store = conf.get("fs.defaultFS")
+    assert _shared.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and _shared.opened(_shared.qualified(spark, str(tmp_path)))[1] == str(tmp_path)
+    try:
+        conf.set("fs.viewfs.mounttable.shelf.link./kept", f"file://{tmp_path}")
+        conf.set("fs.defaultFS", "viewfs://shelf/")
+        assert _shared.qualified(spark, "/kept/") == "viewfs://shelf/kept"
+        assert _shared.qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    finally:
+        conf.set("fs.defaultFS", store)
+
+
 # --- 1 ---
 
 
