@@ -3,11 +3,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attest.catalog import _NORM_LABEL, _table, query
+from attest.catalog import _CLAIM_QUERIES, _NORM_LABEL, _SURFACES, _TOKENS, _chunks, _table, query
+from attest.catalog_views import _ROWS
 from attest.fixtures import frame
+from attest.functions import text as T
 from attest.operators import entities as N
 from attest.operators import evaluation as E
 from attest.operators import facts as K
+from attest.operators import retrieval as R
 from attest.operators import rules as U
 from attest.operators import views as W
 from attest.sources import tables as S
@@ -186,3 +189,28 @@ def trace_duration_ms(spark, sf_dir):
     steps = e.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", "RETRYING").otherwise("OK").alias("status"), (F.col("event_id") % 6).cast("int").alias("attempt"))
     return W.trace_duration_ms(steps)
 
+
+
+@query(
+    f", queries as ({_CLAIM_QUERIES}), t as (select query_id, {_TOKENS} as t from queries), w as (select query_id, unnest(t) as w, generate_subscripts(t, 1) as i from t), f as (select query_id, w, min(i) as i from w group by 1, 2) select t.query_id, count(s.target) as n_applied, string_agg(f.w || '=' || s.target, '; ' order by f.i) filter (s.target is not null) as applied from t left join f on f.query_id = t.query_id left join {_SURFACES} s on s.surface = f.w group by t.query_id",
+    "claims",
+)
+def query_expansions(spark, sf_dir):
+    """What was added to each query, and for which of its words."""
+    text = F.concat(F.lit("who reports and owns "), F.replace("predicate", F.lit("_"), F.lit(" ")), F.lit(" "), F.col("object_text"), F.lit(" supplier"))
+    q = frame(spark, sf_dir, "claims").select(F.col("claim_id").alias("query_id"), T.applied_expansions(T.query_tokens(text)).alias("m"))
+    pairs = F.transform(F.map_entries("m"), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return q.select("query_id", F.size("m").cast("long").alias("n_applied"), F.when(F.size("m") > 0, F.array_join(pairs, "; ")).alias("applied"))
+
+
+@query(_ROWS + " select corpus_id, count(*) as n, round(avg(hit1::int), 4) as recall_at_1, round(avg(hit3::int), 4) as recall_at_3, round(avg(hit5::int), 4) as recall_at_5, round(avg(rr), 6) as mrr, count(*) filter (rank is null) as n_not_retrieved from rows group by corpus_id", "docs", "queries", "gold")
+def retrieval_summary_newest(spark, sf_dir):
+    """Two runs are stored, the first without expansions; the summary is that of the later one."""
+    run = lambda name, first, **how: E.retrieval_rows(frame(spark, sf_dir, "gold"), R.retrieve_topk(frame(spark, sf_dir, "queries"), _chunks(spark, sf_dir), **how)).withColumns({"run_key": F.lit(name), "row_id": first + F.col("query_id")})
+    return E.retrieval_summary(E.newest_run(run("plain", F.lit(0), expand=False).unionByName(run("expanded", F.lit(1 << 40)))))
+
+
+@query("select count(*) filter (status = 'PENDING') as pending, count(*) filter (status = 'RUNNING') as running, count(*) filter (status = 'SUCCEEDED') as succeeded, count(*) as total, (select count(distinct user_id) from events) as n_users from jobs", "jobs")
+def system_overview(spark, sf_dir):
+    """Jobs in each state and the users there are."""
+    return W.system_overview(frame(spark, sf_dir, "jobs"), ["PENDING", "RUNNING", "SUCCEEDED"], _table(spark, sf_dir, "events").select("user_id").distinct())

@@ -79,6 +79,11 @@ def expansions(tokens: Column) -> Column:
     return F.transform(known, lambda t: F.struct(t.alias("surface"), F.element_at(table, t).alias("target")))
 
 
+def applied_expansions(tokens: Column) -> Column:
+    """The expansions that apply, as a map from surface to target."""
+    return F.map_from_entries(expansions(tokens))
+
+
 def expanded_query(tokens: Column) -> Column:
     """The full-text query: every token, and the corpus token it maps to."""
     table = surface_map()

@@ -31,6 +31,12 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("corpus_id").agg(F.count("*").alias("n"), share("hit1"), share("hit3"), share("hit5"), F.round(F.avg("rr"), 6).alias("mrr"), F.count_if(F.col("rank").isNull()).alias("n_not_retrieved"))
 
 
+def newest_run(rows: DataFrame) -> DataFrame:
+    """Of each corpus the rows of the run that was written last: the one that has the greatest row_id."""
+    last = rows.groupBy("corpus_id").agg(F.max_by("run_key", "row_id").alias("run_key"))
+    return rows.join(last, ["corpus_id", "run_key"], "left_semi")
+
+
 def retrieval_compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """What happened to each query's rank between two runs."""
     a = before.select("corpus_id", "query_id", F.col("rank").alias("rank_before"))

@@ -44,6 +44,13 @@ def system_status(jobs: DataFrame, states: list[str]) -> DataFrame:
     return jobs.agg(*(F.count_if(F.col("status") == s).alias(s.lower()) for s in states), F.count("*").alias("total"))
 
 
+def system_overview(jobs: DataFrame, states: list[str], users: DataFrame) -> DataFrame:
+    """One row: jobs in each state, and users. Both are counted in one pass over what each contributes."""
+    counted = users.select(F.lit(None).cast("string").alias("status"), F.lit(1).alias("is_user"))
+    rows = jobs.select("status", F.lit(0).alias("is_user")).unionByName(counted)
+    return rows.agg(*(F.count_if(F.col("status") == s).alias(s.lower()) for s in states), F.count_if(F.col("is_user") == 0).alias("total"), F.count_if(F.col("is_user") == 1).alias("n_users"))
+
+
 def trace_run_summary(steps: DataFrame) -> DataFrame:
     """Per run: steps, and the kinds of actors in fixed order joined by +."""
     kinds = F.array(*map(F.lit, ("ENGINE", "LLM", "HUMAN")))
