@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ STRIPE = 16 << 20
 #: Run-length encoded ids hardly shrink further; this is for what little does.
 COMPRESS = "LZ4"
 #: Characters of pieces, and ids, of each of the two halves that a worker keeps.
-KEPT = 9_000_000
+KEPT = 7_500_000
 #: Words that are encoded in one call.
 LINES = 1024
 
@@ -235,9 +236,10 @@ def write(docs: DataFrame, tokenizer: str) -> str:
     def encode(batches):
         pos, encoder = 0, Encoder.of(tokenizer)
         for batch in batches:
-            texts, done = [x or "" for x in batch.column("text").to_pylist()], 0
-            for n in parts_of(list(map(len, texts))):
-                ids, starts = encoder.encode(texts[done : done + n])
+            # A batch may hold tens of megabytes: texts are taken out of it part by part.
+            column, done = batch.column("text"), 0
+            for n in parts_of(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                ids, starts = encoder.encode([x or "" for x in column.slice(done, n).to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(starts.astype("int32")), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, n), batch.column("part").slice(done, n), pa.array(np.arange(pos, pos + n)), ids], names=["doc_id", "part", "pos", "ids"])
                 pos, done = pos + n, done + n
