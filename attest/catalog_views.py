@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attest.catalog import _RULES, _SCAN, _SETTLED, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query
+from attest.catalog import _RULES, _SCAN, _SETTLED, _TOKENS, _TOP, C, E, G, K, P, R, S, T, W, X, _chunks, _dealt, _found, _key, _settled, _table, _verdicts, query
 from attest.fixtures import frame, stamp
 from attest.operators._store import saved
 from attest.plans.verification import verify_claims
@@ -15,7 +15,6 @@ def _edges(spark, sf_dir, name="edges"):
 
 
 _G = f", g as ({_CORPUS} where subject_id <> object_id), nodes as (select distinct corpus_id, unnest([subject_id, object_id]) as node_id from ({_CORPUS}) x)"
-_NG = _G.replace("from edges", "from nation_edges")
 
 
 # --- graph ---
@@ -233,7 +232,20 @@ def retrieval_summary(spark, sf_dir):
     return E.retrieval_summary(_gold_rows(spark, sf_dir))
 
 
-@query()
+_PLAIN_TOP = (
+    f", asked0 as (select distinct corpus_id, query_id, unnest({_TOKENS}) as term from queries), "
+    "scored0 as (select a.corpus_id, a.query_id, t.chunk_id, round(sum(tf * log10(n_chunks / df.df) * log10(n_chunks / df.df)), 6) as score from asked0 a join terms t on t.corpus_id = a.corpus_id and t.term = a.term "
+    "join df on df.corpus_id = a.corpus_id and df.term = a.term join n on n.corpus_id = a.corpus_id group by all), "
+    "top0 as (select * from (select *, row_number() over (partition by corpus_id, query_id order by score desc, chunk_id) as rank from scored0 where score > 0) x where rank <= 5)"
+)
+
+
+@query(
+    _TOP + _PLAIN_TOP + """, c as (select g.corpus_id, g.query_id, b.rank as rank_before, a.rank as rank_after from gold g
+    left join top0 b on b.corpus_id = g.corpus_id and b.query_id = g.query_id and b.chunk_id = g.gold_chunk_id left join top a on a.corpus_id = g.corpus_id and a.query_id = g.query_id and a.chunk_id = g.gold_chunk_id)
+    select *, case when coalesce(rank_after, 1000) < coalesce(rank_before, 1000) then 'BETTER' when coalesce(rank_after, 1000) > coalesce(rank_before, 1000) then 'WORSE' else 'SAME' end as change from c""",
+    "docs", "queries", "gold",
+)
 def retrieval_compare(spark, sf_dir):
     return E.retrieval_compare(_gold_rows(spark, sf_dir, expand=False), _gold_rows(spark, sf_dir))
 
@@ -741,6 +753,3 @@ def synthesis_reply_check(spark, sf_dir):
 def chat_reply_check(spark, sf_dir):
     body = F.to_json(F.struct(F.when(F.col("claim_id") % 5 != 0, "yes").alias("answer"), F.array(F.when(F.col("claim_id") % 13 == 0, 9).otherwise(2)).alias("passage_ids"), F.when(F.col("claim_id") % 3 == 0, False).alias("sufficient_evidence")))
     return P.chat_reply_check(_judged(spark, sf_dir, body))
-
-
-__all__ = ["S", "T", "C", "X", "_chunks", "_verdicts"]

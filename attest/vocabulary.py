@@ -30,7 +30,6 @@ them his her their what which who whom how when where why does did do not no yes
 would can could should may might must there here
 """.split()
 
-EXPANDER_VERSION = "EXPAND_V1"
 
 EXPANSIONS = {
     "collaborates_with": "collaborate collaborates collaborated collaborating collaboration collaborative collaborations partners partnerships",
