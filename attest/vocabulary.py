@@ -2,19 +2,23 @@
 
 # --- fixed values: claim wording ---
 
-WEASEL_TERMS = """
-reportedly allegedly purportedly supposedly approximately roughly about around nearly almost somewhat fairly rather quite
-may might could perhaps possibly probably apparently seemingly arguably ostensibly instructed believed suspected estimated
-projected expected indicated suggested assumed reported alleged purported understood said claimed asserted sometimes
-occasionally frequently generally usually typically often rarely seldom largely mostly relatively some
-""".split()
+WEASEL_TERMS = [
+    "reportedly", "allegedly", "purportedly", "supposedly", "approximately", "roughly", "about", "around",
+    "nearly", "almost", "somewhat", "fairly", "rather", "quite", "may", "might", "could", "perhaps", "possibly",
+    "probably", "apparently", "seemingly", "arguably", "ostensibly", "instructed", "believed", "suspected",
+    "estimated", "projected", "expected", "indicated", "suggested", "assumed", "reported", "alleged",
+    "purported", "understood", "said", "claimed", "asserted", "sometimes", "occasionally", "frequently",
+    "generally", "usually", "typically", "often", "rarely", "seldom", "largely", "mostly", "relatively", "some",
+]
 
-ABSOLUTE_TERMS = """
-always never everyone nobody no-one all none impossible certainly definitely guaranteed guarantee guarantees undeniably
-unquestionably indisputably absolutely completely totally utterly entirely invariably unfailingly permanently forever
-exclusively only solely must shall proved proven confirmed verified every everybody anybody any whatever whoever whenever
-wherever unanimously universally categorically emphatically
-""".split()
+ABSOLUTE_TERMS = [
+    "always", "never", "everyone", "nobody", "no-one", "all", "none", "impossible", "certainly", "definitely",
+    "guaranteed", "guarantee", "guarantees", "undeniably", "unquestionably", "indisputably", "absolutely",
+    "completely", "totally", "utterly", "entirely", "invariably", "unfailingly", "permanently", "forever",
+    "exclusively", "only", "solely", "must", "shall", "proved", "proven", "confirmed", "verified", "every",
+    "everybody", "anybody", "any", "whatever", "whoever", "whenever", "wherever", "unanimously", "universally",
+    "categorically", "emphatically",
+]
 
 ABSOLUTE_PHRASES = [
     "no one", "in all (?:cases|respects)", "without exception", "in every case", "to be certain", "beyond doubt", "has been proven", "shall not fail", "at all times", "in no circumstances",
@@ -24,11 +28,13 @@ NEGATORS = ["not", "no", "never", "cannot", "without"]
 
 # --- fixed values: retrieval ---
 
-STOP_TERMS = """
-the a an and or but of to in on at for with is are was were be been by from as that this these those it its he she they
-them his her their what which who whom how when where why does did do not no yes if then than so such have has had will
-would can could should may might must there here
-""".split()
+STOP_TERMS = [
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "is", "are", "was",
+    "were", "be", "been", "by", "from", "as", "that", "this", "these", "those", "it", "its", "he", "she",
+    "they", "them", "his", "her", "their", "what", "which", "who", "whom", "how", "when", "where", "why",
+    "does", "did", "do", "not", "no", "yes", "if", "then", "than", "so", "such", "have", "has", "had", "will",
+    "would", "can", "could", "should", "may", "might", "must", "there", "here",
+]
 
 
 EXPANSIONS = {
@@ -97,6 +103,13 @@ PREDICATES = [
 
 # --- fixed values: names and sentences ---
 
-DESIGNATORS = "inc inc. llc ltd ltd. limited corp corp. corporation co co. company gmbh sarl plc ag sa nv bv pty holdings holding group the".split()
+DESIGNATORS = [
+    "inc", "inc.", "llc", "ltd", "ltd.", "limited", "corp", "corp.", "corporation", "co", "co.", "company",
+    "gmbh", "sarl", "plc", "ag", "sa", "nv", "bv", "pty", "holdings", "holding", "group", "the",
+]
 EDGE_PUNCTUATION = ",;:\"'()[]—–"
-ABBREVIATIONS = "mr mrs ms dr prof sr jr st mt gen col lt sgt capt rev hon pres gov sen rep inc ltd co corp dept univ approx est fig no vs etc al cf ca circa".split()
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "mt", "gen", "col", "lt", "sgt", "capt", "rev", "hon",
+    "pres", "gov", "sen", "rep", "inc", "ltd", "co", "corp", "dept", "univ", "approx", "est", "fig", "no", "vs",
+    "etc", "al", "cf", "ca", "circa",
+]
