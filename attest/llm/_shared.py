@@ -102,8 +102,14 @@ def steps(frame: pd.DataFrame, column: str, most: int = STEP_CHARS) -> Iterator[
 
 
 def few_parts(df: DataFrame, text: str, size: int) -> int:
-    """How many parts of about so many bytes of text a table makes; some for every core at least."""
-    there = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    """How many parts of about so many bytes a table makes; some for every core at least.
+
+    Tables of files are known by the length of these. Where the plan knows no length (rows of the driver, a table that is
+    kept but not made yet) its estimate is beyond all bounds, and the text is counted.
+    """
+    there = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if there >= 1 << 50:
+        there = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-there // size))
 
 

@@ -38,7 +38,7 @@ STRIPE = 16 << 20
 #: Run-length encoded ids hardly shrink further; this is for what little does.
 COMPRESS = "LZ4"
 #: Characters of pieces, and ids, of each of the two halves that a worker keeps.
-KEPT = 9_000_000
+KEPT = 8_500_000
 #: Words that are encoded in one call.
 LINES = 1024
 
