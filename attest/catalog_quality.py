@@ -7,6 +7,7 @@ from attest.catalog import _CLAIM_QUERIES, _NORM_LABEL, _SURFACES, _TOKENS, _chu
 from attest.catalog_views import _ROWS
 from attest.fixtures import frame
 from attest.functions import text as T
+from attest.operators._store import saved
 from attest.operators import entities as N
 from attest.operators import evaluation as E
 from attest.operators import facts as K
@@ -141,12 +142,12 @@ def extraction_report(spark, sf_dir):
     """Facts as gold and as predictions, in chunks of eight sentences that overlap by one; a quarter of the chunks went wrong."""
     own = Window.partitionBy("s")
     i = frame(spark, sf_dir, "facts").withColumns({"sentence": F.concat_ws(" ", "s", "p", "o"), "n": F.row_number().over(own.orderBy("triple_id", "p", "o")), "m": F.count("*").over(own)})
-    i = i.withColumn("chunk_index", F.floor((F.col("n") - 1) / 8)).withColumn("doc_id", F.col("s"))
+    i = saved(i.withColumn("chunk_index", F.floor((F.col("n") - 1) / 8)).withColumn("doc_id", F.col("s")), "spoken")
     places = F.when((F.col("n") % 8 == 0) & (F.col("n") < F.col("m")), F.array("chunk_index", F.col("chunk_index") + 1)).otherwise(F.array("chunk_index"))
     said = i.select("doc_id", "sentence", "triple_id", "p", "o", F.col("chunk_index").alias("home"), F.explode(places).alias("chunk_index"))
     k = F.min(F.when(F.col("home") == F.col("chunk_index"), F.col("triple_id"))) % 13
     outcome = F.when(k == 0, "MALFORMED").when(k == 1, "QUARANTINED").when(k == 2, "FAILED").otherwise("OK")
-    chunks = said.groupBy("doc_id", "chunk_index").agg(F.array_join(F.array_sort(F.collect_list("sentence")), ". ").alias("content"), outcome.alias("outcome")).withColumn("part", F.length("doc_id") % 3)
+    chunks = saved(said.groupBy("doc_id", "chunk_index").agg(F.array_join(F.array_sort(F.collect_list("sentence")), ". ").alias("content"), outcome.alias("outcome")).withColumn("part", F.length("doc_id") % 3), "spoken-chunks")
     gold = i.filter("triple_id % 10 < 8").select("doc_id", F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.when(F.col("triple_id") % 29 == 0, "never said at all").otherwise(F.col("sentence")).alias("sentence"))
     predicted = said.filter("triple_id % 10 >= 1").select("doc_id", "chunk_index", F.col("doc_id").alias("subject"), F.col("p").alias("predicate"), F.when(F.col("triple_id") % 17 == 0, F.concat("o", F.lit(" x"))).otherwise(F.col("o")).alias("object"))
     return E.extraction_report(gold, predicted, chunks, ["part"])

@@ -1,6 +1,7 @@
 """Column functions on text."""
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -8,6 +9,11 @@ from pyspark.sql import functions as F
 from attest import vocabulary as V
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used: an alias in a plan may be made anew at each use."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

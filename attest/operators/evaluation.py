@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions import text as T
+from attest.operators._store import saved
 from attest.operators.ranks import numbered
 
 
@@ -68,14 +69,22 @@ def extraction_prf(gold: DataFrame, predicted: DataFrame, by: list[str]) -> Data
 def place_gold(gold: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sentence, ...) on the first chunk of its document that has the sentence; and gold that no chunk has.
 
-    Chunks overlap, so a sentence may be in several: it is claimed once. The substring test only meets chunks of the
-    same document, once for each sentence.
+    Chunks overlap, so a sentence may be in several: it is claimed once. A chunk has a sentence if the sentence's words
+    are a run of its words. So a chunk's runs, of the lengths that its document's sentences have, are looked up by
+    equality: the work grows with the words, not with sentences x chunks of a document.
     """
-    text = lambda c: F.concat(F.lit(" "), T.norm_label(F.col(c)), F.lit(" "))
-    asked = gold.select("doc_id", "sentence").distinct()
-    hit = asked.join(chunks.select("doc_id", "chunk_index", "content"), "doc_id").filter(F.contains(text("content"), text("sentence")))
-    first = hit.groupBy("doc_id", "sentence").agg(F.min("chunk_index").alias("chunk_index"))
-    return gold.join(first, ["doc_id", "sentence"]), gold.join(first, ["doc_id", "sentence"], "left_anti")
+    asked = gold.filter("sentence is not null").select("doc_id", "sentence").distinct().withColumn("run", T.norm_label(F.col("sentence")))
+    lengths = asked.groupBy("doc_id").agg(F.collect_set(F.size(F.split("run", " "))).alias("lengths"))
+
+    def runs(w):
+        of = lambda n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size(w)), of)))
+
+    held = chunks.filter("content is not null").select("doc_id", "chunk_index", "content").join(lengths, "doc_id")
+    held = held.select("doc_id", "chunk_index", F.explode(T.once(F.split(T.norm_label(F.col("content")), " "), runs)).alias("run"))
+    first = held.groupBy("doc_id", "run").agg(F.min("chunk_index").alias("chunk_index"))
+    at = saved(gold.join(asked.join(first, ["doc_id", "run"]).select("doc_id", "sentence", "chunk_index"), ["doc_id", "sentence"], "left"), "placed")
+    return at.filter("chunk_index is not null"), at.filter("chunk_index is null").drop("chunk_index")
 
 
 def extraction_report(gold: DataFrame, predicted: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
