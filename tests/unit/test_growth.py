@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from attest.operators import evaluation as E
+from attest.operators import replies as P
 
 
 def test_gold_of_one_large_document(spark):
@@ -23,3 +24,12 @@ def test_gold_is_a_run_of_words(spark):
     placed, lost = E.place_gold(gold, chunks)
     assert {(r["doc_id"], r["sentence"], r["chunk_index"]) for r in placed.collect()} == {("d", "MILL owns it.", 2), ("d", "mill owns", 1), ("e", "!", 0)}
     assert {(r["doc_id"], r["sentence"]) for r in lost.collect()} == {("d", "owns it now or never"), ("d", "?"), ("d", None), ("f", "mill")}
+
+
+def test_replies_are_parsed_once(spark):
+    """The plan of a filter on what a check found has the search for the object in one place."""
+    raw = spark.createDataFrame([(1, "{}", [1])], "reply_id long, raw_text string, allowed array<long>")
+    names = raw.withColumn("allowed", F.array(F.lit("A1")))
+    found = [P.quarantine_split(P.reply_schema_check(raw))[1], P.judge_reply_check(raw).filter("reason is null"), P.chat_reply_check(raw).filter("reason is null"), P.persona_reply_check(names).filter("reason is null"), P.synthesis_reply_check(names, ["X"]).filter("reason is null")]
+    for df in found:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
