@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from attest.operators import evaluation as E
+from attest.operators import graph as G
 from attest.operators import replies as P
 
 
@@ -33,3 +34,17 @@ def test_replies_are_parsed_once(spark):
     found = [P.quarantine_split(P.reply_schema_check(raw))[1], P.judge_reply_check(raw).filter("reason is null"), P.chat_reply_check(raw).filter("reason is null"), P.persona_reply_check(names).filter("reason is null"), P.synthesis_reply_check(names, ["X"]).filter("reason is null")]
     for df in found:
         assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_ranks_of_two_layers_need_no_rounds(spark, monkeypatch):
+    """Suppliers and customers: the same ranks as by rounds, which run only where a node that is linked to links on."""
+    rows = [(1, a, "p", 100 + b) for a in range(4) for b in range(5) if (a * b) % 3] + [(2, 7, "p", 9), (2, 8, "p", 9), (2, 6, "p", 6)]
+    edges = spark.createDataFrame(rows, "corpus_id long, subject_id long, predicate string, object_id long")
+    rounds, called = G._ranks_by_rounds, []
+    monkeypatch.setattr(G, "_ranks_by_rounds", lambda *a: called.append(1) or rounds(*a))
+    got = sorted(map(tuple, G.pagerank(edges, iterations=5).collect()))
+    assert not called
+    monkeypatch.setattr(G, "_ranks_of_layers", rounds)
+    assert sorted(map(tuple, G.pagerank(edges, iterations=5).collect())) == got
+    G.pagerank(spark.createDataFrame([(1, 1, "p", 2), (1, 2, "p", 3)], edges.schema), iterations=1).collect()
+    assert called
