@@ -69,11 +69,28 @@ def best_of_blocks(asked: DataFrame, parts: DataFrame, k: int, least: float, blo
     return best, bound, left
 
 
+def shared_queries(asked: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which query stands for each (query_id, of), and the terms of those that do (corpus_id, query_id, term): one for each set of terms that have postings."""
+    known = words.select("corpus_id", "term").distinct()
+    sets = saved(asked.join(known, ["corpus_id", "term"], "left_semi").groupBy("corpus_id", "query_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), "term-sets")
+    first = saved(sets.groupBy("corpus_id", "terms").agg(F.min("query_id").alias("of")), "shared-queries")
+    terms = saved(first.select("corpus_id", F.col("of").alias("query_id"), F.explode("terms").alias("term")), "shared-terms")
+    return sets.join(first, ["corpus_id", "terms"]).select("corpus_id", "query_id", "of"), terms
+
+
 def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0, expand: bool = True) -> DataFrame:
-    """The k best chunks of the query's own corpus: sum of tf x idf squared, idf = log10(chunks / chunks with the term)."""
+    """The k best chunks of the query's own corpus: sum of tf x idf squared, idf = log10(chunks / chunks with the term).
+
+    A term that all chunks have adds nothing, so it is not scored where a score has to be above 0. Queries that ask for
+    the same terms of a corpus, as many claims do, are ranked once.
+    """
     asked, words = _postings(queries, chunks, expand)
     idf = F.log10(F.col("n_chunks") / F.col("df"))
-    return best_of_blocks(asked, words.withColumn("part", F.col("tf") * idf * idf), k, least)[0]
+    words = words.withColumn("part", F.col("tf") * idf * idf)
+    words = words.filter("part > 0") if least >= 0 else words
+    of, terms = shared_queries(asked, words)
+    best = saved(best_of_blocks(terms, words, k, least)[0].withColumnRenamed("query_id", "of"), "shared-best")
+    return of.join(best, ["corpus_id", "of"]).drop("of")
 
 
 def retrieve_bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, expand: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attest.operators import evaluation as E
 from attest.operators import graph as G
 from attest.operators import replies as P
+from attest.operators import retrieval as R
 
 
 def test_gold_of_one_large_document(spark):
@@ -48,3 +49,13 @@ def test_ranks_of_two_layers_need_no_rounds(spark, monkeypatch):
     assert sorted(map(tuple, G.pagerank(edges, iterations=5).collect())) == got
     G.pagerank(spark.createDataFrame([(1, 1, "p", 2), (1, 2, "p", 3)], edges.schema), iterations=1).collect()
     assert called
+
+
+def test_queries_of_equal_terms_are_ranked_once(spark):
+    """Terms that every chunk has weigh nothing and aren't scored; queries that ask for the same terms share one ranking."""
+    chunks = spark.createDataFrame([(1, k, f"common words here {'alpha' if k % 2 else 'beta'}") for k in range(6)], "corpus_id long, chunk_id long, content string")
+    queries = spark.createDataFrame([(1, q, f"common name{q} {'alpha' if q % 3 else 'common'}") for q in range(30)], "corpus_id long, query_id long, query_text string")
+    of, shared = R.shared_queries(R.query_terms(queries), R.index_terms(chunks).filter("term = 'alpha'"))
+    assert shared.count() == 1 and of.count() == 20
+    got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in R.retrieve_topk(queries, chunks).collect()}
+    assert got == {(q, c, n) for q in range(30) if q % 3 for n, c in enumerate((1, 3, 5), 1)}
