@@ -1,6 +1,7 @@
 """Column functions on text."""
 
 import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -33,8 +34,19 @@ def token_estimate(c: Column, chars_per_token: int = 4) -> Column:
     return F.ceil(F.length(_empty(c)) / chars_per_token).cast("int")
 
 
+def plain_words(c: Column, kept: str = string.ascii_lowercase + string.digits) -> Column:
+    """Lower case, with one space for each run of other characters than the kept ones, none at the ends.
+
+    Characters are mapped, not matched, which takes a fraction of the time; runs of spaces are looked for where there is one.
+    """
+    low = F.lower(_empty(c))
+    other = F.translate(low, kept + " ", "")
+    clean = F.call_function("translate", low, other, F.repeat(F.lit(" "), F.length(other)))
+    return F.trim(F.when(F.contains(clean, F.lit("  ")), F.regexp_replace(clean, " +", " ")).otherwise(clean))
+
+
 def norm_label(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_empty(c)), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return plain_words(c)
 
 
 def phrase(c: Column) -> Column:
