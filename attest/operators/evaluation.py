@@ -120,18 +120,19 @@ def prose_prf(gold: DataFrame, predicted: DataFrame, chunks: DataFrame) -> DataF
     spaced = lambda c: F.concat(F.lit(" "), T.norm_label(F.col(c)), F.lit(" "))
     label = lambda c: T.norm_label(F.coalesce(F.col(c), F.lit("")))
     keys = ["doc_id", "chunk_index", "kind", "s", "p", "o"]
-    labelled = lambda df, flag: df.select("doc_id", "chunk_index", "kind", label("subject").alias("s"), label("predicate").alias("p"), label("object").alias("o"), F.coalesce("polarity", F.lit("")).alias("polarity"), F.lit(1).alias(flag)).distinct()
+    labelled = lambda df, gold: df.select("doc_id", "chunk_index", "kind", label("subject").alias("s"), label("predicate").alias("p"), label("object").alias("o"), F.coalesce("polarity", F.lit("")).alias("polarity"), F.lit(gold).alias("gold"))
     hit = gold.select("doc_id", "subject").distinct().join(chunks, "doc_id").filter(F.contains(spaced("content"), spaced("subject")))
     first = hit.groupBy("doc_id", "subject").agg(F.min("chunk_index").alias("chunk_index"))
-    placed = gold.join(first, ["doc_id", "subject"], "left")
-    g, h = labelled(placed.filter("chunk_index is not null"), "g"), labelled(predicted, "h")
-    both = g.join(h, [*keys, "polarity"], "full_outer")
-    counts = both.groupBy("kind").agg(F.count_if(F.col("g").isNotNull() & F.col("h").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("h").isNull()).alias("fn"))
-    same = g.select(*keys).distinct().join(h.select(*keys).distinct(), keys).groupBy("kind").agg(F.count("*").alias("n_same"))
+    placed = saved(gold.join(first, ["doc_id", "subject"], "left"), "placed-gold")
+    # One group for each label: its polarities among the gold and among the predictions.
+    of = lambda flag: F.collect_set(F.when(F.col("gold") == flag, F.col("polarity")))
+    both = labelled(placed.filter("chunk_index is not null"), True).unionByName(labelled(predicted, False)).groupBy(*keys).agg(of(True).alias("g"), of(False).alias("h"))
+    n = lambda c: F.sum(F.size(c).cast("long"))
+    counts = both.groupBy("kind").agg(n(F.array_intersect("g", "h")).alias("tp"), n(F.array_except("h", "g")).alias("fp"), n(F.array_except("g", "h")).alias("fn"), F.count_if((F.size("g") > 0) & (F.size("h") > 0)).alias("n_same"))
     unplaced = placed.filter("chunk_index is null").groupBy("kind").agg(F.count("*").alias("n_unplaced"))
     grounded = F.coalesce(F.contains("content", F.col("sentence")), F.lit(False))
     said = predicted.join(chunks, ["doc_id", "chunk_index"], "left").groupBy("kind").agg(F.count_if(~grounded).alias("n_ungrounded"), F.round(F.count_if(~grounded) / F.count("*"), 4).alias("ungrounded_rate"))
-    for other in (same, unplaced, said):
+    for other in (unplaced, said):
         counts = counts.join(other, "kind", "full_outer")
     return _ratios(counts.fillna(0))
 
