@@ -92,3 +92,33 @@ def test_facts_stay_with_their_contradiction(spark):
     none = spark.createDataFrame([], "corpus_id long, conflict_hash string, fact_id string, category string, line string")
     rows = own.select("corpus_id", "conflict_hash", F.inline("facts"))
     assert sorted(map(tuple, W.brief_texts(own, none).collect())) == sorted(map(tuple, W.brief_render(rows).collect()))
+
+
+def test_prose_counts_take_one_group_a_label(spark):
+    """Polarities of a label are compared inside its group; only kinds are joined with each other."""
+    item = "doc_id string, chunk_index long, kind string, subject string, predicate string, object string, polarity string, sentence string"
+    gold = spark.createDataFrame([("d", None, "CLAIM", "Mill", None, "a dam", x, None) for x in ("POSITIVE", "NEGATIVE", "NEGATIVE")], item).drop("chunk_index", "sentence")
+    predicted = spark.createDataFrame([("d", 1, "CLAIM", "mill", None, "A dam!", x, "mill") for x in ("POSITIVE", "NEUTRAL", None)] + [("d", 1, "CLAIM", "weir", None, None, None, "mill")], item)
+    got = E.prose_prf(gold, predicted, spark.createDataFrame([("d", 1, "the mill")], "doc_id string, chunk_index long, content string"))
+    assert [(r["tp"], r["fp"], r["fn"], r["n_same"]) for r in got.collect()] == [(1, 3, 1, 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FullOuter") == 2
+
+
+def test_components_drop_links_that_are_joined(spark, monkeypatch):
+    """After the first round only links between joined nodes are left; chains and stars of any order come out whole."""
+    cut, left = G._cut, []
+    monkeypatch.setattr(G, "_cut", lambda df: (lambda out: (left.append(out.count()) if out.columns == ["corpus_id", "a", "b"] else None) or out)(cut(df)))
+    rows = [(1, a, "p", 100 + b) for a in range(6) for b in range(6)] + [(2, (k * 7) % 50, "p", ((k + 1) * 7) % 50) for k in range(48)] + [(3, k, "p", 99) for k in range(20)] + [(4, 5, "p", 5), (4, 9, "q", 7), (4, 7, "p", 9)]
+    edges = spark.createDataFrame(rows, "corpus_id long, subject_id long, predicate string, object_id long")
+    got = {(r["corpus_id"], r["node_id"]): r["component"] for r in G.connected_components(edges).collect()}
+    assert {k: c for (n, k), c in got.items() if n == 4} == {5: 5, 7: 7, 9: 7}
+    assert all(c == 0 for (n, k), c in got.items() if n in (1, 3)) and len({c for (n, k), c in got.items() if n == 2}) == 1 and len(got) == 12 + 49 + 21 + 3
+    assert left[0] < len(rows) / 2 and left[-1] == 0
+
+
+def test_rounds_end_where_labels_settle(spark, monkeypatch):
+    cut, written = G._cut, []
+    monkeypatch.setattr(G, "_cut", lambda df: written.append(1) or cut(df))
+    triangle = spark.createDataFrame([(1, 1, "p", 2), (1, 2, "p", 3), (1, 3, "p", 1)], "corpus_id long, subject_id long, predicate string, object_id long")
+    assert {tuple(r) for r in G.sync_labels(triangle, 8).collect()} == {(1, 1, 1), (1, 2, 1), (1, 3, 1)}
+    assert len(written) < 8
