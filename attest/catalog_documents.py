@@ -7,6 +7,7 @@ from attest.catalog import _RULES, _TOP, _chunks, _list, _table, query
 from attest.fixtures import frame, sql
 from attest.operators import documents as D
 from attest.operators import retrieval as R
+from attest.operators._store import saved
 from attest.plans.verification import verify_claims as verify
 
 # --- claims against documents ---
@@ -98,8 +99,6 @@ _ASKED_TRIPLES = f"select distinct q.corpus_id, q.question_id from {_QUESTIONS}
 )
 def chat_refused(spark, sf_dir):
     """Questions for which neither a passage nor a fact is found."""
-    asked = _asked(spark, sf_dir)
-    passages = R.retrieve_topk(asked.select("corpus_id", F.col("question_id").alias("query_id"), F.col("question").alias("query_text")), _chunks(spark, sf_dir)).withColumnRenamed("query_id", "question_id")
-    return R.chat_refused(asked, passages, R.chat_triples(asked, frame(spark, sf_dir, "triples")))
-
-
+    asked = saved(_asked(spark, sf_dir).repartition("corpus_id", "question_id"), "questions")  # customers may lie in one row group
+    passages = R.retrieve_any(asked.select("corpus_id", F.col("question_id").alias("query_id"), F.col("question").alias("query_text")), _chunks(spark, sf_dir)).withColumnRenamed("query_id", "question_id")
+    return R.chat_refused(asked, passages, R.chat_names(asked, frame(spark, sf_dir, "triples")))

@@ -17,8 +17,7 @@ def index_terms(chunks: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, expand: bool = True) -> DataFrame:
-    tokens = T.query_tokens(F.col("query_text"))
-    terms = T.search_terms(tokens) if expand else F.array_distinct(tokens)
+    terms = T.once(T.query_tokens(F.col("query_text")), T.search_terms if expand else F.array_distinct)
     return queries.select("corpus_id", "query_id", F.explode(terms).alias("term"))
 
 
@@ -78,6 +77,12 @@ def shared_queries(asked: DataFrame, words: DataFrame) -> tuple[DataFrame, DataF
     return sets.join(first, ["corpus_id", "terms"]).select("corpus_id", "query_id", "of"), terms
 
 
+def _weighed(words: DataFrame) -> DataFrame:
+    """Postings with what each adds to a score: tf x idf squared."""
+    idf = F.log10(F.col("n_chunks") / F.col("df"))
+    return words.withColumn("part", F.col("tf") * idf * idf)
+
+
 def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0, expand: bool = True) -> DataFrame:
     """The k best chunks of the query's own corpus: sum of tf x idf squared, idf = log10(chunks / chunks with the term).
 
@@ -85,14 +90,29 @@ def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: floa
     the same terms of a corpus, as many claims do, are ranked once.
     """
     asked, words = _postings(queries, chunks, expand)
-    idf = F.log10(F.col("n_chunks") / F.col("df"))
-    words = words.withColumn("part", F.col("tf") * idf * idf)
+    words = _weighed(words)
     words = words.filter("part > 0") if least >= 0 else words
     of, terms = shared_queries(asked, words)
     best = saved(best_of_blocks(terms, words, k, least)[0].withColumnRenamed("query_id", "of"), "shared-best")
     return of.join(best, ["corpus_id", "of"]).drop("of")
 
 
+def retrieve_any(queries: DataFrame, chunks: DataFrame, expand: bool = True) -> DataFrame:
+    """(corpus_id, query_id) for which ``retrieve_topk`` finds a chunk, without ranking any.
+
+    A score is no less than its largest part, so a term whose largest part rounds to more than 0 is enough. Queries that
+    have none, but parts that may add up to more than 0 after rounding, are ranked.
+    """
+    keys = ["corpus_id", "query_id"]
+    asked, words = _postings(queries, chunks, expand)
+    most = saved(_weighed(words).groupBy("corpus_id", "term").agg(F.max("part").alias("most")).filter("most > 0"), "largest-parts")
+    reach = saved(asked.join(most, ["corpus_id", "term"]).groupBy(*keys).agg(F.max("most").alias("least"), F.sum("most").alias("bound")), "reach")
+    found, rest = reach.filter("round(least, 6) > 0").select(*keys), reach.filter("round(least, 6) = 0 and bound > 4e-7")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(retrieve_topk(queries.join(rest, keys, "left_semi"), chunks, 1, expand=expand).select(*keys))
+
+
 def retrieve_bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, expand: bool = True) -> DataFrame:
     sizes = saved(index_terms(chunks).groupBy("corpus_id", "chunk_id").agg(F.sum("tf").alias("len")), "lengths")
     mean = sizes.groupBy("corpus_id").agg(F.avg("len").alias("mean_len"))
@@ -118,19 +138,27 @@ def evidence_status(queries: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("corpus_id", "query_id", F.when(F.col("has"), "EVIDENCE_FOUND").otherwise("NO_EVIDENCE").alias("evidence"))
 
 
-def chat_triples(questions: DataFrame, triples: DataFrame, most: int = 20) -> DataFrame:
-    """Per question: approved triples of its corpus whose subject or object has the whole question in it, the newest first.
+def chat_names(questions: DataFrame, triples: DataFrame) -> DataFrame:
+    """Per question: subjects and objects of its corpus's approved triples that have the whole question in them.
 
-    Names are indexed by their runs of one to three characters; a question is looked up by its first three, or all it
-    has, and then compared as a whole. An empty question finds nothing.
+    A question begins with its first three characters, or all it has. Where a name has such a beginning, the run of each
+    length that questions of this beginning have is taken and looked up among the questions, so names and questions
+    that share a beginning only are never paired. An empty question finds nothing.
     """
-    low = F.lower(F.col("name"))
-    each = lambda n: F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(low, i, F.lit(n)))
-    runs = F.array_distinct(F.concat(each(1), each(2), each(3)))
+    asked = questions.select("corpus_id", "question_id", F.lower(F.trim("question")).alias("q")).filter(F.length("q") > 0)
+    begins = saved(asked.select("corpus_id", F.substring("q", 1, 3).alias("run"), F.length("q").alias("n")).distinct(), "beginnings")
+    sizes = begins.groupBy("corpus_id").agg(F.collect_set(F.length("run")).alias("sizes"))
     names = triples.filter("status = 'APPROVED'").select("corpus_id", F.explode(F.array("subject_text", "object_text")).alias("name")).distinct()
-    index = names.filter(F.length("name") > 0).select("corpus_id", "name", F.explode(runs).alias("run"))
-    asked = questions.select("corpus_id", "question_id", F.lower(F.trim("question")).alias("q")).filter(F.length("q") > 0).withColumn("run", F.substring("q", 1, 3))
-    hits = asked.join(index, ["corpus_id", "run"]).filter(F.contains(F.lower("name"), F.col("q"))).select("corpus_id", "question_id", "name")
+    low = F.lower("name")
+    each = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform("sizes", lambda n: F.struct(i.alias("at"), F.substr(low, i, n).alias("run"))))
+    places = names.filter(F.length("name") > 0).join(sizes, "corpus_id").select("corpus_id", "name", F.inline(F.flatten(each)))
+    runs = places.join(begins, ["corpus_id", "run"]).select("corpus_id", "name", F.substr(low, F.col("at"), F.col("n")).alias("q"))
+    return runs.distinct().join(asked, ["corpus_id", "q"]).select("corpus_id", "question_id", "name")
+
+
+def chat_triples(questions: DataFrame, triples: DataFrame, most: int = 20) -> DataFrame:
+    """Per question: approved triples of its corpus whose subject or object has the whole question in it, the newest first."""
+    hits = saved(chat_names(questions, triples), "question-names")
     facts = triples.filter("status = 'APPROVED'").select("corpus_id", "triple_id", F.explode(F.array_distinct(F.array("subject_text", "object_text"))).alias("name"))
     found = hits.join(facts, ["corpus_id", "name"]).select("corpus_id", "question_id", "triple_id").distinct()
     order = Window.partitionBy("corpus_id", "question_id").orderBy(F.desc("triple_id"))
@@ -149,6 +177,6 @@ def chat_verdicts(questions: DataFrame, verdicts: DataFrame, newest: int = 25, m
 
 
 def chat_refused(questions: DataFrame, passages: DataFrame, triples: DataFrame) -> DataFrame:
-    """Questions with neither passages nor triples."""
+    """Questions with neither passages nor triples, or names of triples."""
     keys = ["corpus_id", "question_id"]
     return questions.join(passages.select(*keys), keys, "left_anti").join(triples.select(*keys), keys, "left_anti").select(*keys)

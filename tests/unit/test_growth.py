@@ -1,10 +1,12 @@
 """Work that grows with the input: the same results, without pairs of a group or expressions made again and again."""
 
+import json
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
-from attest import fixtures
+from attest import catalog, fixtures
 from attest.functions import scores as S
 from attest.functions import text as T
 from attest.operators import evaluation as E
@@ -122,3 +124,54 @@ def test_rounds_end_where_labels_settle(spark, monkeypatch):
     triangle = spark.createDataFrame([(1, 1, "p", 2), (1, 2, "p", 3), (1, 3, "p", 1)], "corpus_id long, subject_id long, predicate string, object_id long")
     assert {tuple(r) for r in G.sync_labels(triangle, 8).collect()} == {(1, 1, 1), (1, 2, 1), (1, 3, 1)}
     assert len(written) < 8
+
+
+def test_refused_questions_need_no_ranks(spark, monkeypatch):
+    """Whether a question has a passage is known from its terms; no chunk is ranked, and the result is that of the SQL."""
+    def ranked(*a, **k):
+        raise AssertionError("ranked")
+
+    monkeypatch.setattr(R, "best_of_blocks", ranked)
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in fixtures.TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["chat_refused"](spark, sf).select("corpus_id", "question_id").collect()))
+    assert got == sorted(con.execute(catalog.ORACLES["chat_refused"]).fetchall()) and got
+
+
+def test_any_passage_is_what_ranking_finds(spark):
+    """Terms of nearly all chunks weigh less than a score shows; two of them in a chunk may weigh enough."""
+    often = "often " * 10 + "twice " * 10
+    chunks = spark.range(2000).select(F.lit(1).cast("long").alias("corpus_id"), F.col("id").alias("chunk_id"), F.when(F.col("id") == 0, "twice").when(F.col("id") == 1, "often rare").otherwise(often).alias("content"))
+    texts = ["often", "twice", "often twice", "rare", "often rare", "unknown", "", None, "unknown often"]
+    queries = spark.createDataFrame([(n, q, t) for n in (1, 2) for q, t in enumerate(texts)], "corpus_id long, query_id long, query_text string")
+    got = sorted(map(tuple, R.retrieve_any(queries, chunks).collect()))
+    assert got == sorted({(r["corpus_id"], r["query_id"]) for r in R.retrieve_topk(queries, chunks).collect()}) == [(1, 2), (1, 3), (1, 4)]
+
+
+def test_questions_that_begin_like_names_are_not_paired(spark):
+    """40,000 questions and 40,000 names of one beginning, in one corpus: looked up, not compared with each other."""
+    names = spark.range(40_000).select(F.lit(1).cast("long").alias("corpus_id"), F.col("id").alias("triple_id"), F.concat(F.lit("The Customer#"), F.format_string("%07d", "id")).alias("subject_text"), F.lit("O").alias("object_text"), F.lit("APPROVED").alias("status"))
+    asked = names.select("corpus_id", F.col("triple_id").alias("question_id"), F.concat(F.lit(" customer#"), F.format_string("%07d", F.col("triple_id") * 2)).alias("question"))
+    began = time.time()
+    assert sorted(map(tuple, R.chat_triples(asked, names).select("question_id", "triple_id").collect())) == [(q, 2 * q) for q in range(20_000)]
+    assert time.time() - began < 60
+
+
+def test_names_that_hold_a_question(spark):
+    """Any place of a name, any case, any length of the question; names of facts that aren't approved don't count."""
+    t = [(1, 1, "Ann an Dam", "o", "APPROVED"), (1, 2, "An Dam", "Ann", "PENDING"), (2, 3, "Weir", None, "APPROVED"), (1, 4, "", "DAM Dam", "APPROVED"), (1, 5, "\u0130ly Dam", "x", "APPROVED")]
+    triples = spark.createDataFrame(t, "corpus_id long, triple_id long, subject_text string, object_text string, status string")
+    q = [(n, k, x) for n in (1, 2, 3) for k, x in enumerate(["an dam", "an", "DAM", " n ", "weir", "ann an dam of", "", None, "dam d", "eir", "o"])]
+    asked = spark.createDataFrame(q, "corpus_id long, question_id long, question string")
+    low = [(n, x.lower()) for n, _, s, o, status in t if status == "APPROVED" for x in (s, o) if x]
+    want = {(n, k) for n, k, x in q if x and x.strip() and any(m == n and x.strip().lower() in y for m, y in low)}
+    assert {(r["corpus_id"], r["question_id"]) for r in R.chat_names(asked, triples).collect()} == want
+    assert {(r["question_id"], r["triple_id"]) for r in R.chat_triples(asked, triples).filter("corpus_id = 1").collect()} >= {(2, 1), (2, 4), (2, 5), (8, 4)}
+
+
+def test_facts_that_repeat_in_another_spelling_are_one(spark):
+    fact = {"subject": "Tarn Quarry", "predicate": "owns", "object": "Slate Wharf", "sentence": "tarn quarry owns Slate Wharf"}
+    replies = [(k, json.dumps({"triples": [fact, {**fact, "object": o}], "claims": []}), "Tarn Quarry owns Slate Wharf.") for k, o in enumerate((" slate  WHARF", "Brightwater Mill"))]
+    df = spark.createDataFrame(replies, "reply_id long, raw_text string, content string")
+    assert {r["reply_id"]: len(r["triples"]) for r in P.reply_items_check(P.reply_schema_check(df)).collect()} == {0: 1, 1: 2}
