@@ -175,3 +175,49 @@ def test_facts_that_repeat_in_another_spelling_are_one(spark):
     replies = [(k, json.dumps({"triples": [fact, {**fact, "object": o}], "claims": []}), "Tarn Quarry owns Slate Wharf.") for k, o in enumerate((" slate  WHARF", "Brightwater Mill"))]
     df = spark.createDataFrame(replies, "reply_id long, raw_text string, content string")
     assert {r["reply_id"]: len(r["triples"]) for r in P.reply_items_check(P.reply_schema_check(df)).collect()} == {0: 1, 1: 2}
+
+
+def _in_order(links, sweeps=8):
+    """Labels node by node, in plain Python."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set())
+        near.setdefault(b, set())
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    label = {k: k for k in near}
+    for _ in range(sweeps):
+        for k in sorted(k for k in near if near[k]):
+            votes = [label[x] for x in near[k]]
+            label[k] = min(set(votes), key=lambda v: (-votes.count(v), v))
+    return label
+
+
+def test_labels_of_two_layers_need_no_levels(spark, monkeypatch):
+    """Suppliers and customers: the labels of node by node, without finding levels; those are found where a node is between two others."""
+    rows = {(n, (a * 37) % 90, 100 + (a * a + 11 * n) % 70) for n in (1, 2) for a in range(260)} | {(3, 5, 5), (3, 6, 4), (3, 8, 4), (3, 9, 4)}
+    edges = spark.createDataFrame([(n, a, p, b) for n, a, b in sorted(rows) for p in ("p", "q")], "corpus_id long, subject_id long, predicate string, object_id long")
+    levels, called = G.wave_levels, []
+    monkeypatch.setattr(G, "wave_levels", lambda *a: called.append(1) or levels(*a))
+    for sweeps in (1, 2, 8):
+        got = {(r["corpus_id"], r["node_id"]): r["label"] for r in G.wave_labels(edges, sweeps).collect()}
+        assert got == {(n, k): v for n in (1, 2, 3) for k, v in _in_order([(a, b) for m, a, b in rows if m == n], sweeps).items()}
+    assert not called
+    path = [(1, 2), (2, 3), (3, 2), (7, 9), (9, 7)]
+    got = {r["node_id"]: r["label"] for r in G.wave_labels(spark.createDataFrame([(1, a, "p", b) for a, b in path], edges.schema)).collect()}
+    assert got == _in_order(path) and called
+
+
+def test_ends_are_counted_in_one_sum(spark):
+    edges = spark.createDataFrame([(1, 1, "p", 2), (1, 1, "q", 2), (1, 2, "p", 1), (1, 3, "p", 3), (1, 1, "p", 4)], "corpus_id long, subject_id long, predicate string, object_id long")
+    got = G.graph_ends(G.graph_links(edges))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 1, 2, 4), (1, 2, 1, 1, 1, 1), (1, 3, 0, 0, None, None), (1, 4, 0, 1, 1, 1)]
+    want = G.graph_degree(edges).select("node_id", "out_degree", "in_degree")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_are_joined_with_keys_only_once_for_edges():
+    """Orders meet their customers before the lines do, so lines are dealt by order and not again by customer."""
+    text = fixtures.sql("edges", "spark")
+    assert text.index("orders join customer") > text.index("from lineitem") and "lineitem join orders" not in text
