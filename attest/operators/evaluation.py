@@ -71,19 +71,26 @@ def place_gold(gold: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame
 
     Chunks overlap, so a sentence may be in several: it is claimed once. A chunk has a sentence if the sentence's words
     are a run of its words. So a chunk's runs, of the lengths that its document's sentences have, are looked up by
-    equality: the work grows with the words, not with sentences x chunks of a document.
+    equality: the work grows with the words, not with sentences x chunks of a document. Only runs that begin and end as
+    some sentence of the document does are made: 64 bits a document tell of beginnings, 64 of both ends.
     """
-    asked = gold.filter("sentence is not null").select("doc_id", "sentence").distinct().withColumn("run", T.norm_label(F.col("sentence")))
-    lengths = asked.groupBy("doc_id").agg(F.collect_set(F.size(F.split("run", " "))).alias("lengths"))
+    bit = lambda *words: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*words), F.lit(64)).cast("int"))
+    asked = gold.filter("sentence is not null").select("doc_id", F.split(T.norm_label(F.col("sentence")), " ").alias("w")).withColumn("n", F.size("w"))
+    shapes = asked.groupBy("doc_id", "n").agg(F.bit_or(bit(F.get("w", F.lit(0)))).alias("begins"), F.bit_or(bit(F.get("w", F.lit(0)), F.get("w", F.col("n") - 1))).alias("ends"))
+    shapes = shapes.groupBy("doc_id").agg(F.collect_list(F.struct("n", "ends")).alias("shapes"), F.bit_or("begins").alias("begins"))
 
     def runs(w):
-        of = lambda n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-        return F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size(w)), of)))
-
-    held = chunks.filter("content is not null").select("doc_id", "chunk_index", "content").join(lengths, "doc_id")
-    held = held.select("doc_id", "chunk_index", F.explode(T.once(F.split(T.norm_label(F.col("content")), " "), runs)).alias("run"))
-    first = held.groupBy("doc_id", "run").agg(F.min("chunk_index").alias("chunk_index"))
-    at = saved(gold.join(asked.join(first, ["doc_id", "run"]).select("doc_id", "sentence", "chunk_index"), ["doc_id", "sentence"], "left"), "placed")
+        begin = lambda i: F.col("begins").bitwiseAND(bit(F.get(w, i))) != 0
+        end = lambda x, i: (i <= F.size(w) - x["n"]) & (x["ends"].bitwiseAND(bit(F.get(w, i), F.get(w, i + x["n"] - 1))) != 0)
+        of = lambda at: F.transform("shapes", lambda x: F.transform(F.filter(at, lambda i: end(x, i)), lambda i: F.array_join(F.slice(w, i + 1, x["n"]), " ")))
+        return F.array_distinct(F.flatten(T.once(F.filter(F.sequence(F.lit(0), F.size(w) - 1), begin), of)))
+
+    # Words are made before the join, in a step of their own, as a lambda would make them anew at each use.
+    held = chunks.filter("content is not null").select("doc_id", "chunk_index", T.norm_label(F.col("content")).alias("content")).join(shapes.hint("shuffle_hash"), "doc_id")
+    held = held.select("doc_id", "chunk_index", F.explode(T.once(F.split("content", " "), runs)).alias("_run"))
+    first = held.groupBy("doc_id", "_run").agg(F.min("chunk_index").alias("chunk_index"))
+    run = F.when(F.col("sentence").isNotNull(), T.norm_label(F.col("sentence")))
+    at = saved(gold.withColumn("_run", run).join(first.hint("shuffle_hash"), ["doc_id", "_run"], "left").drop("_run"), "placed")
     return at.filter("chunk_index is not null"), at.filter("chunk_index is null").drop("chunk_index")
 
 
@@ -97,13 +104,16 @@ def extraction_report(gold: DataFrame, predicted: DataFrame, chunks: DataFrame,
     """
     keys = ["doc_id", "chunk_index"]
     placed, lost = place_gold(gold, chunks)
-    fine = chunks.filter("outcome = 'OK'").select(*keys).distinct()
-    label = lambda df, flag: df.select(*keys, T.norm_label(F.col("subject")).alias("s"), T.norm_label(F.col("predicate")).alias("p"), T.norm_label(F.col("object")).alias("o"), F.lit(1).alias(flag)).distinct()
-    both = label(placed, "g").join(label(predicted.join(fine, keys, "left_semi"), "h"), [*keys, "s", "p", "o"], "full_outer")
-    per = both.groupBy(*keys).agg(F.count_if(F.col("g").isNotNull() & F.col("h").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("h").isNull()).alias("fn"))
+    # Labels of gold and predictions are dealt by chunk once, and compared there.
+    label = lambda df, gold: df.select(*keys, T.norm_label(F.col("subject")).alias("s"), T.norm_label(F.col("predicate")).alias("p"), T.norm_label(F.col("object")).alias("o"), F.lit(gold).alias("g"))
+    both = label(placed, True).unionByName(label(predicted, False)).repartition(*keys).groupBy(*keys, "s", "p", "o").agg(F.bool_or("g").alias("g"), F.bool_or(~F.col("g")).alias("h"))
+    per = both.groupBy(*keys).agg(F.count_if("g").alias("n_gold"), F.count_if("h").alias("n_said"), F.count_if(F.col("g") & F.col("h")).alias("n_both"))
+    fine = F.max(F.col("outcome") == "OK").over(Window.partitionBy(*keys))
+    tp = F.when(F.col("fine"), F.col("n_both")).otherwise(0)
+    held = chunks.select(*by, *keys, "outcome", fine.alias("fine")).join(per, keys, "left").withColumns({"tp": tp, "fp": F.when(F.col("fine"), F.col("n_said")).otherwise(0) - tp, "fn": F.col("n_gold") - tp})
     of = lambda x: F.count_if(F.col("outcome") == x)
     n = F.count("*")
-    rows = chunks.select(*by, *keys, "outcome").join(per, keys, "left").groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), n.alias("n_chunks"), of("FAILED").alias("n_failed"), F.round(of("MALFORMED") / n, 4).alias("malformed_rate"), F.round(of("QUARANTINED") / n, 4).alias("quarantine_rate"))
+    rows = held.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), n.alias("n_chunks"), of("FAILED").alias("n_failed"), F.round(of("MALFORMED") / n, 4).alias("malformed_rate"), F.round(of("QUARANTINED") / n, 4).alias("quarantine_rate"))
     unplaced = lost.join(chunks.select("doc_id", *by).distinct(), "doc_id").groupBy(*by).agg(F.count("*").alias("n_unplaced"))
     return _ratios(rows.join(unplaced, by, "left").fillna(0, ["n_unplaced"]))
 

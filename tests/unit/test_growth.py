@@ -221,3 +221,27 @@ def test_lines_are_joined_with_keys_only_once_for_edges():
     """Orders meet their customers before the lines do, so lines are dealt by order and not again by customer."""
     text = fixtures.sql("edges", "spark")
     assert text.index("orders join customer") > text.index("from lineitem") and "lineitem join orders" not in text
+
+
+def test_runs_that_no_sentence_begins_or_ends_are_not_made(spark, monkeypatch):
+    """Of the runs of a chunk those are made that begin and end as a sentence of its document does; the result is that of all."""
+    gold = spark.createDataFrame([("d", f"mill{k % 3} owns part{k}") for k in range(40)] + [("d", "mill1 owns"), ("e", "x y z")], "doc_id string, sentence string")
+    words = " ".join(f"mill{k % 3} owns part{k}. and so on, as word{k} was said" for k in range(39))
+    chunks = spark.createDataFrame([("d", c, words) for c in (4, 2)] + [("e", 0, "z y x")], "doc_id string, chunk_index long, content string")
+    saved, plans = E.saved, []
+    monkeypatch.setattr(E, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, name))
+    placed, lost = E.place_gold(gold, chunks)
+    assert {(r["sentence"], r["chunk_index"]) for r in placed.collect()} == {(f"mill{k % 3} owns part{k}", 2) for k in range(39)} | {("mill1 owns", 2)}
+    assert {r["sentence"] for r in lost.collect()} == {"mill0 owns part39", "x y z"}
+    assert "bit_or" in plans[0] and plans[0].count("Join") == 2
+
+
+def test_labels_of_chunks_are_compared_in_one_group(spark):
+    """Nothing that was predicted in a chunk that went wrong counts, and all its gold is missed; chunks without either count."""
+    gold = spark.createDataFrame([("d", "a", "p", "b", "a p b"), ("d", "A", "p", "B!", "a p b"), ("d", "c", "p", "d", "c p d"), ("d", "x", "p", "y", None)], "doc_id string, subject string, predicate string, object string, sentence string")
+    chunks = spark.createDataFrame([("d", 0, "a p b", "OK", 1), ("d", 1, "c p d", "FAILED", 1), ("d", 2, None, "MALFORMED", 1), ("e", 0, "z", "OK", 2)], "doc_id string, chunk_index long, content string, outcome string, part int")
+    said = spark.createDataFrame([("d", 0, "a", "p", "b"), ("d", 0, "a", "p", "z"), ("d", 1, "c", "p", "d"), ("d", 1, "c", "p", "e"), ("d", 7, "c", "p", "d")], "doc_id string, chunk_index long, subject string, predicate string, object string")
+    out = E.extraction_report(gold, said, chunks, ["part"])
+    got = {r["part"]: (r["tp"], r["fp"], r["fn"], r["n_chunks"], r["n_failed"], r["n_unplaced"]) for r in out.collect()}
+    assert got == {1: (1, 1, 1, 3, 1, 1), 2: (0, 0, 0, 1, 0, 0)}
+    assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
